@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, dedup_exact
+from . import bpe, decontaminate, dedup_exact, token_files
 
 QUERIES = {
+    "op1_token_files": token_files.op1_token_files,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op6_exact_dedup": dedup_exact.op6_exact_dedup,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 SQL = {
