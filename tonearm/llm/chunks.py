@@ -1,66 +1,72 @@
 """Encoding whole texts through a memo of their space-delimited chunks.
 
 A byte-level pre-tokenizer never lets a token reach across a single space that has other than white space on
-both sides (the space opens the next token), nor across a lone line feed between two such characters. Between
-such places a text may be encoded piece by piece, and pieces repeat.
+both sides (the space opens the next token), nor past a lone line feed between two such characters, nor from a
+letter into the full stop or comma behind it. Between such places a text may be encoded piece by piece, and
+pieces repeat.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 #: Chunks remembered in a worker; the memo is emptied when full. Longer chunks are not remembered.
-MEMO_CHUNKS, MEMO_CHARS = 800_000, 48
+MEMO_CHUNKS, MEMO_CHARS = 1_000_000, 48
+#: Marks a chunk that no space goes before.
+BARE = "\x01"
 
 _DOUBLE = re.compile(r"\s\s")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class ChunkEncoder:
-    """encode_many(list of strings) -> list of packed ids. newline: the packed ids of a lone line feed."""
+    """encode_many(list of strings) -> list of packed ids."""
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]]):
         self.encode_many = encode_many
-        self.newline = encode_many(["\n"])[0]
-        self.bare: dict[str, bytes] = {"": b""}
-        self.spaced: dict[str, bytes] = {}
+        self.tails = dict(zip("\n.,", encode_many(["\n", ".", ","])))
+        self.memo: dict[str, bytes] = {BARE: b""}
 
-    def _learn(self, memo: dict, missing: Iterable[str], prefix: str) -> dict:
-        missing = list(missing)
-        if not missing:
-            return memo
-        packed = dict(zip(missing, self.encode_many([prefix + x for x in missing])))
-        memo.update((k, v) for k, v in packed.items() if len(k) <= MEMO_CHARS)
+    def _parted(self, chunk: str) -> tuple[str, bytes]:
+        """The chunk without a last line feed and a full stop or comma behind a letter, and the ids of these."""
+        tail = b""
+        if len(chunk) > 1 and chunk[-1] == "\n" and not chunk[-2].isspace():
+            chunk, tail = chunk[:-1], self.tails["\n"]
+        if chunk[-1:] in (".", ",") and chunk[-2:-1].isalpha():
+            chunk, tail = chunk[:-1], self.tails[chunk[-1]] + tail
+        return chunk, tail
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        parted = {c: self._parted(c) for c in chunks}
+        bases = list({b for b, _ in parted.values()} - self.memo.keys())
+        packed = dict(zip(bases, self.encode_many([b[1:] if b[:1] == BARE else " " + b for b in bases])))
+        get = self.memo.get
+        packed |= {c: (packed[b] if (x := get(b)) is None else x) + tail for c, (b, tail) in parted.items() if tail}
+        self.memo.update((k, v) for k, v in packed.items() if len(k) <= MEMO_CHARS)
         return packed
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split, bare, spaced = [], set(), set()
+        if len(self.memo) > MEMO_CHUNKS:
+            self.memo = {BARE: b""}
+        split, chunks = [], set()
         for text in texts:
-            lines = [_SINGLE.split(text)] if _DOUBLE.search(text) else [line.split(" ") for line in text.split("\n")]
-            for parts in lines:
-                bare.add(parts[0])
-                spaced.update(parts[1:])
-            split.append(lines)
-        if len(self.bare) > MEMO_CHUNKS:
-            self.bare = {"": b""}
-        if len(self.spaced) > MEMO_CHUNKS:
-            self.spaced = {}
-        # what is too long to be remembered is looked up in this call's own results
-        own_bare = self._learn(self.bare, bare - self.bare.keys(), "")
-        own_spaced = self._learn(self.spaced, spaced - self.spaced.keys(), " ")
-        out = []
-        for lines in split:
-            packed = []
-            for parts in lines:
-                first = self.bare.get(parts[0])
-                line = own_bare[parts[0]] if first is None else first
-                if len(parts) > 1:
-                    rest = parts[1:]
-                    try:
-                        line += b"".join(map(self.spaced.__getitem__, rest))
-                    except KeyError:
-                        line += b"".join(own_spaced[x] if (y := self.spaced.get(x)) is None else y for x in rest)
-                packed.append(line)
-            out.append(self.newline.join(packed))
+            if BARE in text:
+                parts = None
+            elif _DOUBLE.search(text):
+                parts = _SINGLE.split(text)
+                parts[0] = BARE + parts[0]
+            else:
+                parts = (BARE + text.replace("\n", "\n " + BARE)).split(" ")
+            split.append(parts)
+            chunks.update(parts or ())
+        learnt, get, out = self._learn(chunks - self.memo.keys()), self.memo.__getitem__, []
+        for text, parts in zip(texts, split):
+            if parts is None:
+                out.append(self.encode_many([text])[0])
+                continue
+            try:
+                out.append(b"".join(map(get, parts)))
+            except KeyError:  # a chunk too long to be remembered
+                out.append(b"".join(learnt[c] if (x := self.memo.get(c)) is None else x for c in parts))
         return out
