@@ -165,7 +165,7 @@ class Codec:
     def __init__(self, source: str):
         self.bpe = SpeculativeBpe(Vocabulary(source))
         self.dtype = self.bpe.v.dtype
-        self.encoder = ChunkEncoder(self.bpe.encode_many)
+        self.encoder = ChunkEncoder(self.bpe.encode_many, tuple(self.bpe.v.special))
         self.decimal = [str(i) for i in range(len(self.bpe.v.tokens))]
 
     @classmethod

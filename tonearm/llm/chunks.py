@@ -2,7 +2,7 @@
 
 A byte-level pre-tokenizer never lets a token reach across a single space that has other than white space on
 both sides (the space opens the next token), nor past a lone line feed between two such characters, nor from a
-letter into the full stop or comma behind it. Between such places a text may be encoded piece by piece, and
+letter or digit into the punctuation behind it. Between such places a text may be encoded piece by piece, and
 pieces repeat.
 """
 
@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import islice
 
-#: Chunks remembered in a worker; the memo is emptied when full. Longer chunks are not remembered.
+#: Chunks remembered in a worker. A full memo keeps its older half: frequent chunks come early. Longer chunks are not remembered.
 MEMO_CHUNKS, MEMO_CHARS = 1_000_000, 48
 #: Marks a chunk that no space goes before.
 BARE = "\x01"
@@ -23,32 +24,33 @@ _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 class ChunkEncoder:
     """encode_many(list of strings) -> list of packed ids."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]]):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], special: tuple[str, ...] = ()):
         self.encode_many = encode_many
-        self.tails = dict(zip("\n.,", encode_many(["\n", ".", ","])))
+        self.newline = encode_many(["\n"])[0]
         self.memo: dict[str, bytes] = {BARE: b""}
+        #: Punctuation that may be parted from the letter before it: none that a special token ends with.
+        self.marks = "".join(c for c in "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~" if not any(t.endswith(c) for t in special))
 
-    def _parted(self, chunk: str) -> tuple[str, bytes]:
-        """The chunk without a last line feed and a full stop or comma behind a letter, and the ids of these."""
+    def _parted(self, chunk: str) -> tuple[str, str, bytes]:
+        """The chunk without a last line feed and the punctuation behind a letter or digit, that punctuation, and the line feed's ids."""
         tail = b""
         if len(chunk) > 1 and chunk[-1] == "\n" and not chunk[-2].isspace():
-            chunk, tail = chunk[:-1], self.tails["\n"]
-        if chunk[-1:] in (".", ",") and chunk[-2:-1].isalpha():
-            chunk, tail = chunk[:-1], self.tails[chunk[-1]] + tail
-        return chunk, tail
+            chunk, tail = chunk[:-1], self.newline
+        base = chunk.rstrip(self.marks)
+        return (base, BARE + chunk[len(base) :], tail) if len(base) < len(chunk) and base[-1:].isalnum() else (chunk, BARE, tail)
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         parted = {c: self._parted(c) for c in chunks}
-        bases = list({b for b, _ in parted.values()} - self.memo.keys())
+        bases = list(({b for b, *_ in parted.values()} | {m for _, m, _ in parted.values()}) - self.memo.keys())
         packed = dict(zip(bases, self.encode_many([b[1:] if b[:1] == BARE else " " + b for b in bases])))
-        get = self.memo.get
-        packed |= {c: (packed[b] if (x := get(b)) is None else x) + tail for c, (b, tail) in parted.items() if tail}
+        look = lambda k: packed[k] if (x := self.memo.get(k)) is None else x
+        packed |= {c: look(b) + look(m) + tail for c, (b, m, tail) in parted.items() if c != b}
         self.memo.update((k, v) for k, v in packed.items() if len(k) <= MEMO_CHARS)
         return packed
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO_CHUNKS:
-            self.memo = {BARE: b""}
+            self.memo = dict(islice(self.memo.items(), MEMO_CHUNKS // 2))
         split, chunks = [], set()
         for text in texts:
             if BARE in text:

@@ -131,8 +131,9 @@ class LibraryEncoder:
             t = Tokenizer.from_file(path)
             t.no_truncation()
             t.no_padding()
+            special = tuple(a.content for a in t.get_added_tokens_decoder().values())
             dtype = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
-            cls._built = {path: (ChunkEncoder(lambda xs: [np.array(e.ids, dtype).tobytes() for e in t.encode_batch_fast(xs, add_special_tokens=False)]), dtype, t.get_vocab_size())}
+            cls._built = {path: (ChunkEncoder(lambda xs: [np.array(e.ids, dtype).tobytes() for e in t.encode_batch_fast(xs, add_special_tokens=False)], special), dtype, t.get_vocab_size())}
         return cls._built[path]
 
 
