@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, dedup_exact, html_text, licenses, token_files, toxicity, url_filter
+from . import bpe, decontaminate, dedup_exact, html_text, jaccard_join, licenses, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_exact_dedup": dedup_exact.op6_exact_dedup,
     "op7_html_text": html_text.op7_html_text,
     "op9_license_scan": licenses.op9_license_scan,
