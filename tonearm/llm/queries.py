@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, dedup_exact, html_text, jaccard_join, licenses, token_files, toxicity, url_filter
+from . import bpe, decontaminate, dedup_exact, html_text, jaccard_join, licenses, substrings, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_exact_dedup": dedup_exact.op6_exact_dedup,
     "op7_html_text": html_text.op7_html_text,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_bpe": bpe.op10_bpe,
 }
