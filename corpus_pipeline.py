@@ -1,4 +1,7 @@
-"""The corpus pipeline: its stages in order. Each takes (spark, docs, sf_dir) and returns the documents it keeps."""
+"""The corpus pipeline: its stages in order, each (name, function of (spark, docs, sf_dir)).
+
+ORACLE_SQL is None: a learned toxicity model has no SQL form. tests/llm holds the stages against brute force.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,4 @@ from tonearm.llm import stages
 
 STAGES = stages.STAGES
 ORACLE_SQL = None
-
-
-def run(spark, sf_dir: str):
-    return stages.run(spark, sf_dir)
+run = stages.run

@@ -168,12 +168,6 @@ def contamination(matched: DataFrame, share: int = 20) -> DataFrame:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the contaminated ones. doc_id must tell the documents apart."""
-    bad = contamination(find_matches(docs, benchmark, window=window)).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
-
-
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
     found = contamination(find_matches(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark")))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")

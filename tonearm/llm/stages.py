@@ -1,27 +1,75 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline. Each takes (spark, docs, sf_dir) and works on all that the stage before it kept.
+
+All but the last return the columns of documents. Rows with a null identifier, where a stage decides by
+identifier, stay.
+"""
 
 from __future__ import annotations
 
-from . import common, decontaminate, dedup_exact
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import bpe, common, decontaminate, dedup_exact, jaccard_join, toxicity
+
+#: Identifiers of dropped documents are broadcast up to this many (8 bytes each), and joined by a shuffle beyond.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """docs without those whose doc_id is in bad."""
+    bad = common.stored(bad.select("doc_id").distinct(), "dropped")
+    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Documents that the toxicity model rejects go. It learns from the labels' training fold."""
+    common.tune(spark)
+    return toxicity.clean_documents(docs, toxicity.train(docs, common.read(spark, sf_dir, "labels")))
+
+
+def drop_copies(spark, docs, sf_dir):
+    """Of documents with equal texts the one with the largest identifier stays; of a row that is repeated, one."""
+    common.tune(spark)
+    marks = common.stored(dedup_exact.exact_duplicates(docs, keep="max"), "copies")
+    kept = without(docs, marks.where("not kept and doc_id <> keep_id"))
+    again = marks.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if common.is_empty(again):
+        return kept
+    again = common.stored(again, "repeated-rows")
+    repeated = kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
+    first = repeated.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id", F.coalesce("text", F.lit(""))).orderBy(F.lit(0)))).where("__row = 1").select(docs.columns)
+    return kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_anti").unionByName(first)
 
 
-def exact_dedup(spark, docs, sf_dir):
-    """One document of each group of equal texts stays."""
+def drop_near_copies(spark, docs, sf_dir):
+    """One document of each group of linked documents stays: the one with the smallest identifier."""
     common.tune(spark)
-    marks = dedup_exact.exact_duplicates(docs, keep="max").where("not kept").select("doc_id")
-    return docs.join(marks, "doc_id", "left_anti")
+    return without(docs, jaccard_join.near_duplicates(docs).where("doc_id <> component_id"))
 
 
-def decontamination(spark, docs, sf_dir):
+def drop_contaminated(spark, docs, sf_dir):
     """Documents that hold a noticeable part of a benchmark text go."""
     common.tune(spark)
-    return decontaminate.clean_documents(docs, common.read(spark, sf_dir, "benchmark"))
+    return without(docs, decontaminate.contamination(decontaminate.find_matches(docs, common.read(spark, sf_dir, "benchmark"))).where("contaminated"))
+
+
+def encode(spark, docs, sf_dir):
+    """What is left, encoded and decoded: counts and digests."""
+    common.tune(spark)
+    return bpe.round_trip(docs)
 
 
-STAGES = [("exact dedup", exact_dedup), ("benchmark decontamination", decontamination)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("BPE encoding and decoding", encode),
+]
 
 
 def run(spark, sf_dir):
+    """All stages over documents; what a stage keeps is written and read again."""
     docs = common.read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -285,6 +285,20 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return docs.mapInArrow(run, f"doc_id {kind}, score double, n_hits int, terms array<string>")
 
 
+def clean_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that the model doesn't call toxic."""
+    terms = model.terms
+
+    def run(batches):
+        matcher = Matcher.of(terms)
+        for batch in batches:
+            texts = common.texts(common.column(batch, text_col))
+            hits = [hits_in(matcher, t) for t in texts]
+            yield batch.filter(pa.array([model.score(h, len(_WORD.findall(t)) if h else 0) < 0.5 for h, t in zip(hits, texts)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     scored = score_documents(docs, train(docs, common.read(spark, sf_dir, "labels")))
