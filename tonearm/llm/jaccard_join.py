@@ -12,7 +12,7 @@ exactly and reports the shingles it has more than once; Spark sums the reports,
 Bloom filter of bounded size. Any such filter gives an order that all documents agree on, so none gives wrong results.
 
 Candidates are verified in two rounds. First, each document's neighbours in the index are tried, the closest two
-by their bitmaps; links found are contracted to components. Then every pair of an index bucket that is not yet in
+by shared keys; links found are contracted to components. Then every pair of an index bucket that is not yet in
 one component is tried: bitmaps bound the intersection from above, and what they don't rule out is counted exactly.
 Buckets are split into blocks of BLOCK_DOCS documents, so no task gets an unbounded group. Sets that are equal are
 represented by the smallest identifier from the start.
@@ -39,8 +39,8 @@ SHINGLE = 5
 WINDOW_TOKENS = 4_000_000
 MIN_FREQUENT = 48
 MAX_FILTER_BITS = 1 << 27
-BITMAP_BITS = (64, 2048)
-BLOCK_DOCS = 2048
+BITMAP_BITS = (64, 1 << 16)
+BLOCK_DOCS, TASK_ROWS = 2048, 20_000
 BROADCAST_IDS = 1_000_000
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -56,31 +56,62 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Words(dict):
-    """Hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
-def shingles(text: str) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
-    ws = text.encode("utf-8", "surrogatepass").lower().split()
-    n = len(ws)
-    if not n:
-        return np.zeros(0, np.uint64)
-    a = np.fromiter(map(_words.__getitem__, ws), np.uint64, n)
-    k = min(SHINGLE, n)
-    out = np.full(n - k + 1, k, np.uint64)
-    for i in range(k):
-        out += a[i : n - k + 1 + i] * _FACTORS[i]
-    return np.unique(_mix(out))
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+_tables: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 ** 64."""
+    if not _tables or len(_tables["up"]) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            x = np.full(max(n, 1 << 20), base, np.uint64)
+            x[0] = 1
+            _tables[name] = np.multiply.accumulate(x)
+    return _tables["up"][:n], _tables["down"][:n]
+
+
+def _pieces(texts: list[str]) -> list[list[bytes]]:
+    """Texts as bytes, in lists of 4 MB or one text."""
+    out, size = [[]], 0
+    for t in texts:
+        data = t.encode("utf-8", "surrogatepass").lower().translate(_SPACE)
+        if size and size + len(data) > 1 << 22:
+            out.append([])
+            size = 0
+        out[-1].append(data)
+        size += len(data) + 1
+    return out
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles."""
+    out = []
+    for docs in _pieces(texts):
+        data = np.frombuffer(b" " + b" ".join(docs) + b" ", np.uint8)
+        up, down = _powers(len(data) + 1)
+        edges = np.flatnonzero(np.diff(data == 32))
+        starts, ends = edges[::2] + 1, edges[1::2] + 1
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(data * up[: len(data)], out=sums[1:])
+        a = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        begins = np.cumsum([1, *(len(d) + 1 for d in docs)])
+        first = np.searchsorted(starts, begins).tolist()
+        n = len(a)
+        full = np.full(max(n - SHINGLE + 1, 0), SHINGLE, np.uint64)
+        for i in range(SHINGLE):
+            full += a[i : n - SHINGLE + 1 + i] * _FACTORS[i] if n >= SHINGLE else np.uint64(0)
+        full = _mix(full)
+        for lo, hi in zip(first, first[1:]):
+            k = hi - lo
+            if k >= SHINGLE:
+                x = np.sort(full[lo : hi - SHINGLE + 1])
+                out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
+            elif k:
+                out.append(_mix(np.uint64(k) + (a[lo:hi] * _FACTORS[:k]).sum(keepdims=True)))
+            else:
+                out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def needed(n: int, m: int) -> int:
@@ -144,8 +175,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             n, d1, d2, bits = [], [], [], []
-            for text in common.texts(common.column(batch, "text")):
-                s = shingles(text)
+            for s in shingle_sets(common.texts(common.column(batch, "text"))):
                 n.append(len(s))
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 d1.append(int.from_bytes(digest[:8], "little", signed=True))
@@ -193,18 +223,15 @@ def _index(docs: DataFrame, often: Bloom, copies: np.ndarray | None) -> DataFram
     def run(batches):
         often, copies = sent.value
         for batch in batches:
-            keys, ids = [], []
-            ds = common.column(batch, "doc").to_pylist()
-            skip = np.isin(np.array(ds, np.int64), copies, kind="sort") if copies is not None and len(copies) else np.zeros(len(ds), bool)
-            for doc, text, is_copy in zip(ds, common.texts(common.column(batch, "text")), skip):
-                if is_copy:
-                    continue
-                s = shingles(text)
-                k = index_keys(s, often.passes(_signed(s), _signed(_second_hash(s))))
-                keys.append(k)
-                ids.append(np.full(len(k), doc, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(ids))], names=["key", "doc"])
+            if copies is not None and len(copies) and batch.num_rows:
+                batch = batch.filter(pa.array(~np.isin(common.column(batch, "doc").to_numpy(), copies)))
+            ds, sets = common.column(batch, "doc").to_pylist(), shingle_sets(common.texts(common.column(batch, "text")))
+            if not ds:
+                continue
+            flat = np.concatenate(sets)
+            frequent = np.split(often.passes(_signed(flat), _signed(_second_hash(flat))), np.cumsum([len(s) for s in sets[:-1]]))
+            keys = [index_keys(s, f) for s, f in zip(sets, frequent)]
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.repeat(np.array(ds, np.int64), [len(k) for k in keys]))], names=["key", "doc"])
 
     return docs.mapInArrow(run, "key long, doc long")
 
@@ -217,7 +244,7 @@ def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def sets(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), pa.array([shingles(t).tobytes() for t in common.texts(common.column(batch, "text"))], pa.binary())], names=["doc", "s"])
+            yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), pa.array([s.tobytes() for s in shingle_sets(common.texts(common.column(batch, "text")))], pa.binary())], names=["doc", "s"])
 
     tokens = common.stored(wanted.mapInArrow(sets, "doc long, s binary").dropDuplicates(["doc"]), "jaccard-sets")
     both = pairs.join(tokens.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a").join(tokens.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
@@ -234,65 +261,100 @@ def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _closest(buckets: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Of each document's neighbours before it in the index, the two with the most similar bitmaps, if these allow a link."""
-    pairs = buckets.where("prev is not null").select(F.col("prev").alias("a"), F.col("doc").alias("b")).distinct()
+    """Of each document's neighbours before it in the index, the two that are so under the most keys, if bitmaps allow a link."""
+    pairs = buckets.where("prev is not null").groupBy(F.col("prev").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("n"))
+    pairs = pairs.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))).where("k <= 2").select("a", "b")
     left, right = (signatures.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
-    pairs = pairs.join(left, "a").join(right, "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na").select("a", "b", "na", "nb", "bitsa", "bitsb")
+    pairs = common.stored(pairs, "jaccard-neighbours").join(left, "a").join(right, "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na").select("a", "b", "na", "nb", "bitsa", "bitsb")
 
     def run(batches):
         for batch in batches:
-            keep, far = [], []
+            keep = []
             for na, nb, x, y in zip(*(common.column(batch, c).to_pylist() for c in ("na", "nb", "bitsa", "bitsb"))):
                 d = int(least_difference(np.frombuffer(x, np.uint8)[None], np.frombuffer(y, np.uint8)[None])[0])
                 keep.append(d <= na + nb - 2 * needed(na, nb))
-                far.append(d / (na + nb))
-            out = pa.RecordBatch.from_arrays([common.column(batch, "a"), common.column(batch, "b"), pa.array(far, pa.float64())], names=["a", "b", "far"])
-            yield out.filter(pa.array(keep, pa.bool_()))
-
-    near = pairs.mapInArrow(run, "a long, b long, far double")
-    return near.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("far", "a"))).where("k <= 2").select("a", "b")
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def _block_pairs(group, own, i, j, n, root):
+    """Row numbers (x, y) of the pairs of equal groups, of different components, of sizes that may link; rows are sorted by group and n."""
+    for gap in range(1, len(group)):
+        x = np.flatnonzero(group[gap:] == group[:-gap])
+        if not len(x):
+            return
+        y = x + gap
+        ok = (root[x] != root[y]) & (5 * n[x] >= 4 * n[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
+        if ok.any():
+            yield x[ok], y[ok]
+
+
+def possible_pairs(group, own, i, j, doc, root, n, bits: list[bytes]):
+    """(doc, doc, root, root, share of differing bits) of pairs that bitmaps don't rule out."""
+    order = np.lexsort((doc, n, group))
+    group, own, i, j, doc, root, n = (z[order] for z in (group, own, i, j, doc, root, n))
+    bits = [bits[k] for k in order.tolist()]
+    width = np.fromiter(map(len, bits), np.int64, len(bits))
+    row, maps = np.zeros(len(bits), np.int64), {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        row[at] = np.arange(len(at))
+        maps[w] = np.frombuffer(b"".join(bits[k] for k in at.tolist()), np.uint8).reshape(-1, w)
+    for x, y in _block_pairs(group, own, i, j, n, root):
+        kinds = width[x] * (1 << 32) + width[y]
+        for kind in np.unique(kinds).tolist():
+            m = np.flatnonzero(kinds == kind)
+            wx, wy = kind >> 32, kind & 0xFFFFFFFF
+            for c in range(0, len(m), 1 << 14):
+                p, q = x[m[c : c + (1 << 14)]], y[m[c : c + (1 << 14)]]
+                d = least_difference(maps[wx][row[p]], maps[wy][row[q]])
+                both = n[p] + n[q]
+                ok = d <= both - 2 * -(-4 * both // 9)
+                p, q = p[ok], q[ok]
+                flip = doc[p] > doc[q]
+                p, q = np.where(flip, q, p), np.where(flip, p, q)
+                yield doc[p], doc[q], root[p], root[q], d[ok] / both[ok]
 
 
 def _across(buckets: DataFrame, signatures: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs of a bucket that are in different components and that bitmaps don't rule out."""
+    """(a, b, ra, rb, far): all pairs of a bucket that are in different components ra, rb and that bitmaps don't rule out."""
+    spark = buckets.sparkSession
     rows = buckets.select("key", "doc").join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
     rows = common.stored(rows, "jaccard-rooted")
     keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("docs"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).where("low < high")
-    keys = common.stored(keys.groupBy("docs", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("docs") / BLOCK_DOCS).cast("int").alias("blocks")), "jaccard-keys")  # buckets of the same documents once
-    rows = rows.join(keys, "key").join(signatures.select("doc", "n", "bits"), "doc")
+    keys = common.stored(keys.groupBy("docs", "x", "y").agg(F.min("key").alias("key")).select("key", "docs", F.ceil(F.col("docs") / BLOCK_DOCS).cast("int").alias("blocks")), "jaccard-keys")  # buckets of the same documents once
+    work = keys.agg(F.sum(F.col("docs") * F.col("blocks"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), work // TASK_ROWS + 1)
+    rows = rows.join(keys.drop("docs"), "key").join(signatures.select("doc", "n", "bits"), "doc")
     own = F.pmod(F.xxhash64("doc", F.lit(2)), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    rows = rows.select("key", "doc", "root", "n", "bits", own.alias("own"), F.explode(F.array_distinct(others)).alias("block")).select("key", "block.i", "block.j", "own", "doc", "root", "n", "bits")
+    rows = rows.select("key", "doc", "root", "n", "bits", own.alias("own"), F.explode(F.array_distinct(others)).alias("block"))
+    rows = rows.select(F.xxhash64("key", "block").alias("group"), "block.i", "block.j", "own", "doc", "root", "n", "bits").withColumn("part", F.pmod("group", F.lit(parts)))
 
     def run(key, table):
-        own, doc, root, n = (table.column(c).to_numpy() for c in ("own", "doc", "root", "n"))
-        order = np.lexsort((doc, n))
-        bits, i, j = table.column("bits").to_pylist(), key[1].as_py(), key[2].as_py()
-        own, doc, root, n, bits = own[order], doc[order], root[order], n[order], [bits[k] for k in order.tolist()]
-        width = np.fromiter(map(len, bits), np.int64, len(bits))
-        maps = {w: np.frombuffer(b"".join(b for b in bits if len(b) == w), np.uint8).reshape(-1, w) for w in np.unique(width).tolist()}
-        place = {w: np.flatnonzero(width == w) for w in maps}
-        found = [[], []]
-        for k in range(len(doc)):
-            x = np.frombuffer(bits[k], np.uint8)[None]
-            for w, at in place.items():
-                lo, hi = np.searchsorted(at, k + 1), np.searchsorted(at, np.searchsorted(n, 5 * int(n[k]) // 4, "right"))
-                if hi <= lo:
-                    continue
-                c = at[lo:hi]
-                ok = root[c] != root[k]
-                if i != j:
-                    ok &= own[c] != own[k]
-                if not ok.any():
-                    continue
-                c, maps_c = c[ok], maps[w][lo:hi][ok]
-                c = c[least_difference(np.broadcast_to(x, (len(c), x.shape[1])), maps_c) <= n[c] + n[k] - 2 * -(-4 * (n[c] + n[k]) // 9)]
-                found[0].append(np.minimum(doc[c], doc[k]))
-                found[1].append(np.maximum(doc[c], doc[k]))
-        a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+        columns = [table.column(c).to_numpy() for c in ("group", "own", "i", "j", "doc", "root", "n")]
+        found = list(possible_pairs(*columns, table.column("bits").to_pylist()))
+        names = ("a", "b", "ra", "rb", "far")
+        return pa.table({c: pa.array(np.concatenate([f[k] for f in found]) if found else [], pa.float64() if c == "far" else pa.int64()) for k, c in enumerate(names)})
+
+    pairs = rows.groupBy("part").applyInArrow(run, "a long, b long, ra long, rb long, far double")
+    return common.stored(pairs.groupBy("a", "b").agg(F.min("ra").alias("ra"), F.min("rb").alias("rb"), F.min("far").alias("far")), "jaccard-across")
+
+
+def _verified_across(pairs: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
+    """links and as many more as connect what the pairs connect: the likeliest pairs of two components are tried first."""
+    tries = 1
+    while not common.is_empty(pairs):
+        w = Window.partitionBy(F.least("ra", "rb"), F.greatest("ra", "rb")).orderBy("far", "a", "b")
+        pairs = common.stored(pairs.withColumn("k", F.row_number().over(w)), "jaccard-across")
+        links = common.stored(links.union(_exact(pairs.where(F.col("k") <= tries).select("a", "b"), docs)), "jaccard-links")
+        roots = components(links)
+        left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+        rest = pairs.where(F.col("k") > tries).select("a", "b", "far").join(left, "a", "left").join(right, "b", "left")
+        pairs = common.stored(rest.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"), "far").where("ra <> rb"), "jaccard-across")
+        tries *= 16
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,8 +375,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = common.stored(buckets.where("prev is not null or next is not null").select("key", "doc", "prev"), "shingle-index")
     first = rows.where("doc is not null").dropDuplicates(["doc"])
     links = _exact(_closest(buckets, first), named)
-    more = _exact(_across(buckets, first, components(links)), named)
-    roots = components(links.union(more))
+    roots = components(_verified_across(_across(buckets, first, components(links)), links, named))
     out = members.join(roots.select(F.col("node").alias("first"), "root"), "first", "left")
     return out.select(F.col("doc").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "first").cast(kind).alias("component_id"))
 
