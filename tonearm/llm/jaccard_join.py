@@ -12,7 +12,7 @@ exactly and reports the shingles it has more than once; Spark sums the reports,
 Bloom filter of bounded size. Any such filter gives an order that all documents agree on, so none gives wrong results.
 
 Candidates are verified in two rounds. First, each document's neighbours in the index are tried, the closest two
-by shared keys; links found are contracted to components. Then every pair of an index bucket that is not yet in
+by their bitmaps; links found are contracted to components. Then every pair of an index bucket that is not yet in
 one component is tried: bitmaps bound the intersection from above, and what they don't rule out is counted exactly.
 Buckets are split into blocks of BLOCK_DOCS documents, so no task gets an unbounded group. Sets that are equal are
 represented by the smallest identifier from the start.
@@ -41,6 +41,8 @@ MIN_FREQUENT = 48
 MAX_FILTER_BITS = 1 << 27
 BITMAP_BITS = (64, 1 << 16)
 BLOCK_DOCS, TASK_ROWS = 2048, 20_000
+#: Neighbours in the index that the first round compares; the second leaves out none.
+NEIGHBOURS = 24
 BROADCAST_IDS = 1_000_000
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -261,21 +263,24 @@ def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _closest(buckets: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Of each document's neighbours before it in the index, the two that are so under the most keys, if bitmaps allow a link."""
+    """Of each document's neighbours before it in the index, the NEIGHBOURS that are so under the most keys; of these, the two with the most similar bitmaps."""
     pairs = buckets.where("prev is not null").groupBy(F.col("prev").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("n"))
-    pairs = pairs.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))).where("k <= 2").select("a", "b")
+    pairs = pairs.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))).where(F.col("k") <= NEIGHBOURS).select("a", "b")
     left, right = (signatures.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
     pairs = common.stored(pairs, "jaccard-neighbours").join(left, "a").join(right, "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na").select("a", "b", "na", "nb", "bitsa", "bitsb")
 
     def run(batches):
         for batch in batches:
-            keep = []
+            keep, far = [], []
             for na, nb, x, y in zip(*(common.column(batch, c).to_pylist() for c in ("na", "nb", "bitsa", "bitsb"))):
                 d = int(least_difference(np.frombuffer(x, np.uint8)[None], np.frombuffer(y, np.uint8)[None])[0])
                 keep.append(d <= na + nb - 2 * needed(na, nb))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                far.append(d / (na + nb))
+            out = pa.RecordBatch.from_arrays([common.column(batch, "a"), common.column(batch, "b"), pa.array(far, pa.float64())], names=["a", "b", "far"])
+            yield out.filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    near = pairs.mapInArrow(run, "a long, b long, far double")
+    return near.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("far", "a"))).where("k <= 2").select("a", "b")
 
 
 def _block_pairs(group, own, i, j, n, root):
