@@ -1,20 +1,44 @@
-"""Connected components by contraction, in DataFrame operations; nothing is collected."""
+"""Connected components. Graphs of up to SMALL_EDGES edges (16 bytes each) are joined up in one task, larger ones contracted by DataFrame operations; nothing is collected."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+SMALL_EDGES = 1_000_000
+
+
+def _union_find(batches):
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = np.fromiter(parent, np.int64, len(parent))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.fromiter(map(find, nodes.tolist()), np.int64, len(nodes)))], names=["node", "root"])
+
+
+def components(edges: DataFrame, name: str = "components", small: int = SMALL_EDGES) -> DataFrame:
     """edges(a, b) -> (node, root) of every node with an edge; root is the component's smallest node.
 
     Each round every node points at its smallest neighbour if that is smaller, pointers are followed three times
     over, and the graph is contracted to the nodes pointed at. No edges, no rows.
     """
     edges = common.stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+    if edges.count() <= small:
+        return common.stored(edges.coalesce(1).mapInArrow(_union_find, "node long, root long"), name)
     mapping = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node"))
     while not common.is_empty(edges):
         both = edges.union(edges.select("b", "a"))

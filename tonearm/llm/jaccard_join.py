@@ -13,7 +13,8 @@ Bloom filter of bounded size. Any such filter gives an order that all documents
 
 Candidates are verified in two rounds. First, each document's neighbours in the index are tried, the closest two
 by their bitmaps; links found are contracted to components. Then every pair of an index bucket that is not yet in
-one component is tried: bitmaps bound the intersection from above, and what they don't rule out is counted exactly.
+one component is tried: bitmaps bound the intersection from above, and what they don't rule out is counted exactly;
+of two components the likeliest pairs come first, and none is left out.
 Buckets are split into blocks of BLOCK_DOCS documents, so no task gets an unbounded group. Sets that are equal are
 represented by the smallest identifier from the start.
 
@@ -43,6 +44,8 @@ BITMAP_BITS = (64, 1 << 16)
 BLOCK_DOCS, TASK_ROWS = 2048, 20_000
 #: Neighbours in the index that the first round compares; the second leaves out none.
 NEIGHBOURS = 24
+#: Rounds that try only the best pairs of components, before the one that leaves out none.
+BEST_ROUNDS = 2
 BROADCAST_IDS = 1_000_000
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -322,15 +325,14 @@ def possible_pairs(group, own, i, j, doc, root, n, bits: list[bytes]):
                 yield doc[p], doc[q], root[p], root[q], d[ok] / both[ok]
 
 
-def _across(buckets: DataFrame, signatures: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b, ra, rb, far): all pairs of a bucket that are in different components ra, rb and that bitmaps don't rule out."""
-    spark = buckets.sparkSession
+def _across(buckets: DataFrame, signatures: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
+    """(a, b, ra, rb, far): the pairs of buckets that are in different components ra, rb and that bitmaps don't rule out; or of any two components the best that each task has."""
     rows = buckets.select("key", "doc").join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
     rows = common.stored(rows, "jaccard-rooted")
     keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("docs"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).where("low < high")
     keys = common.stored(keys.groupBy("docs", "x", "y").agg(F.min("key").alias("key")).select("key", "docs", F.ceil(F.col("docs") / BLOCK_DOCS).cast("int").alias("blocks")), "jaccard-keys")  # buckets of the same documents once
     work = keys.agg(F.sum(F.col("docs") * F.col("blocks"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), work // TASK_ROWS + 1)
+    parts = work // TASK_ROWS + 1
     rows = rows.join(keys.drop("docs"), "key").join(signatures.select("doc", "n", "bits"), "doc")
     own = F.pmod(F.xxhash64("doc", F.lit(2)), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
@@ -341,7 +343,13 @@ def _across(buckets: DataFrame, signatures: DataFrame, roots: DataFrame) -> Data
         columns = [table.column(c).to_numpy() for c in ("group", "own", "i", "j", "doc", "root", "n")]
         found = list(possible_pairs(*columns, table.column("bits").to_pylist()))
         names = ("a", "b", "ra", "rb", "far")
-        return pa.table({c: pa.array(np.concatenate([f[k] for f in found]) if found else [], pa.float64() if c == "far" else pa.int64()) for k, c in enumerate(names)})
+        a, b, ra, rb, far = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(5))
+        by = (far, np.maximum(ra, rb), np.minimum(ra, rb)) if best else (far, b, a)
+        order = np.lexsort(by)
+        once = np.ones(len(order), bool)  # the same pair stands under many keys
+        once[1:] = np.any([np.diff(z[order]) != 0 for z in by[1:]], axis=0)
+        at = order[once]
+        return pa.table({c: pa.array(z[at], pa.float64() if c == "far" else pa.int64()) for c, z in zip(names, (a, b, ra, rb, far))})
 
     pairs = rows.groupBy("part").applyInArrow(run, "a long, b long, ra long, rb long, far double")
     return common.stored(pairs.groupBy("a", "b").agg(F.min("ra").alias("ra"), F.min("rb").alias("rb"), F.min("far").alias("far")), "jaccard-across")
@@ -380,7 +388,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = common.stored(buckets.where("prev is not null or next is not null").select("key", "doc", "prev"), "shingle-index")
     first = rows.where("doc is not null").dropDuplicates(["doc"])
     links = _exact(_closest(buckets, first), named)
-    roots = components(_verified_across(_across(buckets, first, components(links)), links, named))
+    for _ in range(BEST_ROUNDS):
+        found = _exact(_across(buckets, first, components(links), best=True).select("a", "b"), named)
+        if common.is_empty(found):
+            break
+        links = common.stored(links.union(found), "jaccard-links")
+    roots = components(_verified_across(_across(buckets, first, components(links), best=False), links, named))
     out = members.join(roots.select(F.col("node").alias("first"), "root"), "first", "left")
     return out.select(F.col("doc").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "first").cast(kind).alias("component_id"))
 
