@@ -37,7 +37,8 @@ LENGTH, GRAM = 400, 32
 HOT_ANCHORS = 20_000
 SALTS = 64
 MAX_FILTER_BITS = 1 << 27
-BROADCAST_DOCS = 300_000
+#: Ranges (16 bytes each) are broadcast up to this many, and joined by a shuffle beyond.
+BROADCAST_RANGES = 500_000
 #: Texts are searched in pieces of so many string starts; positions in a piece fit 24 bits.
 PIECE = 1 << 20
 PAIRS = 48
@@ -267,7 +268,7 @@ def _gram_counts(docs: DataFrame) -> DataFrame:
 
 
 def _starts(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """(doc, first, last): ranges of repeated strings' starts."""
+    """(doc, starts): the ranges of repeated strings' starts."""
     spark = docs.sparkSession
     n = grams.count()
 
@@ -280,6 +281,7 @@ def _starts(docs: DataFrame, grams: DataFrame) -> DataFrame:
     again = Bloom.of(hashed, min(n, MAX_FILTER_BITS // 12), 0.003, 0)
     hot = sorted(r["gram"] for r in grams.where(F.col("n") > HOT_ANCHORS).select("gram").collect())  # at most anchors / HOT_ANCHORS
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 2
+    parts = buckets // 2
     sent = spark.sparkContext.broadcast((again, np.array(hot, np.int64)))
 
     def send(batches):
@@ -330,36 +332,52 @@ def _starts(docs: DataFrame, grams: DataFrame) -> DataFrame:
     def receive(key, table):
         runs = table.column("run").to_pylist()
         if table.column("dealt")[0].as_py():
-            parts = [np.frombuffer(r, np.int64).reshape(3, -1) for r in runs]
-            strings, doc, start = np.concatenate(parts, axis=1)
+            dealt = [np.frombuffer(r, np.int64).reshape(3, -1) for r in runs]
+            strings, doc, start = np.concatenate(dealt, axis=1)
             _, back, counts = np.unique(strings, return_inverse=True, return_counts=True)
             doc, first = doc[counts[back] > 1], start[counts[back] > 1]
             last = first
         else:
             found = [(s.doc, a, b) for s, a, b in merged(runs)]
             doc, first, last = (np.array([f[k] for f in found], np.int64) for k in range(3))
-        if len(doc):  # ranges that touch become one
-            order = np.lexsort((first, doc))
-            doc, first, last = doc[order], first[order], last[order]
-            new = np.concatenate([[True], doc[1:] != doc[:-1]])
-            reach = last + np.cumsum(new) * (1 << 40)  # documents apart, so that one running maximum serves all
-            reach = np.maximum.accumulate(reach)
-            cut = new | np.concatenate([[True], first[1:] + np.cumsum(new)[1:] * (1 << 40) > reach[:-1] + 1])
-            at = np.flatnonzero(cut)
-            ends = np.append(at[1:], len(doc)) - 1
-            doc, first, last = doc[at], first[at], (reach - np.cumsum(new) * (1 << 40))[ends]
-        return pa.table({"doc": pa.array(doc, pa.int64()), "first": pa.array(first, pa.int64()), "last": pa.array(last, pa.int64())})
-
-    sent_runs = docs.select("doc", "text").mapInArrow(send, "bucket int, dealt boolean, run binary")
-    return common.stored(sent_runs.groupBy("bucket").applyInArrow(receive, "doc long, first long, last long"), "repeats")
+        doc, first, last = merge_ranges(doc, first, last)
+        part, out = doc % parts, []
+        for k in np.unique(part).tolist():
+            at = part == k
+            out.append((k, b"".join(x[at].tobytes() for x in (doc, first, last))))
+        return pa.table({"part": pa.array([k for k, _ in out], pa.int32()), "ranges": pa.array([r for _, r in out], pa.binary())})
+
+    def gather(key, table):
+        ranges = [np.frombuffer(r, np.int64).reshape(3, -1) for r in table.column("ranges").to_pylist()]
+        doc, first, last = merge_ranges(*np.concatenate(ranges, axis=1))
+        docs, at = np.unique(doc, return_index=True)
+        starts = pa.StructArray.from_arrays([pa.array(first), pa.array(last)], names=["first", "last"])
+        return pa.table({"doc": pa.array(docs), "starts": pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)), pa.int32()), starts)})
+
+    found = docs.select("doc", "text").mapInArrow(send, "bucket int, dealt boolean, run binary").groupBy("bucket").applyInArrow(receive, "part int, ranges binary")
+    return common.stored(found.groupBy("part").applyInArrow(gather, "doc long, starts array<struct<first:bigint,last:bigint>>"), "repeats")
+
+
+def merge_ranges(doc: np.ndarray, first: np.ndarray, last: np.ndarray):
+    """Ranges first..last of each doc in order, those that overlap or touch as one."""
+    if not len(doc):
+        return doc, first, last
+    order = np.lexsort((first, doc))
+    doc, first, last = doc[order], first[order], last[order]
+    new = np.concatenate([[True], doc[1:] != doc[:-1]])
+    apart = np.cumsum(new) << 40  # documents apart, so that one running maximum serves all
+    reach = np.maximum.accumulate(last + apart)
+    at = np.flatnonzero(new | np.concatenate([[True], (first + apart)[1:] > reach[:-1] + 1]))
+    ends = np.append(at[1:], len(doc)) - 1
+    return doc[at], first[at], (reach - apart)[ends]
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's doc_id, text and spans: array of struct(begin, end), the maximal runs of bytes to remove, in order."""
     docs = _keyed(docs, id_col, text_col)
-    starts = _starts(docs, _gram_counts(docs))
-    by_doc = common.stored(starts.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("starts")), "repeats-by-doc")
-    by_doc = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_DOCS else by_doc
+    by_doc = _starts(docs, _gram_counts(docs))
+    small = (by_doc.agg(F.sum(F.size("starts"))).first()[0] or 0) <= BROADCAST_RANGES
+    by_doc = F.broadcast(by_doc) if small else by_doc
     zero = F.lit(None).cast("array<struct<begin:bigint,end:bigint>>")
 
     def add(spans, s):
