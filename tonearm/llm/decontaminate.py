@@ -49,7 +49,7 @@ class TestBlock:
         keys = np.zeros((len(rows), window), dtype=">u4")
         for r, row in enumerate(rows):
             keys[r, : len(row)] = row
-        self.low = self._bytes(keys)
+        self.low = self._bytes(keys).copy()
         for r, row in enumerate(rows):
             keys[r, len(row) :] = 0xFFFFFFFF
         self.high = self._bytes(keys)
