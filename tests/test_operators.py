@@ -70,7 +70,7 @@ def test_detect_series(spark):
         track(8, "qq1.mp3", "/m/y", album="Lonely Disc"), track(9, "qq2.mp3", "/m/z", album="Lonely Disc"),
     ]
     got = {r["series_name"]: r for r in series.detect_series(spark.createDataFrame(rows, TRACK)).collect()}
-    assert [t["track_id"] for t in got["Night Show"]["tracks"]] == [1, 2] and got["Night Show"]["suggested_artist"] == "A"
+    assert [t["track_id"] for t in got["Night Show"]["tracks"]] == [3, 1, 2] and got["Night Show"]["suggested_artist"] == "B"
     orphan = got["Golden Hour"]
     assert orphan["is_orphan"] and orphan["track_count"] == 1 and orphan["matched_series"] == "Golden Hour" and orphan["suggested_genre"] == "House"
     assert got["Sunset Tapes"]["track_count"] == 2
