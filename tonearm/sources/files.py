@@ -7,7 +7,7 @@ import os
 import shutil
 import struct
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,20 +118,22 @@ def audio_tags(spark: SparkSession, folders: list[str]) -> DataFrame:
     """Decoded tags of each audio file, and whether it has the series mark."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders).select(F.regexp_replace("path", "^file:/+", "/").alias("filepath"), "content")
     df = df.where(F.lower(extension(F.col("filepath"))).isin([f".{e}" for e in EXTENSIONS]))
-    columns = [c.split()[0] for c in TAG_SCHEMA.split(", ")]
+    types = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+    schema = pa.schema([(name, types[kind]) for name, kind in (c.split() for c in TAG_SCHEMA.split(", "))])
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([{"filepath": p} | decode_tags(d) for p, d in zip(pdf["filepath"], pdf["content"])], columns=columns)
+        for batch in batches:
+            rows = [{"filepath": p} | decode_tags(d) for p, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return df.mapInPandas(run, TAG_SCHEMA).withColumn("series_tagged", F.coalesce(F.contains("grouping", F.lit(MARKER)), F.lit(False)))
+    return df.mapInArrow(run, TAG_SCHEMA).withColumn("series_tagged", F.coalesce(F.contains("grouping", F.lit(MARKER)), F.lit(False)))
 
 
 def log_tail(lines: DataFrame, n: int = 200, level: str | None = None) -> DataFrame:
     """lines(line_no, value): the last n lines, of one level if given, in order; total_lines counts all that pass."""
     rows = lines.where(F.contains("value", F.lit(f"| {level}"))) if level else lines
     total = rows.agg(F.count("*").alias("total_lines"))
-    return rows.orderBy(F.desc("line_no")).limit(n).crossJoin(F.broadcast(total)).orderBy("line_no")
+    return rows.orderBy(F.desc("line_no")).limit(n).withColumn("total_lines", total.scalar()).orderBy("line_no")
 
 
 def parsed_log(lines: DataFrame) -> DataFrame:
