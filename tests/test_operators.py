@@ -108,6 +108,21 @@ def test_json(spark):
     assert images.select(jsonmeta.front_cover(F.col("i"))).first()[0] == "y"
 
 
+def test_release_votes_of_all_candidates(spark, tmp_path):
+    rows = [(key, line, (key * 3 + line) % 50, key % 5, 1.0) for key in (1, 6, 1999, 2000, 2001, 5003, 70004, 600000) for line in (1, 2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    votes, first = {}, {}
+    for key, _, part, supplier, _ in rows:
+        if key % 7 < jsonmeta.NAMES:
+            release = f"genre {part % 9}"
+            votes[release] = votes.get(release, 0) + 1
+            first.setdefault(release, []).append((key % 7, f"Set {part % 50}", f"DJ {supplier}"))
+    got = queries.QUERIES["release_votes"](spark, str(tmp_path)).collect()
+    assert {r["id"]: r["match_count"] for r in got} == votes
+    assert [r["match_count"] for r in got] == sorted(votes.values(), reverse=True)
+    assert all((min(first[r["id"]])[0], r["title"], r["artist"]) in first[r["id"]] for r in got)
+
+
 def test_audio_source(spark, tmp_path):
     fmt = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 1, 8000, 16000, 2, 16)
     info = b"INFO" + b"INAM" + struct.pack("<I", 4) + b"Song"

@@ -399,7 +399,7 @@ def json_flatten_votes(spark, sf_dir):
 
 @query()
 def release_votes(spark, sf_dir):
-    c = candidates(spark, sf_dir).where("track_id < 2000")
+    c = candidates(spark, sf_dir)
     rec = F.to_json(F.array(F.struct(F.col("id").cast("string").alias("id"), "title", F.array(F.struct(F.struct(F.col("artist").alias("name")).alias("artist"))).alias("artist-credit"), F.array(F.struct(F.col("genre").alias("id"), "title", F.lit(9).alias("track-count"))).alias("releases"))))
     return jsonmeta.release_votes(c.select(F.pmod("track_id", F.lit(7)).cast("int").alias("name_no"), F.from_json(rec, jsonmeta.RECORDINGS).alias("recordings")))
 
