@@ -123,6 +123,15 @@ def test_release_votes_of_all_candidates(spark, tmp_path):
     assert all((min(first[r["id"]])[0], r["title"], r["artist"]) in first[r["id"]] for r in got)
 
 
+def test_ingest_scans_all_tracks(spark, monkeypatch):
+    sides, new_files = [], queries.catalog.new_files
+    monkeypatch.setattr(queries.catalog, "new_files", lambda scanned, known, least: sides.append((scanned, known)) or new_files(scanned, known, least))
+    queries.QUERIES["ingest_anti_join"](spark, SF)
+    ids = lambda d: {r["id"] for r in d.select("id").collect()}
+    every, (scanned, known) = ids(queries.tracks(spark, SF)), sides[0]
+    assert ids(scanned) == every and ids(known) == {i for i in every if i % 3 == 0}
+
+
 def test_audio_source(spark, tmp_path):
     fmt = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 1, 8000, 16000, 2, 16)
     info = b"INFO" + b"INAM" + struct.pack("<I", 4) + b"Song"

@@ -533,7 +533,7 @@ def replace_candidates(spark, sf_dir):
 @query(f"{T} SELECT filepath, duration FROM tracks WHERE id % 3 <> 0 AND NOT coalesce(duration > 0 AND duration < 600, false) AND filepath NOT IN (SELECT filepath FROM tracks WHERE id % 3 = 0)")
 def ingest_anti_join(spark, sf_dir):
     t = tracks(spark, sf_dir)
-    return catalog.new_files(t.where("id % 3 <> 0"), t.where("id % 3 = 0"), 600).select("filepath", "duration")
+    return catalog.new_files(t, t.where("id % 3 = 0"), 600).select("filepath", "duration")
 
 
 @query(f"{T}, s AS (SELECT filepath IN (SELECT filepath FROM tracks WHERE id % 3 = 0) AS known, NOT coalesce(duration > 0 AND duration < 600, false) AS long FROM tracks) SELECT count(*) FILTER (NOT known AND long) AS added, count(*) FILTER (known) AS skipped, count(*) FILTER (NOT known AND NOT long) AS filtered FROM s")
