@@ -305,6 +305,41 @@ def test_licenses(docs):
     assert licenses.scan_licenses(docs([])).count() == 0
 
 
+def plain_windows(text):
+    """Every window of every template, counted anew."""
+    ws, found = common.words(text), set()
+    for label, t, key in [*((label, t, "") for label, t in licenses.TEMPLATES), *licenses.GRANTS]:
+        tokens, width = set(common.words(t)), -(-len(common.words(t)) * 5 // 4)
+        for k in range(len(ws)):
+            have = tokens.intersection(ws[k : k + width])
+            if 5 * len(have) >= 4 * len(tokens) and have.issuperset(common.words(key)):
+                found.add(label)
+    return found
+
+
+def test_license_wordings(docs):
+    wanted = {
+        "Intro. All rights\nreserved. More": "all-rights-reserved",
+        "This is released, under the MIT\nsoftware license, to all": "mit",
+        "Under the License of Apache, version 2.0, licensed": "apache",
+        "x y\nlicensed under\nCC (BY, NC) 4.0": "cc-by,cc-by-nc",
+        "this work is under version 3 of the GNU public general license": "gpl",
+        "Permission is hereby granted, free of charge,\nto any person obtaining a copy\nof this software and files": "mit",
+        "released under the new license": "",
+        "all the people said that their rights were not being reserved": "",
+    }
+    rng = random.Random(8)
+    parts = [w for _, t, _ in licenses.GRANTS for w in t.split()]
+    texts = [*wanted, *(" ".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(150)), *(" ".join(rng.sample(t.split(), len(t.split()))) for _, t in licenses.TEMPLATES)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        lines = set(plain_scan(t)[5].split(",")) - {""}
+        assert got[i]["labels"] == ",".join(sorted(lines | plain_windows(t))), t
+        assert got[i]["base_labels"] == plain_scan(t)[4]
+    assert [got[i]["labels"] for i in range(len(wanted))] == list(wanted.values())
+    assert 0.8 <= got[1]["score"] <= 1
+
+
 # pipeline
 def test_stages(spark, docs, tmp_path):
     bench = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
