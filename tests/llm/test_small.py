@@ -270,6 +270,27 @@ def test_html(spark):
     assert html_text.main_texts(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<article><h2 id='related-work'>Related</h2><h2 class='search'>Search</h2><p>a</article>", "Related Search a"),
+        ("<article class='post comments-open'><p>a</article><p>b", "a"),
+        ("<article class='comments'><p>a</article><p>b", "a"),
+        ("<div class='content-sidebar-wrap'><p>a</div>", "a"),
+        ("<p data-id='share-7' title='x class=ad'>a</p><p data-id=share>b", "a b"),
+        ("<div class='widget'><p>x</p><form><main><p>a</main></form></div><p>b", "a"),
+        ("<form><nav>n</nav><div class='ad'>d</div><article><p>a</article></form>", "a"),
+        ("<p>skip</p><form><h1>t</h1><p>a</form>", "skip t a"),
+        ("<form><p>a</form>", "a"),
+        ("<p>a</p><form><p>b</form><div class='big AD'>c</div><div id=sidebar>d</div><div role='search'>e</div>", "a"),
+        ("<article><p>a</p><div class='comments'><article>c</article></div><form>f</form></article>", "a"),
+        ("<aside><article>x</article></aside><article>a</article>", "a"),
+    ],
+)
+def test_html_marks(source, text):
+    assert html_text.Page(f"<html><body>{source}</body></html>").text() == text
+
+
 # 8
 @pytest.mark.parametrize("hot, bound, pairs", [(20_000, 500_000, 48), (5, 0, 2)])
 def test_substrings(docs, monkeypatch, hot, bound, pairs):

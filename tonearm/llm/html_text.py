@@ -1,7 +1,8 @@
 """Main text of web pages, with site templates removed.
 
-A page is read into element subtrees. Boilerplate elements (by tag, class, id or role) are left out; the main
-region is the article, else main, else the body. Every element subtree of the region is hashed, and Spark counts
+A page is read into element subtrees. Boilerplate elements (by tag, word of the class, whole id or role) are left out,
+but for articles, headings, and what is marked or a form and holds the article or main; a form also stays if it holds
+the page's h1 or all its text. The main region is the article, else main, else the body. Every element subtree of the region is hashed, and Spark counts
 for each host in how many different main texts a subtree occurs: exact copies of an article count once, so that
 copying does not make a text a template. Subtrees that recur across many of a host's texts are deleted.
 
@@ -31,7 +32,12 @@ BROADCAST_TEMPLATES = 200_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("aside audio button canvas datalist dialog embed fieldset footer form head iframe input map menu nav noscript object script select style svg template textarea title video".split())
+DROPPED = frozenset("aside audio button canvas datalist dialog embed footer head iframe input map menu nav noscript object script select style svg template textarea title video".split())
+FORMS = frozenset(["fieldset", "form"])
+HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
+UNMARKED = HEADINGS | {"html", "body", "main", "article"}
+#: An element is left out: not, unless it holds the article, or in any case.
+KEPT, UNLESS_HOLDING, LEFT_OUT = 0, 1, 2
 #: Words of a class, id or role that mark boilerplate.
 MARKS = frozenset(
     "ad ads adv advert advertisement adsense banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus footer gdpr header "
@@ -43,23 +49,39 @@ ARTICLE, MAIN, BODY = 2, 1, 0
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-_MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_PARTS = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
 def _marked(attributes: str, region: int) -> bool:
     marks = MARKS - {"header"} if region == ARTICLE else MARKS  # an article's own header holds its title
-    return any(not marks.isdisjoint(_PARTS.findall((a or b or c).lower())) for a, b, c in _MARK.findall(attributes))
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), (a or b or c).lower()
+        if name == "class" and not marks.isdisjoint(value.split()) or name in ("id", "role") and value.strip() in marks:
+            return True
+    return False
 
 
 class Page:
     """pieces: (region, text) in page order, a blank between blocks; subtrees: (hash, first piece, end) of elements with text."""
 
     def __init__(self, source: str):
+        self.spared: set[int] = set()  # elements that hold the article, by their number
+        while True:
+            self.holding: set[int] = set()
+            self._read(source)
+            if not self.holding and not any(t.strip() for _, t in self.pieces):
+                self.holding = self.forms
+            if self.holding <= self.spared:
+                break
+            self.spared |= self.holding
+        self.region = max((r for r, t in self.pieces if t.strip()), default=BODY)
+
+    def _read(self, source: str) -> None:
         self.pieces: list[tuple[int, str]] = []
         self.subtrees: list[tuple[int, int, int]] = []
-        self.stack: list[list] = []  # tag, region, dropped, first piece, parts to hash
-        at = 0
+        self.stack: list[list] = []  # tag, region, left out, first piece, parts to hash, number if left out by itself
+        self.forms: set[int] = set()
+        self.opened = at = 0
         for m in _TAG.finditer(source):
             if m.start() > at:
                 self._text(source[at : m.start()])
@@ -70,7 +92,6 @@ class Page:
             self._text(source[at:])
         while self.stack:
             self._pop()
-        self.region = max((r for r, t in self.pieces if t.strip()), default=BODY)
 
     def _text(self, raw: str) -> None:
         top = self.stack[-1] if self.stack else None
@@ -102,14 +123,27 @@ class Page:
                         self._close(f[0])
                         break
             self._break()
-        region, dropped = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (BODY, False)
-        if not dropped:
+        region, dropped = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (BODY, KEPT)
+        own, self.opened = None, self.opened + 1
+        if dropped == UNLESS_HOLDING:
+            if tag in ("article", "main") and region != ARTICLE:
+                self.holding.update(f[5] for f in self.stack if f[5] is not None)
+            elif tag == "h1":
+                self.holding.update(self.forms.intersection(f[5] for f in self.stack))
+        if dropped == KEPT:
             if tag == "article":
                 region = ARTICLE
             elif tag == "main":
                 region = max(region, MAIN)
-            dropped = tag in DROPPED or (tag == "header" and region == BODY) or (tag not in ("html", "body", "main") and bool(attributes) and _marked(attributes, region))
-        self.stack.append([tag, region, dropped, len(self.pieces), []])
+        if tag in DROPPED:
+            dropped = LEFT_OUT
+        elif dropped != LEFT_OUT and self.opened not in self.spared:
+            form = tag in FORMS
+            if form or (tag == "header" and region == BODY) or (tag not in UNMARKED and bool(attributes) and _marked(attributes, region)):
+                dropped, own = UNLESS_HOLDING, self.opened
+                if form:
+                    self.forms.add(own)
+        self.stack.append([tag, region, dropped, len(self.pieces), [], own])
 
     def _close(self, tag: str) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -119,7 +153,7 @@ class Page:
                 return
 
     def _pop(self) -> None:
-        tag, region, dropped, first, parts = self.stack.pop()
+        tag, region, dropped, first, parts, _ = self.stack.pop()
         if not dropped and parts:
             own = xxhash.xxh64_intdigest(tag + "\x00" + "\x00".join(parts)) - (1 << 63)
             if tag not in ("html", "body", "article", "main"):
