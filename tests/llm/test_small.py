@@ -1,6 +1,7 @@
 """Operators on small tables: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables; against brute force."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -79,11 +80,27 @@ def test_bpe_random(library):
     assert codec.encode(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_memo_bounds(monkeypatch):
-    monkeypatch.setattr(chunks, "MEMO_CHUNKS", 4)
-    e = chunks.ChunkEncoder(lambda xs: [x.encode() for x in xs])
+def test_memo_bounds(monkeypatch, library):
+    monkeypatch.setattr(chunks, "MEMO_PIECES", 4)
+    monkeypatch.setattr(chunks, "GROUP_BYTES", 200)
+    codec = bpe.Codec(bpe.read_vocabulary())
     texts = [f"w{k} " + "long" * 30 for k in range(30)]
-    assert [b for t in texts for b in e.encode([t])] == [t.encode() for t in texts]
+    assert codec.encode(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(codec.encoder.pieces) < 12
+
+
+def test_long_words(library):
+    codec, rng = bpe.Codec.of(bpe.read_vocabulary()), random.Random(5)
+    texts = ["".join(rng.choices("etaoinshrdlu", k=n)) for n in (49, 500, 20_000)] + ["abcdefghij" * 3000, "=" * 5000, " " * 5000 + "x"]
+    assert codec.encode(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_other_tokenizers_are_not_cut():
+    plain = json.loads(bpe.read_vocabulary())
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        assert not chunks.cuttable(json.dumps(plain | change))
+        with pytest.raises(ValueError):
+            bpe.Codec(json.dumps(plain | change))
 
 
 # 2

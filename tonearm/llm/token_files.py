@@ -27,7 +27,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from . import common
 from .bpe import default_path
-from .chunks import ChunkEncoder
+from .chunks import ChunkEncoder, cuttable, in_lines, interleave
 
 END_ID = 0
 LIMIT = 20
@@ -120,22 +120,44 @@ class Coder:
 
 
 class LibraryEncoder:
-    _built: dict[str, ChunkEncoder] = {}
+    """The tokenizers library's encoding of distinct pieces; those that are words go to it as lines of one text."""
+
+    LINES = 512
+    _built: dict[str, LibraryEncoder] = {}
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.n_ids = self.library.get_vocab_size()
+        self.dtype = np.dtype("<u2" if self.n_ids <= 1 << 16 else "<u4")
+        self.special = tuple(a.content for a in self.library.get_added_tokens_decoder().values())
+        cut = cuttable(self.library.to_str())
+        self.line = self._encode(["\n"])[0] if cut else []
+        self.encoder = ChunkEncoder(self.encode_many, self.dtype, self.special, cut)
 
     @classmethod
-    def of(cls, path: str) -> ChunkEncoder:
+    def of(cls, path: str) -> LibraryEncoder:
         if path not in cls._built:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            t = Tokenizer.from_file(path)
-            t.no_truncation()
-            t.no_padding()
-            special = tuple(a.content for a in t.get_added_tokens_decoder().values())
-            dtype = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
-            cls._built = {path: (ChunkEncoder(lambda xs: [np.array(e.ids, dtype).tobytes() for e in t.encode_batch_fast(xs, add_special_tokens=False)], special), dtype, t.get_vocab_size())}
+            cls._built = {path: cls(path)}
         return cls._built[path]
 
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_many(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ok = in_lines(pieces, self.special) if len(self.line) == 1 else np.zeros(len(pieces), bool)
+        lines = pieces.filter(pa.array(ok)).cast(pa.large_string()).to_pylist()
+        coded = self._encode(["\n".join(lines[k : k + self.LINES]) + "\n" for k in range(0, len(lines), self.LINES)])
+        flat = np.array([i for x in coded for i in x], self.dtype)
+        ends = np.flatnonzero(flat == (self.line or [0])[0])
+        sizes = np.diff(ends, prepend=-1) - 1
+        others = self._encode([x.decode() for x in pieces.filter(pa.array(~ok)).to_pylist()])
+        return interleave(len(pieces), ok, (np.delete(flat, ends), sizes), others, self.dtype)
+
 
 _ENCODED = "part int, seq long, doc_id {kind}, n_tokens long, local_start long, ids binary, low {kind}, high {kind}, total long, ordered boolean, counts binary"
 
@@ -171,12 +193,13 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     tokenizer = tokenizer or default_path()
 
     def encode(batches):
-        encoder, dtype, n_ids = LibraryEncoder.of(tokenizer)
+        library = LibraryEncoder.of(tokenizer)
+        dtype, n_ids = library.dtype, library.n_ids
         end = np.array([end_id], dtype).tobytes()
 
         def rows():
             for batch in batches:
-                packed = [x + end for x in encoder.encode(common.texts(common.column(batch, "text")))]
+                packed = [x + end for x in library.encoder.packed(common.column(batch, "text"))]
                 yield common.column(batch, "doc_id").to_pylist(), packed, dtype.itemsize, np.bincount(np.frombuffer(b"".join(packed), dtype), minlength=n_ids)
 
         yield from _numbered(rows(), schema)
