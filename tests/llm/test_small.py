@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -180,8 +181,13 @@ def test_automaton():
 
 
 def test_quoted():
-    t = 'he said "you idiot" to me'
-    assert toxicity.quoted(t, t.index("idiot"), t.index("idiot") + 5) and not toxicity.quoted("you idiot", 4, 9)
+    matcher = toxicity.Matcher(["idiot$"])
+    quoted = lambda t: [q for *_, q in toxicity.hits_in(matcher, t)]
+    assert quoted('He wrote: "you idiot, go away" and left, an idiot.') == [True, False]
+    assert quoted('"a" then you idiot and "b"') == [False]
+    assert quoted("„du idiot“ “idiot” «idiot» idiot”") == [True, True, True, False]
+    assert quoted('an open " mark\nidiot "') == [False]
+    assert quoted("she said idiot") == [True]
 
 
 # 4
@@ -243,6 +249,10 @@ def test_jaccard(docs, monkeypatch, frequent):
 
 
 def test_jaccard_odd_rows(docs):
+    with pytest.raises(TypeError):
+        jaccard_join.near_duplicates(docs([(1, "a")]).withColumn("doc_id", F.lit("x")))
+    same = [(9, "q r s t u v w"), (5, "q r s t u v w"), (9, "other words here"), (4, "other words here")]  # one identifier on two texts links both
+    assert {r[2] for r in rows_of(jaccard_join.near_duplicates(docs(same)))} == {4}
     got = rows_of(jaccard_join.near_duplicates(docs([(1, "a b c"), (1, "a b c"), (None, "a b c"), (3, "x")])))
     assert [r for r in got if r[0] == 1] == [(1, 1, 1)] * 2 and (3, 1, 3) in got and len(got) == 4
     assert jaccard_join.near_duplicates(docs([])).count() == 0
@@ -302,12 +312,30 @@ def test_html(spark):
         ("<p>a</p><form><p>b</form><div class='big AD'>c</div><div id=sidebar>d</div><div role='search'>e</div>", "a"),
         ("<article><p>a</p><div class='comments'><article>c</article></div><form>f</form></article>", "a"),
         ("<aside><article>x</article></aside><article>a</article>", "a"),
+        ("<div class='layout with-sidebar'><article><p>a</article></div>", "a"),
+        ("<div id='search-page'><main><p>a</main></div>", "a"),
+        ("<form id='aspnetForm'><article><p>a</article></form>", "a"),
+        ("<main><p>a long text</p><article>card</article></main>", "a long text card"),
+        ("<main><p>x</p><article>a long text</article></main>", "a long text"),
     ],
 )
 def test_html_marks(source, text):
     assert html_text.Page(f"<html><body>{source}</body></html>").text() == text
 
 
+def test_html_is_linear():
+    began = time.time()
+    for source in ("<a " * 350_000, "<div>" * 100_000, "<p>" * 100_000, "<li>x" * 100_000, "<i>" * 50_000 + "</b>" * 50_000, "<! " * 300_000, "<div><p>x" * 50_000, "<a '" * 100_000):
+        html_text.Page(source).text()
+    assert time.time() - began < 30
+
+
+def test_inline_elements_are_no_templates(spark):
+    rows = [(k, "http://h.org/x", f"<article><p>Words {k} of the <b>same name</b> stay.</p><p>Follow our channel</p></article>") for k in range(12)]
+    got = [r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got) == sorted(f"Words {k} of the same name stay." for k in range(12))
+
+
 # 8
 @pytest.mark.parametrize("hot, bound, pairs", [(20_000, 500_000, 48), (5, 0, 2)])
 def test_substrings(docs, monkeypatch, hot, bound, pairs):
@@ -378,6 +406,13 @@ def test_license_wordings(docs):
     assert 0.8 <= got[1]["score"] <= 1
 
 
+def test_license_places_are_linear():
+    text = "cc by " * 100_000
+    began = time.time()
+    n = licenses.Scanner(licenses.TEMPLATES, {}, 0.8, licenses.PHRASES).scan(text)
+    assert n[1:4] == (100_000, 0, 199_998) and time.time() - began < 10
+
+
 # pipeline
 def test_stages(spark, docs, tmp_path):
     bench = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"

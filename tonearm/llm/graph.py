@@ -1,4 +1,10 @@
-"""Connected components. Graphs of up to SMALL_EDGES edges (16 bytes each) are joined up in one task, larger ones contracted by DataFrame operations; nothing is collected."""
+"""Connected components of edges between integer nodes.
+
+Graphs of up to SMALL_EDGES edges (16 bytes each, so a bounded task) are joined up by one task, larger ones contracted
+round by round in DataFrame operations; nothing is collected.
+
+Defined results: an edge with a null end is no edge; loops and repeated edges add nothing; no edges, no rows.
+"""
 
 from __future__ import annotations
 
@@ -38,18 +44,23 @@ def components(edges: DataFrame, name: str = "components", small: int = SMALL_ED
     """
     edges = common.stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
     if edges.count() <= small:
-        return common.stored(edges.coalesce(1).mapInArrow(_union_find, "node long, root long"), name)
-    mapping = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node"))
+        out = common.stored(edges.coalesce(1).mapInArrow(_union_find, "node long, root long"), name)
+        common.drop(edges)
+        return out
+    mapping = common.stored(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")), name)
     while not common.is_empty(edges):
         both = edges.union(edges.select("b", "a"))
         parent = both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
-        parent = common.stored(parent, name)
+        near = common.stored(parent, name)
+        parent = near
         for _ in range(3):
             up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
             parent = parent.join(up, "p", "left").select("a", F.coalesce("pp", "p").alias("p"))
         parent = common.stored(parent, name)
-        mapping = common.stored(mapping.join(parent.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root")), name)
+        old, mapping = mapping, common.stored(mapping.join(parent.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root")), name)
         left = edges.join(parent, "a").select(F.col("p").alias("a"), "b")
         right = left.join(parent.select(F.col("a").alias("b"), F.col("p").alias("q")), "b").select("a", F.col("q").alias("b"))
-        edges = common.stored(right.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+        done, edges = edges, common.stored(right.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+        common.drop(old, near, parent, done)
+    common.drop(edges)
     return mapping

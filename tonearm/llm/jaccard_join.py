@@ -7,9 +7,11 @@ indexed by itself. A prefix that reaches into the frequent class is extended by
 same of e residue classes, so that pairs of frequent shingles of one class are indexed (k = 2). e depends on the
 size band of the sets, and sets of neighbouring bands index for both.
 
-The frequent class comes from counts over all documents: each window of WINDOW_TOKENS shingles of a task counts
-exactly and reports the shingles it has more than once; Spark sums the reports, and the frequent shingles form a
-Bloom filter of bounded size. Any such filter gives an order that all documents agree on, so none gives wrong results.
+The frequent class comes from counts over all documents: each window of WINDOW_TOKENS shingles of a task is counted
+exactly and the shingles that it has more than once are reported; those whose reports add up to MIN_FREQUENT are
+frequent. They are sent as a Bloom filter; where they are more than the filter is made for, the bound is doubled until
+they are not. Any such filter gives an order that all documents agree on, so none gives wrong results: a shingle that
+many windows have once each may count as rare, and then has a longer bucket.
 
 Candidates are verified in two rounds. First, each document's neighbours in the index are tried, the closest two
 by their bitmaps; links found are contracted to components. Then every pair of an index bucket that is not yet in
@@ -30,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import common
 from .graph import components
@@ -39,14 +42,19 @@ SHINGLE = 5
 #: Linked when 5 * intersection >= 4 * union.
 WINDOW_TOKENS = 4_000_000
 MIN_FREQUENT = 48
+#: Bits of the filter of frequent shingles, and how many shingles it is made for.
 MAX_FILTER_BITS = 1 << 27
+MAX_FREQUENT = MAX_FILTER_BITS // 12
 BITMAP_BITS = (64, 1 << 16)
 BLOCK_DOCS, TASK_ROWS = 2048, 20_000
 #: Neighbours in the index that the first round compares; the second leaves out none.
 NEIGHBOURS = 24
 #: Rounds that try only the best pairs of components, before the one that leaves out none.
 BEST_ROUNDS = 2
-BROADCAST_IDS = 1_000_000
+#: Identifiers (8 bytes each) are broadcast up to this many, and joined by a shuffle beyond.
+BROADCAST_IDS = 500_000
+#: Texts are hashed in pieces of so many bytes.
+PIECE_BYTES = 1 << 22
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _BANDS = 1.25 ** np.arange(0, 200)
@@ -63,44 +71,53 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2 ** 64."""
-    if not _tables or len(_tables["up"]) < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            x = np.full(max(n, 1 << 20), base, np.uint64)
-            x[0] = 1
-            _tables[name] = np.multiply.accumulate(x)
-    return _tables["up"][:n], _tables["down"][:n]
-
-
-def _pieces(texts: list[str]) -> list[list[bytes]]:
-    """Texts as bytes, in lists of 4 MB or one text."""
-    out, size = [[]], 0
-    for t in texts:
-        data = t.encode("utf-8", "surrogatepass").lower().translate(_SPACE)
-        if size and size + len(data) > 1 << 22:
-            out.append([])
-            size = 0
-        out[-1].append(data)
-        size += len(data) + 1
-    return out
+
+
+def _raised(base: int, n: int) -> np.ndarray:
+    x = np.full(n, base, np.uint64)
+    x[0] = 1
+    return np.multiply.accumulate(x)
+
+
+_UP, _DOWN = (_raised(base, PIECE_BYTES + 2) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word of a piece; long single words get tables of their own."""
+    up, down = (_UP, _DOWN) if len(data) < len(_UP) else (_raised(_BASE, len(data) + 1), _raised(pow(_BASE, -1, 1 << 64), len(data) + 1))
+    edges = np.flatnonzero(np.diff(data == 32, prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(data * up[: len(data)], out=sums[1:])
+    return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def _hashed_texts(texts: list[str]):
+    """Yields (word hashes, their first places, where texts begin) of texts that lie one behind the other, PIECE_BYTES at a time or one text."""
+    held, size = [], 0
+    for t in [*texts, None]:
+        data = None if t is None else t.encode("utf-8", "surrogatepass").lower().translate(_SPACE)
+        if held and (data is None or size + len(data) >= PIECE_BYTES):
+            joined = b" ".join(held)
+            hashes, starts, at = [], [], 0
+            while at < len(joined):  # one long text in pieces between words
+                end = len(joined) if len(joined) - at <= PIECE_BYTES else (joined.rfind(b" ", at, at + PIECE_BYTES) + 1) or (joined.find(b" ", at + PIECE_BYTES) + 1) or len(joined)
+                h, s = _word_hashes(np.frombuffer(joined, np.uint8, end - at, at))
+                hashes.append(h)
+                starts.append(s + at)
+                at = end
+            none = np.zeros(0, np.int64)
+            yield np.concatenate([none.view(np.uint64), *hashes]), np.concatenate([none, *starts]), np.cumsum([0, *(len(d) + 1 for d in held)])
+            held, size = [], 0
+        if data is not None:
+            held.append(data)
+            size += len(data) + 1
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles."""
     out = []
-    for docs in _pieces(texts):
-        data = np.frombuffer(b" " + b" ".join(docs) + b" ", np.uint8)
-        up, down = _powers(len(data) + 1)
-        edges = np.flatnonzero(np.diff(data == 32))
-        starts, ends = edges[::2] + 1, edges[1::2] + 1
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(data * up[: len(data)], out=sums[1:])
-        a = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        begins = np.cumsum([1, *(len(d) + 1 for d in docs)])
+    for a, starts, begins in _hashed_texts(texts):
         first = np.searchsorted(starts, begins).tolist()
         n = len(a)
         full = np.full(max(n - SHINGLE + 1, 0), SHINGLE, np.uint64)
@@ -167,6 +184,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+_SIGNATURE = ("doc", "n", "d1", "d2", "bits", "tokens", "counts")
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
     """(doc, n, d1, d2, bits) of each document, and rows of the shingles that a window has more than once."""
 
@@ -176,22 +196,21 @@ def _signatures(docs: DataFrame) -> DataFrame:
         def report():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             tokens, counts = tokens[counts > 1], counts[counts > 1]
-            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary()), pa.array([tokens.tobytes()], pa.binary()), pa.array([counts.astype(np.int64).tobytes()], pa.binary())], names=["doc", "n", "d1", "d2", "bits", "tokens", "counts"])
+            packed = (pa.array([x.tobytes()], pa.binary()) for x in (tokens, counts.astype(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary()), *packed], names=_SIGNATURE)
 
         for batch in batches:
-            n, d1, d2, bits = [], [], [], []
-            for s in shingle_sets(common.texts(common.column(batch, "text"))):
-                n.append(len(s))
-                digest = xxhash.xxh3_128_digest(s.tobytes())
-                d1.append(int.from_bytes(digest[:8], "little", signed=True))
-                d2.append(int.from_bytes(digest[8:], "little", signed=True))
-                bits.append(bitmap(s))
+            sets = shingle_sets(common.texts(common.column(batch, "text")))
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            d1, d2 = ([int.from_bytes(d[k : k + 8], "little", signed=True) for d in digests] for k in (0, 8))
+            none = pa.nulls(len(sets), pa.binary())
+            yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), none, none], names=_SIGNATURE)
+            for s in sets:
                 held.append(s)
                 size += len(s)
                 if size >= WINDOW_TOKENS:
                     yield report()
                     held, size = [], 0
-            yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())], names=["doc", "n", "d1", "d2", "bits", "tokens", "counts"])
         if size:
             yield report()
 
@@ -215,21 +234,23 @@ def _frequent_filter(signatures: DataFrame) -> Bloom:
             a = batch.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(_signed(_second_hash(a.view(np.uint64))))], names=["a", "b"])
 
-    least = max(MIN_FREQUENT, 2 * reports.count())
-    tokens = reports.mapInArrow(spread, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    hashed = common.stored(tokens.select("token").mapInArrow(second, "a long, b long"), "frequent-shingles")
-    return Bloom.of(hashed, min(hashed.count(), MAX_FILTER_BITS // 12), 0.003, 0)
+    least = MIN_FREQUENT
+    counted = reports.mapInArrow(spread, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = common.stored(counted.where(F.col("n") >= least), "frequent-shingles")
+    while (n := counted.where(F.col("n") >= least).count()) > MAX_FREQUENT:
+        least *= 2
+    out = Bloom.of(counted.where(F.col("n") >= least).select("token").mapInArrow(second, "a long, b long"), n, 0.003, 0)
+    common.drop(counted)
+    return out
 
 
-def _index(docs: DataFrame, often: Bloom, copies: np.ndarray | None) -> DataFrame:
-    """(key, doc) of the documents that represent their set."""
-    sent = docs.sparkSession.sparkContext.broadcast((often, copies))
+def _index(docs: DataFrame, often: Bloom) -> DataFrame:
+    """(key, doc) of the documents."""
+    sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
-        often, copies = sent.value
+        often = sent.value
         for batch in batches:
-            if copies is not None and len(copies) and batch.num_rows:
-                batch = batch.filter(pa.array(~np.isin(common.column(batch, "doc").to_numpy(), copies)))
             ds, sets = common.column(batch, "doc").to_pylist(), shingle_sets(common.texts(common.column(batch, "text")))
             if not ds:
                 continue
@@ -241,11 +262,16 @@ def _index(docs: DataFrame, often: Bloom, copies: np.ndarray | None) -> DataFram
     return docs.mapInArrow(run, "key long, doc long")
 
 
+def _bounded(ids: DataFrame) -> DataFrame:
+    """Broadcast up to BROADCAST_IDS rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked, by counting their sets' intersections."""
     pairs = common.stored(pairs, "jaccard-pairs")
     ids = common.stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "jaccard-ids")
-    wanted = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc", "left_semi")
+    wanted = docs.join(_bounded(ids), "doc", "left_semi")
 
     def sets(batches):
         for batch in batches:
@@ -262,7 +288,9 @@ def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok.append(len(np.intersect1d(x, y, assume_unique=True)) >= needed(len(x), len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return common.stored(both.select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long"), "jaccard-links")
+    links = common.stored(both.select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long"), "jaccard-links")
+    common.drop(pairs, ids, tokens)
+    return links
 
 
 def _closest(buckets: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -270,7 +298,8 @@ def _closest(buckets: DataFrame, signatures: DataFrame) -> DataFrame:
     pairs = buckets.where("prev is not null").groupBy(F.col("prev").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("n"))
     pairs = pairs.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))).where(F.col("k") <= NEIGHBOURS).select("a", "b")
     left, right = (signatures.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
-    pairs = common.stored(pairs, "jaccard-neighbours").join(left, "a").join(right, "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na").select("a", "b", "na", "nb", "bitsa", "bitsb")
+    found = common.stored(pairs, "jaccard-neighbours")
+    pairs = found.join(left, "a").join(right, "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na").select("a", "b", "na", "nb", "bitsa", "bitsb")
 
     def run(batches):
         for batch in batches:
@@ -283,7 +312,9 @@ def _closest(buckets: DataFrame, signatures: DataFrame) -> DataFrame:
             yield out.filter(pa.array(keep, pa.bool_()))
 
     near = pairs.mapInArrow(run, "a long, b long, far double")
-    return near.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("far", "a"))).where("k <= 2").select("a", "b")
+    out = common.stored(near.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("far", "a"))).where("k <= 2").select("a", "b"), "jaccard-closest")
+    common.drop(found)
+    return out
 
 
 def _block_pairs(group, own, i, j, n, root):
@@ -326,22 +357,36 @@ def possible_pairs(group, own, i, j, doc, root, n, bits: list[bytes]):
 
 
 def _across(buckets: DataFrame, signatures: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
-    """(a, b, ra, rb, far): the pairs of buckets that are in different components ra, rb and that bitmaps don't rule out; or of any two components the best that each task has."""
+    """(a, b, ra, rb, far): the pairs of buckets that are in different components ra, rb and that bitmaps don't rule out; or of any two components the best that each task has.
+
+    Buckets with the same smallest component have much the same documents: up to TASK_ROWS rows they go to one task
+    together, where each document's bitmap is needed once; larger sets of buckets are dealt out by block.
+    """
     rows = buckets.select("key", "doc").join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
-    rows = common.stored(rows, "jaccard-rooted")
-    keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("docs"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).where("low < high")
-    keys = common.stored(keys.groupBy("docs", "x", "y").agg(F.min("key").alias("key")).select("key", "docs", F.ceil(F.col("docs") / BLOCK_DOCS).cast("int").alias("blocks")), "jaccard-keys")  # buckets of the same documents once
+    rooted = common.stored(rows, "jaccard-rooted")
+    keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("docs"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).where("low < high")
+    blocks = F.ceil(F.col("docs") / BLOCK_DOCS).cast("int")
+    keys = common.stored(keys.groupBy("docs", "x", "y").agg(F.min("key").alias("key"), F.min("low").alias("low")).select("key", "low", "docs", blocks.alias("blocks")), "jaccard-keys")  # buckets of the same documents once
     work = keys.agg(F.sum(F.col("docs") * F.col("blocks"))).first()[0] or 0
     parts = work // TASK_ROWS + 1
-    rows = rows.join(keys.drop("docs"), "key").join(signatures.select("doc", "n", "bits"), "doc")
+    together = keys.groupBy("low").agg(F.sum(F.col("docs") * F.col("blocks")).alias("work")).where(F.col("work") <= TASK_ROWS).select("low", F.xxhash64("low").alias("home"))
+    rows = rooted.join(keys.join(together, "low", "left").drop("docs", "low"), "key")
     own = F.pmod(F.xxhash64("doc", F.lit(2)), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    rows = rows.select("key", "doc", "root", "n", "bits", own.alias("own"), F.explode(F.array_distinct(others)).alias("block"))
-    rows = rows.select(F.xxhash64("key", "block").alias("group"), "block.i", "block.j", "own", "doc", "root", "n", "bits").withColumn("part", F.pmod("group", F.lit(parts)))
+    rows = rows.select("key", "doc", "root", "home", own.alias("own"), F.explode(F.array_distinct(others)).alias("block"))
+    group = F.xxhash64("key", "block")
+    rows = rows.select(F.coalesce("home", group).alias("home"), "doc", "root", F.struct(group.alias("group"), "own", "block.i", "block.j").alias("place"))
+    rows = rows.groupBy("home", "doc").agg(F.min("root").alias("root"), F.collect_list("place").alias("places"))
+    rows = rows.join(signatures.select("doc", "n", "bits"), "doc").withColumn("part", F.pmod("home", F.lit(parts)))
 
     def run(key, table):
-        columns = [table.column(c).to_numpy() for c in ("group", "own", "i", "j", "doc", "root", "n")]
-        found = list(possible_pairs(*columns, table.column("bits").to_pylist()))
+        table = table.combine_chunks()
+        places = table.column("places").combine_chunks()
+        row = np.repeat(np.arange(table.num_rows), places.value_lengths().to_numpy())
+        group, own, i, j = (places.flatten().field(c).to_numpy() for c in ("group", "own", "i", "j"))
+        doc, root, n = (table.column(c).to_numpy()[row] for c in ("doc", "root", "n"))
+        bits = table.column("bits").to_pylist()
+        found = list(possible_pairs(group, own, i, j, doc, root, n, [bits[r] for r in row.tolist()]))
         names = ("a", "b", "ra", "rb", "far")
         a, b, ra, rb, far = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(5))
         by = (far, np.maximum(ra, rb), np.minimum(ra, rb)) if best else (far, b, a)
@@ -352,7 +397,9 @@ def _across(buckets: DataFrame, signatures: DataFrame, roots: DataFrame, best: b
         return pa.table({c: pa.array(z[at], pa.float64() if c == "far" else pa.int64()) for c, z in zip(names, (a, b, ra, rb, far))})
 
     pairs = rows.groupBy("part").applyInArrow(run, "a long, b long, ra long, rb long, far double")
-    return common.stored(pairs.groupBy("a", "b").agg(F.min("ra").alias("ra"), F.min("rb").alias("rb"), F.min("far").alias("far")), "jaccard-across")
+    out = common.stored(pairs.groupBy("a", "b").agg(F.min("ra").alias("ra"), F.min("rb").alias("rb"), F.min("far").alias("far")), "jaccard-across")
+    common.drop(rooted, keys)
+    return out
 
 
 def _verified_across(pairs: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
@@ -360,41 +407,55 @@ def _verified_across(pairs: DataFrame, links: DataFrame, docs: DataFrame) -> Dat
     tries = 1
     while not common.is_empty(pairs):
         w = Window.partitionBy(F.least("ra", "rb"), F.greatest("ra", "rb")).orderBy("far", "a", "b")
-        pairs = common.stored(pairs.withColumn("k", F.row_number().over(w)), "jaccard-across")
-        links = common.stored(links.union(_exact(pairs.where(F.col("k") <= tries).select("a", "b"), docs)), "jaccard-links")
+        ranked = common.stored(pairs.withColumn("k", F.row_number().over(w)), "jaccard-ranked")
+        links = common.stored(links.union(_exact(ranked.where(F.col("k") <= tries).select("a", "b"), docs)), "jaccard-links")
         roots = components(links)
         left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-        rest = pairs.where(F.col("k") > tries).select("a", "b", "far").join(left, "a", "left").join(right, "b", "left")
-        pairs = common.stored(rest.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"), "far").where("ra <> rb"), "jaccard-across")
+        rest = ranked.where(F.col("k") > tries).select("a", "b", "far").join(left, "a", "left").join(right, "b", "left")
+        old, pairs = pairs, common.stored(rest.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"), "far").where("ra <> rb"), "jaccard-across")
+        common.drop(old, ranked, roots)
         tries *= 16
+    common.drop(pairs)
     return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest identifier of the component) of every row. Identifiers are integers."""
     kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} must be an integer column, not {kind.simpleString()}: give rows numbers and join the result to them")
     docs = common.clean_columns(docs, doc=id_col, text=text_col).select(F.col("doc").cast("long").alias("doc"), "text")
     signatures = _signatures(docs)
     often = _frequent_filter(signatures)
     rows = signatures.where("n is not null").select("doc", "n", "d1", "d2", "bits")
-    sets = common.stored(rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc").alias("first"), F.count("*").alias("docs")), "shingle-sets")
-    members = rows.select("doc", "n", "d1", "d2").join(sets.where("docs > 1").select("n", "d1", "d2", "first"), ["n", "d1", "d2"], "left").select("doc", "n", F.coalesce("first", "doc").alias("first"))
+    sets = common.stored(rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc").alias("first"), F.count("*").alias("docs")).where("docs > 1").select("n", "d1", "d2", "first"), "shingle-sets")
+    members = rows.select("doc", "n", "d1", "d2").join(sets, ["n", "d1", "d2"], "left").select("doc", "n", F.coalesce("first", "doc").alias("first"))
     members = common.stored(members, "shingle-members")
-    copies = members.where("doc <> first").select("doc")
-    ids = np.array([r["doc"] for r in copies.collect()], np.int64) if copies.count() <= BROADCAST_IDS else None
     named = docs.where("doc is not null")
+    nodes = members.where("doc is not null").groupBy("doc").agg(F.min("first").alias("low"), F.max("first").alias("high"))
+    nodes = common.stored(nodes.where("low < doc"), "shingle-copies")
+    copies = nodes.where("high < doc").select("doc")
     w = Window.partitionBy("key").orderBy("doc")
-    buckets = _index(named, often, None if ids is None else np.sort(ids)).withColumns({"prev": F.lag("doc").over(w), "next": F.lead("doc").over(w)})
+    buckets = _index(named.join(_bounded(copies), "doc", "left_anti"), often).withColumns({"prev": F.lag("doc").over(w), "next": F.lead("doc").over(w)})
     buckets = common.stored(buckets.where("prev is not null or next is not null").select("key", "doc", "prev"), "shingle-index")
-    first = rows.where("doc is not null").dropDuplicates(["doc"])
-    links = _exact(_closest(buckets, first), named)
+    first = common.stored(rows.where("doc is not null").join(_bounded(copies), "doc", "left_anti").select("doc", "n", "bits").dropDuplicates(["doc"]), "shingle-bitmaps")
+    several = members.join(nodes.where("low < high").select("doc"), "doc", "left_semi").select(F.col("first").alias("a"), F.col("doc").alias("b"))
+    several = common.stored(several, "jaccard-links")  # one identifier on rows of different texts
+    common.drop(signatures, sets, nodes)
+    closest = _closest(buckets, first)
+    links = _exact(closest, named).union(several)
     for _ in range(BEST_ROUNDS):
-        found = _exact(_across(buckets, first, components(links), best=True).select("a", "b"), named)
+        roots = components(links)
+        pairs = _across(buckets, first, roots, best=True)
+        found = _exact(pairs.select("a", "b"), named)
+        common.drop(roots, pairs)
         if common.is_empty(found):
             break
         links = common.stored(links.union(found), "jaccard-links")
-    roots = components(_verified_across(_across(buckets, first, components(links), best=False), links, named))
-    out = members.join(roots.select(F.col("node").alias("first"), "root"), "first", "left")
+    roots = components(links)
+    links = _verified_across(_across(buckets, first, roots, best=False), links, named)
+    common.drop(closest, roots, buckets, first)
+    out = members.join(components(links).select(F.col("node").alias("first"), "root"), "first", "left")
     return out.select(F.col("doc").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "first").cast(kind).alias("component_id"))
 
 
