@@ -4,7 +4,7 @@ A lexicon of whole words and word stems is learned from labelled rows, kept as a
 intersected with the Levenshtein automaton of each word by following sets of (trie node, edits so far); the sets
 and their steps are remembered, so the automaton becomes deterministic as it is used. A hit's weight is how much
 more often its term, at its number of edits, stands in toxic training texts than in clean ones; a hit between
-quotation marks or beside a verb of reporting counts less. The score is a logistic regression over the weights'
+paired quotation marks or beside a verb of reporting counts less, by a factor learned from such hits. The score is a logistic regression over the weights'
 sum, their density in the text, the number of hits and the largest weight.
 
 Defined results: a null text is the empty text; texts without hits, empty ones too, get the regression's score of
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -32,10 +33,13 @@ MIN_SUPPORT, MIN_SHARE, MIN_RATIO = 5, 0.02, 5.0
 #: UNSEEN: the share of its exact weight that a misspelt whole word gets which no training text has. Weights below LEAST_WEIGHT count as none.
 BASE_SCORE, QUOTED, UNSEEN, LEAST_WEIGHT = 0.02, 0.35, 0.6, 1.5
 CONTEXT_CHARS = 48
-MEMO_WORDS, MEMO_STATES = 1_000_000, 200_000
-#: Verbs of reporting, and quotation marks.
+MEMO_WORDS, MEMO_STATES = 200_000, 20_000
+#: Hits in quotations that the discount is learned from at least; with fewer it is QUOTED.
+LEAST_QUOTED = 20
+#: Verbs of reporting, and quotation marks: each closing mark with those that open it. The straight mark opens and closes in turn, inside a line.
 REPORTING = {"said", "says", "wrote", "quoted", "quote", "dit", "écrit", "citation", "sagte", "schrieb", "zitat", "dijo", "escribió", "cita"}
-OPENING, CLOSING = "\"“„«‹", "\"”“»›"
+PAIRS = {"”": "“", "“": "„", "»": "«", "›": "‹"}
+_MARKS = re.compile("[\"“”„«»‹›\n]")
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -160,10 +164,25 @@ class Matcher:
         return out
 
 
-def quoted(text: str, a: int, b: int) -> bool:
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans between paired quotation marks, in order of their ends. A mark without a partner quotes nothing."""
+    out, opened = [], {}
+    for m in _MARKS.finditer(text):
+        c, at = m[0], m.start()
+        if c == "\n":
+            opened.pop('"', None)
+        elif c == '"' and c in opened:
+            out.append((opened.pop(c), at))
+        elif PAIRS.get(c) in opened:
+            out.append((opened.pop(PAIRS[c]), at))
+        else:
+            opened[c] = at
+    return out
+
+
+def reported(text: str, a: int, b: int) -> bool:
+    """Whether a verb of reporting stands right before or behind."""
     before, after = text[max(0, a - CONTEXT_CHARS) : a], text[b : b + CONTEXT_CHARS]
-    if any(c in before for c in OPENING) and any(c in after for c in CLOSING):
-        return True
     return not REPORTING.isdisjoint(_WORD.findall(before)[-3:]) or not REPORTING.isdisjoint(_WORD.findall(after)[:2])
 
 
@@ -173,11 +192,18 @@ def hits_in(matcher: Matcher, text: str) -> list[tuple[int, int, bool]]:
     found = matcher.find(set(_WORD.findall(text)))
     if not found:
         return []
-    return [(*found[m[0]], quoted(text, *m.span())) for m in _WORD.finditer(text) if m[0] in found]
+    spans = quotations(text)
+    ends = [b for _, b in spans]
+
+    def quoted(a: int, b: int) -> bool:
+        k = bisect_left(ends, b)  # quotations end in order; one that began before the hit may end behind later ones
+        return any(s < a for s, _ in spans[k : k + 4]) or reported(text, a, b)
+
+    return [(*found[m[0]], quoted(*m.span())) for m in _WORD.finditer(text) if m[0] in found]
 
 
-def features(hits: list[tuple[int, int, bool]], n_words: int, weights: dict[tuple[int, int], float]) -> list[float]:
-    own = [w * (QUOTED if q else 1) for t, e, q in hits if (w := weights.get((t, e), 0))]
+def features(hits: list[tuple[int, int, bool]], n_words: int, weights: dict[tuple[int, int], float], discount: float = QUOTED) -> list[float]:
+    own = [w * (discount if q else 1) for t, e, q in hits if (w := weights.get((t, e), 0))]
     total = sum(own)
     return [math.log1p(total), min(100 * total / max(n_words, 20), 50.0), math.log1p(len(own)), max(own, default=0.0), float(len(own) > 1)]
 
@@ -194,11 +220,11 @@ TRAINING = "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"
 
 
 class Model:
-    def __init__(self, terms: list[str], weights: dict[tuple[int, int], float], coefficients: list[float], intercept: float):
-        self.terms, self.weights, self.coefficients, self.intercept = terms, weights, coefficients, intercept
+    def __init__(self, terms: list[str], weights: dict[tuple[int, int], float], coefficients: list[float], intercept: float, discount: float = QUOTED):
+        self.terms, self.weights, self.coefficients, self.intercept, self.discount = terms, weights, coefficients, intercept, discount
 
     def score(self, hits: list[tuple[int, int, bool]], n_words: int) -> float:
-        z = self.intercept + sum(c * x for c, x in zip(self.coefficients, features(hits, n_words, self.weights)))
+        z = self.intercept + sum(c * x for c, x in zip(self.coefficients, features(hits, n_words, self.weights, self.discount)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -230,29 +256,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         matcher, both = Matcher.of(lexicon), {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, y in zip(common.texts(common.column(batch, "text")), common.column(batch, "toxic").to_pylist()):
-                both[y].update((t, e) for t, e, _ in hits_in(matcher, text))
+                hits = hits_in(matcher, text)
+                both[y].update((t, e) for t, e, _ in hits)
+                both[y].update((-2, int(q)) for *_, q in hits)
                 both[y][-1, 0] += len(_WORD.findall(text))
         keys = list(both[0].keys() | both[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in keys], pa.int32()), pa.array([e for _, e in keys], pa.int32()), pa.array([both[1][k] for k in keys], pa.int64()), pa.array([both[0][k] for k in keys], pa.int64())], names=["term", "edits", "t", "c"])
 
     seen = {(r["term"], r["edits"]): (r["t"], r["c"]) for r in docs.mapInArrow(hit_counts, "term int, edits int, t long, c long").groupBy("term", "edits").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()}
     w1, w0 = seen.get((-1, 0), (1, 1))
+    evidence = lambda t, c: math.log((t + 0.5) / max(w1, 1) / ((c + 0.5) / max(w0, 1)))
+    outside, inside = seen.get((-2, 0), (0, 0)), seen.get((-2, 1), (0, 0))
+    discount = min(1.0, max(0.0, evidence(*inside) / max(evidence(*outside), 0.1))) if min(sum(inside), sum(outside)) >= LEAST_QUOTED else QUOTED
     weights = {}
     for k, term in enumerate(lexicon):
         for e in range(allowed_edits(term) + 1):
             t, c = seen.get((k, e), (0, 0))
-            surely = min(6.0, math.log((t + 0.5) / max(w1, 1) / ((c + 0.5) / max(w0, 1)))) if t or c else UNSEEN * weights[k, 0] * term.endswith("$")
+            surely = min(6.0, evidence(t, c)) if t or c else UNSEEN * weights[k, 0] * term.endswith("$")
             weights[k, e] = surely if surely >= LEAST_WEIGHT else 0.0
 
     def rows(batches):
         matcher = Matcher.of(lexicon)
         for batch in batches:
-            xs = [features(hits_in(matcher, t), len(_WORD.findall(t)), weights) for t in common.texts(common.column(batch, "text"))]
+            xs = [features(hits_in(matcher, t), len(_WORD.findall(t)), weights, discount) for t in common.texts(common.column(batch, "text"))]
             yield pa.RecordBatch.from_arrays([common.column(batch, "toxic").cast(pa.float64()), pa.array(xs, pa.list_(pa.float64()))], names=["toxic", "x"])
 
     points = common.stored(docs.mapInArrow(rows, "toxic double, x array<double>"), "toxic-points")
     fitted = LogisticRegression(labelCol="toxic", regParam=1e-3, maxIter=50).fit(points.select("toxic", array_to_vector("x").alias("features")))
-    return Model(lexicon, weights, fitted.coefficients.toArray().tolist(), float(fitted.intercept))
+    return Model(lexicon, weights, fitted.coefficients.toArray().tolist(), float(fitted.intercept), discount)
 
 
 def choose_terms(support: dict[str, int]) -> list[str]:
