@@ -2,7 +2,8 @@
 
 A page is read into element subtrees. Boilerplate elements (by tag, word of the class, whole id or role) are left out,
 but for articles, headings, and what is marked or a form and holds the article or main; a form also stays if it holds
-the page's h1 or all its text. The main region is the article, else main, else the body. Every element subtree of the region is hashed, and Spark counts
+the page's h1 or all its text. The main region is the article, unless main holds more text beside it, else main, else the
+body. Every subtree of a block element of the region is hashed (words marked up inside a sentence stay), and Spark counts
 for each host in how many different main texts a subtree occurs: exact copies of an article count once, so that
 copying does not make a text a template. Subtrees that recur across many of a host's texts are deleted.
 
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -35,7 +38,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 DROPPED = frozenset("aside audio button canvas datalist dialog embed footer head iframe input map menu nav noscript object script select style svg template textarea title video".split())
 FORMS = frozenset(["fieldset", "form"])
 HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
-UNMARKED = HEADINGS | {"html", "body", "main", "article"}
+WHOLE = frozenset(["html", "body", "main", "article"])
+UNMARKED = HEADINGS | WHOLE
 #: An element is left out: not, unless it holds the article, or in any case.
 KEPT, UNLESS_HOLDING, LEFT_OUT = 0, 1, 2
 #: Words of a class, id or role that mark boilerplate.
@@ -48,7 +52,7 @@ ARTICLE, MAIN, BODY = 2, 1, 0
 #: Opening one of these closes an open element of the others named, up to the container.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template|svg|iframe)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^<>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
@@ -74,13 +78,17 @@ class Page:
             if self.holding <= self.spared:
                 break
             self.spared |= self.holding
-        self.region = max((r for r, t in self.pieces if t.strip()), default=BODY)
+        sizes = Counter()
+        for r, t in self.pieces:
+            sizes[r] += len(t.strip())
+        self.region = ARTICLE if sizes[ARTICLE] and sizes[ARTICLE] >= sizes[MAIN] else MAIN if sizes[MAIN] else BODY
 
     def _read(self, source: str) -> None:
         self.pieces: list[tuple[int, str]] = []
         self.subtrees: list[tuple[int, int, int]] = []
         self.stack: list[list] = []  # tag, region, left out, first piece, parts to hash, number if left out by itself
         self.forms: set[int] = set()
+        self.open_tags: Counter = Counter()
         self.opened = at = 0
         for m in _TAG.finditer(source):
             if m.start() > at:
@@ -112,9 +120,8 @@ class Page:
                 self._break()
             return
         if tag not in INLINE:
-            if any(f[0] == "p" for f in self.stack):
-                self._close("p")
-            if tag in CLOSES:
+            self._close("p")
+            if tag in CLOSES and any(self.open_tags[t] for t in CLOSES[tag][0]):
                 these, within = CLOSES[tag]
                 for f in reversed(self.stack):
                     if f[0] in within:
@@ -144,8 +151,11 @@ class Page:
                 if form:
                     self.forms.add(own)
         self.stack.append([tag, region, dropped, len(self.pieces), [], own])
+        self.open_tags[tag] += 1
 
     def _close(self, tag: str) -> None:
+        if not self.open_tags[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 while len(self.stack) > k:
@@ -154,9 +164,10 @@ class Page:
 
     def _pop(self) -> None:
         tag, region, dropped, first, parts, _ = self.stack.pop()
+        self.open_tags[tag] -= 1
         if not dropped and parts:
             own = xxhash.xxh64_intdigest(tag + "\x00" + "\x00".join(parts)) - (1 << 63)
-            if tag not in ("html", "body", "article", "main"):
+            if tag not in WHOLE and tag not in INLINE:
                 self.subtrees.append((own, first, len(self.pieces)))
             if self.stack:
                 self.stack[-1][4].append(f"{own:x}")
@@ -164,14 +175,18 @@ class Page:
             self._break()
 
     def text(self, templates: frozenset = frozenset()) -> str:
-        keep = [r == self.region for r, _ in self.pieces]
+        change = [0] * (len(self.pieces) + 1)
         for own, a, b in self.subtrees:
             if own in templates:
-                keep[a:b] = [False] * (b - a)
-        return " ".join("".join(t if k else " " for k, (_, t) in zip(keep, self.pieces)).split())
+                change[a] += 1
+                change[b] -= 1
+        kept = (t if r >= self.region and not cut else " " for (r, t), cut in zip(self.pieces, accumulate(change)))
+        return " ".join("".join(kept).split())
 
     def hashes(self) -> set[int]:
-        return {own for own, a, b in self.subtrees if any(r == self.region for r, _ in self.pieces[a:b])}
+        """The subtrees of the main region."""
+        before = [0, *accumulate(r >= self.region for r, _ in self.pieces)]
+        return {own for own, a, b in self.subtrees if before[b] > before[a]}
 
 
 def count_templates(pages: DataFrame) -> DataFrame:

@@ -117,10 +117,12 @@ class Scanner:
 
     def phrase_places(self, joined: bytes):
         for phrase, label in self.phrases:
-            at = joined.find(phrase)
+            at, word, last = joined.find(phrase), -1, 0
             while at >= 0:
-                yield joined.count(b" ", 0, at + 1) - 1, label
-                at = joined.find(phrase, at + 1)
+                word += joined.count(b" ", last, at + 1)
+                yield word, label
+                last = at + 1
+                at = joined.find(phrase, last)
 
     def scan(self, text: str) -> tuple:
         ws = common.words(text)
