@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tonearm.llm import bpe, chunks, common, decontaminate, dedup_exact, graph, html_text, jaccard_join, licenses, stages, substrings, token_files, toxicity, url_filter
 
+from . import brute
+
 LONG = "word " * 40_000
 ODD = [(1, None), (2, ""), (3, " "), (4, "a"), (5, "A b  c\n\nd "), (6, "same text here for two"), (7, "same text here for two"), (7, "same text here for two"), (None, "no id"), (8, LONG), (9, "é ü 日本 🎉 <|endoftext|> don't")]
 
@@ -197,7 +199,7 @@ def test_decontamination(spark, docs):
     items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([1, 5, 13, 14, 30, 40])] + [(6, None), (7, ""), (4, "repeated id " * 9)]
     rows = ODD[:-3] + [(10 + k, " ".join([*(word() for _ in range(30)), *(items[k % 6][1].upper().replace(" ", ", ").split(" ")), *(word() for _ in range(k * 9))])) for k in range(12)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = sorted(decontaminate.brute_force(rows, items), key=repr)
+    want = sorted(brute.contaminated(rows, items), key=repr)
     for block in (1_000_000, 20):
         found = decontaminate.contamination(decontaminate.find_matches(docs(rows), bench, block_words=block))
         got = found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long"), F.sha2(F.array_join("item_ids", ","), 256), "contaminated")
@@ -347,7 +349,7 @@ def test_substrings(docs, monkeypatch, hot, bound, pairs):
     base = junk(800)
     rows = [(k, junk(rng.randint(0, 300)) + base[rng.randint(0, 200) : rng.randint(450, 800)] + junk(rng.randint(0, 300))) for k in range(40)]
     rows += [(100, None), (101, ""), (102, base), (102, base), (103, "é" * 600), (104, "ab " * 300), (105, "x" * 399)]
-    assert rows_of(substrings.removed(substrings.repeated_spans(docs(rows)))) == sorted(substrings.brute_force(rows), key=repr)
+    assert rows_of(substrings.removed(substrings.repeated_spans(docs(rows)))) == sorted(brute.removed(rows), key=repr)
     assert substrings.removed(substrings.repeated_spans(docs([]))).count() == 0
 
 

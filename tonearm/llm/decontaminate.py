@@ -14,8 +14,6 @@ every document clean; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -173,23 +171,18 @@ def op4_decontamination(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-def brute_force(documents: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:
-    """The contract word by word, for tests."""
-    import re
-
-    def split(t):
-        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-
-    out = []
-    for doc_id, text in documents:
-        ws, hit, ids = split(text), set(), set()
-        for item_id, item in items:
-            iw = split(item)
-            n = min(window, len(iw))
-            for s in range(len(iw) - n + 1 if n else 0):
-                for p in range(len(ws) - n + 1):
-                    if ws[p : p + n] == iw[s : s + n]:
-                        hit.update(range(p, p + n))
-                        ids.add(str(item_id))
-        out.append((doc_id, len(ws), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(ws)))
-    return out
+#: The contract in SQL: windows as texts of words, matched by equality; a hit word is inside any of them.
+SQL = r"""
+WITH lower_docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+sized AS (SELECT item_id, ws, least(13, len(ws)) AS n FROM items WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(ws[s : s + n - 1], ' ') AS w FROM (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM sized)),
+lengths AS (SELECT DISTINCT n FROM sized),
+places AS (SELECT doc_id, n, p, array_to_string(ws[p : p + n - 1], ' ') AS w FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM lower_docs, lengths)),
+hits AS (SELECT doc_id, item_id, p, n FROM places JOIN windows USING (n, w)),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY 1),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM lower_docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

@@ -19,5 +19,7 @@ QUERIES = {
 
 SQL = {
     "op2_url_filter": url_filter.SQL,
+    "op4_decontamination": decontaminate.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
     "op6_exact_dedup": dedup_exact.SQL,
 }

@@ -414,22 +414,3 @@ def removed(spans: DataFrame) -> DataFrame:
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return removed(repeated_spans(common.read(spark, sf_dir, "documents")))
-
-
-def brute_force(rows: list[tuple], length: int = LENGTH) -> list[tuple]:
-    """The contract byte by byte, for tests."""
-    seen: dict[bytes, int] = {}
-    data = [(i, (t or "").encode()) for i, t in rows]
-    for _, d in data:
-        for s in range(len(d) - length + 1):
-            k = xxhash.xxh3_128_digest(d[s : s + length])
-            seen[k] = seen.get(k, 0) + 1
-    out = []
-    for i, d in data:
-        keep = bytearray(b"\x01" * len(d))
-        for s in range(len(d) - length + 1):
-            if seen[xxhash.xxh3_128_digest(d[s : s + length])] > 1:
-                keep[s : s + length] = bytes(length)
-        spans = sum(1 for k in range(len(d)) if not keep[k] and (k == 0 or keep[k - 1]))
-        out.append((i, len(d), keep.count(0), spans, hashlib.sha256(bytes(b for b, k in zip(d, keep) if k)).hexdigest()))
-    return out
