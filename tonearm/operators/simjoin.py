@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,17 @@ from ..functions.text import name_tokens
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """A temporary folder where no shared one is set, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tonearm-"))
+    """The folder that driver and executors share; a machine's own folder serves only where all tasks run in the driver's process."""
+    if spark.sparkContext.getCheckpointDir() is not None:
+        return
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="tonearm-"))
+
+
+#: Names that the whole other side may be compared with.
+SMALL_SIDE = 10_000
 
 
 def _token_rows(names: DataFrame, key: str, name: str, prefix: str) -> DataFrame:
@@ -43,7 +52,9 @@ def fuzzy_join(left: DataFrame, right: DataFrame, left_key: str, left_name: str,
         pairs = words(a, "left_key", "left_name").join(words(b, "right_key", "right_name"), "token").select("left_key", "right_key").distinct()
         pairs = pairs.join(a, "left_key").join(b, "right_key")
     else:
-        pairs = a.crossJoin(F.broadcast(b))
+        if b.count() > SMALL_SIDE:
+            raise ValueError(f"the right side has more than {SMALL_SIDE} names: compare all with all needs a small side, else use blocking")
+        pairs = a.join(F.broadcast(b))
     return pairs.withColumn("score", token_set_ratio_udf(F.col("left_name"), F.col("right_name"))).where(F.col("score") >= threshold).select("left_key", "right_key", "score")
 
 
