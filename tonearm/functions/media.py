@@ -41,12 +41,17 @@ def is_image(url: Column, lenient: bool = False) -> Column:
     return ~url.rlike(IMAGE_DENIED) if lenient else url.rlike(IMAGE_ALLOWED) | url.startswith("data:image")
 
 
-def waveform(samples: Column, peaks: int = PEAKS) -> Column:
-    """Mean magnitudes of equal blocks (the rest is left out) as a share of the largest; 0.5 in silence."""
+def block_means(samples: Column, peaks: int = PEAKS) -> Column:
+    """Mean magnitudes of equal blocks; the rest is left out. Null where there are fewer samples than blocks."""
     block = F.floor(F.size(samples) / peaks).cast("int")
-    means = F.transform(F.sequence(F.lit(0), F.lit(peaks - 1)), lambda i: F.aggregate(F.slice(samples, (i * block + 1).cast("int"), block), F.lit(0.0), lambda acc, x: acc + F.abs(x.cast("double"))) / block)
-    top = F.array_max(means)
-    return F.when(block > 0, F.transform(means, lambda m: F.when(top > 0, m / F.nullif(top, F.lit(0.0))).otherwise(0.5)))
+    mean = lambda i: F.aggregate(F.slice(samples, (i * block + 1).cast("int"), block), F.lit(0.0), lambda acc, x: acc + F.abs(x.cast("double"))) / block
+    return F.when(block > 0, F.transform(F.sequence(F.lit(0), F.lit(peaks - 1)), mean))
+
+
+def waveform(samples: Column, peaks: int = PEAKS) -> Column:
+    """block_means as a share of the largest; 0.5 in silence."""
+    means = block_means(samples, peaks)
+    return F.get(F.transform(F.array(means), lambda ms: F.transform(ms, lambda m: F.when(F.array_max(ms) > 0, m / F.nullif(F.array_max(ms), F.lit(0.0))).otherwise(0.5))), F.lit(0))
 
 
 def fallback_waveform(track_id: Column, peaks: int = PEAKS) -> Column:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 Test = Callable[[Column], Column]
 
 
@@ -49,8 +51,10 @@ def under(outer: Test, inner: Test) -> Test:
 
 
 def every(test: Test, within: Column | None = None) -> Column:
-    """Nodes in document order, inside a node if given."""
-    return F.filter("nodes", lambda n: test(n) if within is None else below(within, n) & test(n))
+    """Nodes in document order, inside a node if given (which is worked out once)."""
+    if within is None:
+        return F.filter("nodes", test)
+    return let(within, lambda w: F.filter("nodes", lambda n: below(w, n) & test(n)))
 
 
 def first(test: Test, within: Column | None = None) -> Column:
@@ -59,13 +63,13 @@ def first(test: Test, within: Column | None = None) -> Column:
 
 def ancestor(node: Column, *tags: str) -> Column:
     """The nearest of the tags that the node is in."""
-    return F.try_element_at(F.filter("nodes", lambda n: n["tag"].isin(*tags) & below(n, node)), F.lit(-1))
+    return let(node, lambda x: F.try_element_at(F.filter("nodes", lambda n: n["tag"].isin(*tags) & below(n, x)), F.lit(-1)))
 
 
 def content(node: Column) -> Column:
     """All text of the node, each piece stripped."""
-    return F.substring(F.col("text"), node["begin"] + 1, node["end"] - node["begin"])
+    return let(node, lambda n: F.substring(F.col("text"), n["begin"] + 1, n["end"] - n["begin"]))
 
 
 def raw_content(node: Column) -> Column:
-    return F.substring(F.col("raw"), node["raw_begin"] + 1, node["raw_end"] - node["raw_begin"])
+    return let(node, lambda n: F.substring(F.col("raw"), n["raw_begin"] + 1, n["raw_end"] - n["raw_begin"]))

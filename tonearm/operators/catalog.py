@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import truthy
 
@@ -100,3 +101,18 @@ def scan_counts(scanned: DataFrame, tracks: DataFrame, min_duration: float = 0)
     known = tracks.select("filepath", F.lit(True).alias("known")).distinct()
     rows = scanned.join(known, "filepath", "left").select(F.coalesce("known", F.lit(False)).alias("known"), long_enough_to_scan(min_duration).alias("long"))
     return rows.agg(F.count_if(~F.col("known") & F.col("long")).alias("added"), F.count_if("known").alias("skipped"), F.count_if(~F.col("known") & ~F.col("long")).alias("filtered"))
+
+
+def sorted_facets(tracks: DataFrame, *fields: str) -> DataFrame:
+    """The facets with their place in the order of code points, from 1."""
+    return facets(tracks, *fields).withColumn("place", F.row_number().over(Window.partitionBy("field").orderBy("value")))
+
+
+def group_totals(groups: DataFrame, count: str = "track_count") -> DataFrame:
+    return groups.agg(F.count("*").alias("n_groups"), F.coalesce(F.sum(count), F.lit(0)).alias("total_tracks"))
+
+
+def migrated(table: DataFrame, columns: str) -> DataFrame:
+    """The table with the columns (DDL) that it lacks, as nulls; those it has stay as they are."""
+    wanted = StructType.fromDDL(columns)
+    return table.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in wanted if f.name not in table.columns))

@@ -153,3 +153,24 @@ def tag_preview(tracks: DataFrame, current: DataFrame) -> DataFrame:
 def replace_candidates(existing: DataFrame, new: DataFrame) -> DataFrame:
     """New candidates replace their tracks' old ones; tracks without new ones keep theirs."""
     return existing.join(new.select("track_id").distinct(), "track_id", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def taggable(tracks: DataFrame) -> DataFrame:
+    """id, accepted, reason: only matched tracks are tagged; the others with the reason why not."""
+    ok = F.coalesce(F.col("status") == "matched", F.lit(False))
+    return tracks.select("id", ok.alias("accepted"), F.when(~ok, F.concat(F.lit("status is "), F.coalesce("status", F.lit("unknown")))).alias("reason"))
+
+
+def desired_tags(tracks: DataFrame, fields: tuple[str, ...] = TAG_FIELDS, marker: str | None = None, cover: bool = False) -> DataFrame:
+    """A plan for the writers of tags: id, filepath, tags array(struct(field, value)), of what isn't empty.
+
+    marker: the mark of series, written as a field of its own. cover: the picture's address as a field.
+    """
+    either = lambda f: F.coalesce(truthy(F.col(f"matched_{f}")), truthy(F.col(f))) if f"matched_{f}" in tracks.columns else truthy(F.col(f))
+    wanted = [(f, either(f)) for f in fields]
+    if cover:
+        wanted.append(("cover", truthy(F.col("matched_cover_url"))))
+    if marker:
+        wanted.append(("marker", F.lit(marker)))
+    entries = [F.when(v.isNotNull(), F.struct(F.lit(f).alias("field"), v.alias("value"))) for f, v in wanted]
+    return tracks.select("id", "filepath", F.array_compact(F.array(*entries)).alias("tags"))

@@ -15,10 +15,14 @@ NAMES, FOLDERS, ORPHANS, ALBUMS = 1, 2, 4, 5
 THRESHOLD, ALTERNATIVES = 0.5, 4
 
 
+def _named(tracks: DataFrame) -> DataFrame:
+    """Adds display_name, normalized and episode. A generator row is made once, however many of its fields are used."""
+    return tracks.select("*", F.inline(F.array(series_name(F.col("filename"))))).withColumnRenamed("display", "display_name")
+
+
 def name_groups(tracks: DataFrame) -> DataFrame:
     """Tracks with the series key, display name and episode of their file name."""
-    named = tracks.withColumn("s", series_name(F.col("filename")))
-    return named.select("*", F.col("s.normalized").alias("key"), F.col("s.display").alias("display_name"), F.col("s.episode").alias("episode")).drop("s").where(F.length("key") > 3)
+    return _named(tracks).withColumnRenamed("normalized", "key").where(F.length("key") > 3)
 
 
 def series_counts(tracks: DataFrame, min_tracks: int = 2) -> DataFrame:
@@ -89,8 +93,7 @@ def grouped_tracks(tracks: DataFrame, min_tracks: int = 2, include_tagged: bool
     if not include_tagged:
         orphans = orphan_matches(free, tagged_albums(tracks, min_duration)).checkpoint()
         best = orphans.where("rank = 1").select("id")
-        s = F.col("s")
-        alone = free.join(best, "id", "left_semi").withColumn("s", series_name(F.col("filename"))).withColumns({"group_key": F.concat(F.lit("orphan:"), F.col("id")), "method": F.lit(ORPHANS), "group_pos": F.lit(ORPHANS) * F.lit(1 << 60) + F.col("id"), "part": F.lit(0).cast("long"), "display_name": s["display"], "episode": s["episode"]})
+        alone = _named(free.join(best, "id", "left_semi")).withColumns({"group_key": F.concat(F.lit("orphan:"), F.col("id")), "method": F.lit(ORPHANS), "group_pos": F.lit(ORPHANS) * F.lit(1 << 60) + F.col("id"), "part": F.lit(0).cast("long")})
         out = out.unionByName(_common(alone))
         free = free.join(best, "id", "left_anti")
     albums = free.withColumn("a", own_first("album")).where(F.length("a") > 2).withColumn("plain", normalize_key(F.col("a"), squeezed=False)).where("plain <> ''")

@@ -26,21 +26,48 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 SMALL_SIDE = 10_000
 
 
-def _token_rows(names: DataFrame, key: str, name: str, prefix: str) -> DataFrame:
-    tokens = names.select(F.col(key).alias(f"{prefix}_key"), name_tokens(F.col(name)).alias("ts"))
-    return tokens.select(f"{prefix}_key", F.size("ts").alias(f"{prefix}_n"), F.explode("ts").alias("token"))
+def _ranked(sides: list[tuple[DataFrame, str, str]]) -> list[DataFrame]:
+    """(key, tokens) of each side's names, the tokens from the rarest on, by how many names of all sides have them."""
+    rows = [df.select(F.col(key).alias("key"), name_tokens(F.col(name)).alias("tokens")).where(F.size("tokens") > 0) for df, key, name in sides]
+    tokens = [r.select("key", F.explode("tokens").alias("token")) for r in rows]
+    every = tokens[0]
+    for more in tokens[1:]:
+        every = every.unionByName(more)
+    counts = every.groupBy("token").agg(F.count("*").alias("n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"])
+    return [t.join(counts, "token").groupBy("key").agg(ordered.alias("tokens")) for t in tokens]
+
+
+def _similar(left: DataFrame, right: DataFrame, threshold: float, once: bool) -> DataFrame:
+    """left, right: (key, tokens from the rarest on).
+
+    A Jaccard similarity above the threshold needs a common token among each side's first n - floor(n * threshold); a
+    name whose tokens are all in another's is found by its first token. So a frequent token joins only names that
+    have no rarer one there.
+    """
+    prefix = F.slice("tokens", F.lit(1), F.size("tokens") - F.floor(F.size("tokens") * F.lit(threshold)).cast("int"))
+    by = lambda df, side, part: df.select(F.col("key").alias(f"{side}_key"), F.explode(part).alias("token"))
+    first, whole = F.slice("tokens", 1, 1), F.col("tokens")
+    pairs = None
+    for a, b in ((prefix, prefix), (first, whole), (whole, first)):
+        found = by(left, "left", a).join(by(right, "right", b), "token").select("left_key", "right_key")
+        found = found.where("left_key < right_key") if once else found
+        pairs = found if pairs is None else pairs.unionByName(found)
+    a, b = (df.select(F.col("key").alias(f"{side}_key"), F.col("tokens").alias(f"{side}_tokens")) for df, side in ((left, "left"), (right, "right")))
+    both = pairs.distinct().join(a, "left_key").join(b, "right_key")
+    score = overlap_score(F.size(F.array_intersect("left_tokens", "right_tokens")), F.size("left_tokens"), F.size("right_tokens"))
+    return both.select("left_key", "right_key", score.alias("score")).where(F.col("score") > threshold)
 
 
 def token_similarity_join(left: DataFrame, right: DataFrame, left_key: str, left_name: str, right_key: str, right_name: str, threshold: float = 0.5) -> DataFrame:
-    """(left_key, right_key, score) of pairs above threshold. Pairs without a common token score 0, so an equi-join on tokens finds all."""
-    a, b = _token_rows(left, left_key, left_name, "left"), _token_rows(right, right_key, right_name, "right")
-    shared = a.join(b, "token").groupBy("left_key", "left_n", "right_key", "right_n").agg(F.count("*").alias("shared"))
-    return shared.select("left_key", "right_key", overlap_score(F.col("shared"), F.col("left_n"), F.col("right_n")).alias("score")).where(F.col("score") > threshold)
+    """(left_key, right_key, score) of pairs above threshold, which is above 0: pairs without a common token score 0. Keys are unique on each side."""
+    return _similar(*_ranked([(left, left_key, left_name), (right, right_key, right_name)]), threshold, False)
 
 
 def similar_names(names: DataFrame, key: str, name: str, threshold: float = 0.5) -> DataFrame:
     """Each pair of different keys once, with the smaller key on the left."""
-    return token_similarity_join(names, names, key, name, key, name, threshold).where("left_key < right_key")
+    (ranked,) = _ranked([(names, key, name)])
+    return _similar(ranked, ranked, threshold, True)
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, left_key: str, left_name: str, right_key: str, right_name: str, threshold: float, blocking: str | None = "token") -> DataFrame:

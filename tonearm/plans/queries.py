@@ -143,7 +143,7 @@ N = _series_sql()
 
 @query(f"{N} SELECT id, display, key AS normalized, episode FROM named")
 def series_names(spark, sf_dir):
-    return tracks(spark, sf_dir).select("id", text.series_name(F.col("filename")).alias("s")).select("id", "s.display", "s.normalized", "s.episode")
+    return tracks(spark, sf_dir).select("id", F.inline(F.array(text.series_name(F.col("filename"))))).select("id", "display", "normalized", "episode")
 
 
 _MODE = "arg_max({v}, n * 1000000000000 - p)"
@@ -384,9 +384,9 @@ def tracklist_ids(spark, sf_dir):
     return candidates(spark, sf_dir).select("id", text.tracklist_id(F.col("tracklist_url")).alias("tracklist_id"))
 
 
-@query(f"{T} SELECT id, 1 AS position, artist, p AS title FROM (SELECT id, artist, regexp_replace(filename, '\\s*-.*$', '') AS p FROM tracks) WHERE id % 2 = 0")
+@query(f"{T} SELECT id, 1 AS position, artist, p AS title FROM (SELECT id, artist, regexp_replace(filename, '\\s*-.*$', '') AS p FROM tracks)")
 def extract_tracklist_lines(spark, sf_dir):
-    t = tracks(spark, sf_dir).where("id % 2 = 0").select("id", F.concat(F.lit("01. "), F.col("artist"), F.lit(" - "), F.regexp_replace("filename", r"\s*-.*$", ""), F.lit("\nx\n[00:10] "), F.col("artist"), F.lit(" - "), F.regexp_replace("filename", r"\s*-.*$", "")).alias("lines"))
+    t = tracks(spark, sf_dir).select("id", F.concat(F.lit("01. "), F.col("artist"), F.lit(" - "), F.regexp_replace("filename", r"\s*-.*$", ""), F.lit("\nx\n[00:10] "), F.col("artist"), F.lit(" - "), F.regexp_replace("filename", r"\s*-.*$", "")).alias("lines"))
     return html_pages.tracklist_lines(t, "id", "lines")
 
 
@@ -564,7 +564,9 @@ def event_windows(spark, sf_dir):
     return incremental.event_counts(read(spark, sf_dir, "events")).select("start", "event_type", "n")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 300 SECONDS THEN 0 ELSE 1 END AS first FROM events),
+s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 300 SECONDS AS expires, count(*) AS n_events FROM s GROUP BY user_id, n""")
 def job_sessions(spark, sf_dir):
     return incremental.job_sessions(read(spark, sf_dir, "events"))
 
