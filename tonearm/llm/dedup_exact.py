@@ -1,8 +1,12 @@
 """Exact duplicates through a log-structured merge index of text digests, in DataFrame operations only.
 
-* A *memtable* is one input partition; it flushes its (digest, identifier) entries as a run sorted by digest,
-  a Parquet file with a Bloom filter on the digest.
-* *Compaction* merges runs to one entry a digest: how many rows have it and which row stays.
+* A *memtable* is one input partition of a batch; it flushes its (digest, identifier) entries as a run sorted by
+  digest. A batch's runs are compacted to one run of level 0: one entry a digest, with the row that stays and how many
+  rows have it.
+* Each run has a *filter*, a bitmap over hashes of its digests. A new batch's digests are tested against the filters of
+  older runs, and only those that pass are merged with the run itself.
+* *Compaction*: FANOUT runs of a level are merged, two sorted runs at a time by a sort-merge full outer join, to one run
+  of the next level, that keeps the smallest (or largest) identifier and the counts' sum.
 * A digest held by several rows is a *hit*. Hits get byte verification: the smallest and the largest text of
   the digest must be the same bytes. Should they ever differ, the rows of that digest are grouped by text.
 
@@ -18,51 +22,133 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Hits are broadcast up to this many digests (32 bytes each), and joined by a shuffle beyond.
-BROADCAST_HITS = 100_000
+#: Hits (32 bytes each) and filters (by bytes) are broadcast up to so many, and joined by a shuffle beyond.
+BROADCAST_HITS, BROADCAST_FILTER = 100_000, 16 << 20
+#: Runs of a level before they are merged, and bits of a filter for each digest.
+FANOUT, FILTER_BITS = 4, 10
+_BUCKET = 1 << 15  # bits of one bitmap of Spark's bitmap functions
 
 
-def flush_runs(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> sorted runs (doc_id, row, digest)."""
-    entries = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2("text", 256)).alias("digest"))
-    return common.stored(entries.sortWithinPartitions("digest"), "lsm-run", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled#digest": "true"})
+def _digest():
+    return F.unhex(F.sha2("text", 256)).alias("digest")
+
+
+def flush_runs(docs: DataFrame, batch: int = 0) -> DataFrame:
+    """docs(doc_id, text) -> sorted runs (doc_id, row, digest), one a partition; row tells all rows of the index apart."""
+    row = F.struct(F.lit(batch).alias("batch"), F.monotonically_increasing_id().alias("at"))
+    return common.stored(docs.select("doc_id", row.alias("row"), _digest()).sortWithinPartitions("digest"), "lsm-memtables")
 
 
 def compact(runs: DataFrame, keep: str = "min") -> DataFrame:
-    """Merged entries (digest, kept struct(doc_id, row), group_size); counts and extremes combine inside each run first."""
+    """Merged entries (digest, keeper struct(doc_id, row), group_size); counts and extremes combine inside each run first."""
     best = F.max if keep == "max" else F.min
     return runs.groupBy("digest").agg(best(F.struct("doc_id", "row")).alias("keeper"), F.count("*").alias("group_size"))
 
 
-def _verified(docs: DataFrame, hits: DataFrame) -> DataFrame:
+def merge_runs(older: DataFrame, newer: DataFrame, keep: str = "min") -> DataFrame:
+    """Two runs as one, by a sort-merge full outer join."""
+    new = newer.select("digest", F.col("keeper").alias("keeper2"), F.col("group_size").alias("size2"))
+    best = F.greatest if keep == "max" else F.least
+    sizes = F.coalesce("group_size", F.lit(0)) + F.coalesce("size2", F.lit(0))
+    return older.hint("merge").join(new, "digest", "full_outer").select("digest", best("keeper", "keeper2").alias("keeper"), sizes.cast("long").alias("group_size"))
+
+
+class Run:
+    """A stored run and its filter: rows of (bucket, bitmap)."""
+
+    def __init__(self, entries: DataFrame):
+        self.entries = common.stored(entries.sortWithinPartitions("digest"), "lsm-run")
+        self.bits = max(_BUCKET, self.entries.count() * FILTER_BITS)
+        at = self._at()
+        self.filter = common.stored(self.entries.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap")), "lsm-filter")
+
+    def _at(self):
+        return F.pmod(F.xxhash64("digest"), F.lit(self.bits)) + 1
+
+    def passing(self, entries: DataFrame) -> DataFrame:
+        """Entries whose digest may be in this run."""
+        filters = F.broadcast(self.filter) if self.bits // 8 <= BROADCAST_FILTER else self.filter
+        bit = F.bitmap_bit_position(self._at())
+        byte = F.conv(F.hex(F.substring("bitmap", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+        tested = entries.withColumn("bucket", F.bitmap_bucket_number(self._at())).join(filters, "bucket")
+        return tested.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(entries.columns)
+
+    def drop(self) -> None:
+        common.drop(self.entries, self.filter)
+
+
+class DigestIndex:
+    """Batches of documents one after the other; keep: whether of equal texts the smallest or the largest identifier stays."""
+
+    def __init__(self, keep: str = "min"):
+        self.keep, self.levels, self.sources, self.batches = keep, [[]], [], 0
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, judged against all batches up to this one."""
+        docs = common.clean_columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+        rows = flush_runs(docs, self.batches)
+        own = Run(compact(rows, self.keep))
+        entries = own.entries
+        for run in (r for level in self.levels for r in level):
+            met = run.entries.join(run.passing(own.entries).select("digest"), "digest", "left_semi")
+            entries = merge_runs(entries, met, self.keep)
+        hits = common.stored(entries.where("group_size > 1"), "lsm-hits")
+        self.sources.append(docs)
+        self.batches += 1
+        self.levels[0].append(own)
+        self._compact_levels()
+        return self._judged(docs, rows, hits)
+
+    def _compact_levels(self) -> None:
+        for k, level in enumerate(self.levels):
+            if len(level) < FANOUT:
+                continue
+            merged = level[0].entries
+            for run in level[1:]:
+                merged = merge_runs(merged, run.entries, self.keep)
+            if k + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[k + 1].append(Run(merged))
+            for run in level:
+                run.drop()
+            self.levels[k] = []
+
+    def _judged(self, docs: DataFrame, rows: DataFrame, hits: DataFrame) -> DataFrame:
+        near = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits
+        everything = self.sources[0]
+        for more in self.sources[1:]:
+            everything = everything.unionByName(more)
+        clashes = common.stored(_clashing(everything, near), "lsm-clashes")
+        out = rows.join(near, "digest", "left").select(
+            "doc_id",
+            F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("keep_id"),
+            F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+            (F.col("group_size").isNull() | (F.col("keeper.row") == F.col("row"))).alias("kept"),
+            F.lower(F.hex("digest")).alias("text_sha256"),
+        )
+        return out if common.is_empty(clashes) else _split(out, everything, docs, clashes, self.keep)
+
+
+def _clashing(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """Digests whose rows do not all have the same bytes."""
-    rows = docs.select(F.unhex(F.sha2("text", 256)).alias("digest"), "text").join(hits.select("digest"), "digest", "left_semi")
+    rows = docs.select(_digest(), "text").join(hits.select("digest"), "digest", "left_semi")
     return rows.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high").select("digest")
 
 
+def _split(out: DataFrame, everything: DataFrame, docs: DataFrame, clashes: DataFrame, keep: str) -> DataFrame:
+    """Rows of clashing digests judged by their text instead."""
+    rows = lambda df: df.select("doc_id", "text", _digest()).join(clashes, "digest", "left_semi")
+    largest = keep == "max"
+    groups = rows(everything).groupBy("digest", "text").agg((F.max("doc_id") if largest else F.min("doc_id")).alias("keep_id"), F.count("*").alias("group_size"))
+    w = Window.partitionBy("digest", "text").orderBy(F.col("doc_id").desc_nulls_last() if largest else F.col("doc_id").asc_nulls_first())
+    own = rows(docs).withColumn("k", F.row_number().over(w)).join(groups, ["digest", "text"])
+    own = own.select("doc_id", "keep_id", "group_size", ((F.col("k") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return out.join(clashes.select(F.lower(F.hex("digest")).alias("text_sha256")), "text_sha256", "left_anti").select(own.columns).unionByName(own)
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    docs = common.clean_columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    runs = flush_runs(docs)
-    hits = common.stored(compact(runs, keep).where("group_size > 1"), "lsm-hits")
-    small = hits.count() <= BROADCAST_HITS
-    hits = F.broadcast(hits) if small else hits
-    clashes = common.stored(_verified(docs, hits), "lsm-clashes")
-    out = runs.join(hits, "digest", "left").select(
-        "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("group_size").isNull() | (F.col("keeper.row") == F.col("row"))).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
-    if common.is_empty(clashes):
-        return out
-    clashing = docs.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("digest")).join(clashes, "digest", "left_semi")
-    w = Window.partitionBy("digest", "text")
-    rank = F.row_number().over(w.orderBy(F.col("doc_id").desc_nulls_last() if keep == "max" else F.col("doc_id").asc_nulls_first()))
-    keep_id = F.max("doc_id").over(w) if keep == "max" else F.first("doc_id").over(w.orderBy(F.col("doc_id").asc_nulls_first()))
-    split = clashing.select("doc_id", keep_id.alias("keep_id"), F.count("*").over(w).alias("group_size"), (rank == 1).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
-    return out.join(clashes.select(F.lower(F.hex("digest")).alias("text_sha256")), "text_sha256", "left_anti").select(split.columns).unionByName(split)
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256; docs are the only batch of an index."""
+    return DigestIndex(keep).add(docs, id_col, text_col)
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

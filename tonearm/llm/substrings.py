@@ -391,7 +391,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def removed(spans: DataFrame) -> DataFrame:
-    """repeated_spans' rows as counts, and the digest of what stays."""
+    """repeated_spans' rows as counts, the digest of what stays, the share of bytes removed (0 of none), and whether any are."""
     kind = spans.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -407,9 +407,11 @@ def removed(spans: DataFrame) -> DataFrame:
                 n.append(len(data))
                 gone.append(sum(c["end"] - c["begin"] for c in cut))
                 digest.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([common.column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(c) for c in cuts], pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            counts = [pa.array(x, pa.int64()) for x in (n, gone, [len(c) for c in cuts])]
+            share = pa.array([g / max(k, 1) for g, k in zip(gone, n)], pa.float64())
+            yield pa.RecordBatch.from_arrays([common.column(batch, "doc_id"), *counts, pa.array(digest, pa.string()), share, pa.array([g > 0 for g in gone], pa.bool_())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed_share", "repeats"])
 
-    return spans.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return spans.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_share double, repeats boolean")
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
