@@ -135,6 +135,17 @@ def test_cascade_is_exact(spark):
     assert (cascade.listed(pdf["a"].to_numpy(), pdf["b"].to_numpy()) == (pdf["key"].str[1:].astype(int) % 7 == 0)).all()
 
 
+def test_url_table(spark):
+    rng = random.Random(11)
+    hosts = [f"{rng.choice('abc')}{k % 500}.{rng.choice(['net', 'info', 'com'])}" for k in range(3000)]
+    pages = spark.createDataFrame([(k, f"http://{'www.' * (k % 2)}{h}/fr/x") for k, h in enumerate(hosts)], "page_id long, url string")
+    table = spark.range(100_000).select(F.concat(F.lit("A"), F.col("id").cast("string"), F.lit(".net")).alias("host"))
+    for bits in (1 << 27, 100):
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, url_filter.RULES, max_bits=bits, blocked=table).collect()}
+        for k, h in enumerate(hosts):
+            assert got[k] == (("com/fr/", "allow") if h.endswith(".com") else (None, "block" if h[0] == "a" and h.endswith(".net") else "allow")), h
+
+
 # 3
 def test_toxicity(spark, docs):
     rng = random.Random(4)

@@ -9,8 +9,8 @@ the universe; urls are then judged without a join.
 Filters are broadcast up to MAX_FILTER_BITS; beyond it the keys are tested by a join.
 
 Defined results: a null url or one without `://` has an empty host and path and no rule; an empty path starts with
-no rule's path; urls that no rule fits are blocked if their host is on the method's list
-(hosts with one of HOST_WORDS in a label), else they get the default verdict; an empty table gives an empty result.
+no rule's path; urls that no rule fits are blocked if their host is on the method's list (hosts with one of
+HOST_WORDS in a label) or on a table of domains, else they get the default verdict; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,12 +42,18 @@ def split_url(urls: DataFrame, url_col: str = "url") -> DataFrame:
     return urls.withColumn("host", F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), string.ascii_uppercase, string.ascii_lowercase)).withColumn("path", F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1))
 
 
-def with_keys(urls: DataFrame, labels: list[int], lengths: list[int]) -> DataFrame:
-    """Adds keys: the host's suffixes of so many labels, each with the path's prefixes of so many characters; and //host."""
-    parts = F.split("host", r"\.")
-    keys = [F.when((F.size(parts) >= n) & (F.length("path") >= k), F.concat(F.array_join(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), n), "."), F.substring("path", 1, k))) for n in labels for k in lengths]
-    keys.append(F.concat(F.lit("//"), F.col("host")))
-    return urls.withColumn("keys", F.array_compact(F.array(*keys)))
+def with_keys(urls: DataFrame, labels: list[int], lengths: list[int], parents: bool = False) -> DataFrame:
+    """Adds keys: the host's suffixes of so many labels, each with the path's prefixes of so many characters; and //host, with parents //suffix for every suffix.
+
+    One expression, however many labels and lengths there are.
+    """
+    parts, numbers = F.split("host", r"\."), lambda xs: F.array(*map(F.lit, xs)).cast("array<int>")
+    suffix = lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), ".")
+    suffixes = F.transform(F.filter(numbers(labels), lambda n: n <= F.size(parts)), suffix)
+    prefixes = F.transform(F.filter(numbers(lengths), lambda k: k <= F.length("path")), lambda k: F.substring("path", F.lit(1), k))
+    own = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+    hosts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.lit("//"), suffix(n))) if parents else F.array(F.concat(F.lit("//"), F.col("host")))
+    return urls.withColumn("keys", F.concat(own, hosts))
 
 
 def _hashed(keys: DataFrame) -> DataFrame:
@@ -128,14 +134,20 @@ def build_cascade(universe: DataFrame, listed: DataFrame, max_bits: int = MAX_FI
     return Cascade(levels)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow", host_words=HOST_WORDS, max_bits: int = MAX_FILTER_BITS) -> DataFrame:
-    """page_id, host, path, rule, verdict of every row: the longest rule that fits the host or a parent domain and starts the path."""
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow", host_words=HOST_WORDS, max_bits: int = MAX_FILTER_BITS, blocked: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict of every row: the longest rule that fits the host or a parent domain and starts the path.
+
+    blocked(host): a table of domains, of any size, that are blocked with their subdomains where no rule fits.
+    """
     spark = pages.sparkSession
     pages = split_url(common.clean_columns(pages, page_id=id_col, url=url_col))
     labels, lengths = sorted({h.count(".") + 1 for _, h, _ in rules}), sorted({len(p) for *_, p in rules})
-    keyed = with_keys(pages, labels, lengths)
+    keyed = with_keys(pages, labels, lengths, blocked is not None)
     universe = common.stored(_hashed(keyed.select(F.explode("keys").alias("key")).distinct()), "url-keys")
     hosts = universe.where(F.col("key").rlike(host_pattern(host_words)))
+    if blocked is not None:
+        listed_hosts = blocked.select(F.concat(F.lit("//"), F.translate("host", string.ascii_uppercase, string.ascii_lowercase)).alias("key")).distinct()
+        hosts = hosts.unionByName(universe.join(listed_hosts, "key", "left_semi")).distinct()
     ruled = spark.createDataFrame([(v, h + p) for v, h, p in rules], "verdict string, key string")
     listed = {v: _hashed(ruled.where(F.col("verdict") == v).select("key").distinct()) for v in sorted({v for v, *_ in rules})} | {HOST: hosts}
     cascades = {v: build_cascade(universe, keys, max_bits) for v, keys in listed.items()}
