@@ -153,3 +153,68 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         incremental.run_available(incremental.new_paths(incremental.stream_table(spark, source)), out, str(tmp_path / "c"))
     assert sorted(r["filepath"] for r in spark.read.parquet(out).collect()) == ["/a", "/b"]
+
+
+def _atom(kind, body):
+    return struct.pack(">I4s", 8 + len(body), kind) + body
+
+
+def _comment(**fields):
+    out = struct.pack("<I", 0) + struct.pack("<I", len(fields))
+    for k, v in fields.items():
+        line = f"{k}={v}".encode()
+        out += struct.pack("<I", len(line)) + line
+    return out
+
+
+def _page(packet, granule=0):
+    return b"OggS\0\0" + struct.pack("<q", granule) + bytes(12) + bytes([len(packet) // 255 + 1]) + b"\xff" * (len(packet) // 255) + bytes([len(packet) % 255]) + packet
+
+
+def test_tag_formats():
+    frame = struct.pack(">I", 0xFFFB9000)  # layer 3, 128 kbit/s, 44.1 kHz
+    text = b"TIT1" + struct.pack(">I", 15) + b"\0\0\3" + files.MARKER.encode()
+    mp3 = b"ID3\4\0\0" + bytes([0, 0, 0, len(text)]) + text + frame + bytes(15996)
+    got = files.decode_tags(mp3)
+    assert (got["grouping"], got["bitrate"], got["sample_rate"], got["duration"]) == (files.MARKER, 128000, 44100, 1.0)
+    variable = frame + bytes(32) + b"Xing" + struct.pack(">II", 1, 100) + bytes(4000)
+    assert round(files.decode_tags(variable)["duration"], 4) == round(100 * 1152 / 44100, 4)
+    item = lambda k, v: _atom(k, _atom(b"data", bytes(8) + v.encode()))
+    moov = _atom(b"moov", _atom(b"mvhd", bytes(12) + struct.pack(">II", 1000, 2500)) + _atom(b"trak", _atom(b"mdia", _atom(b"mdhd", bytes(12) + struct.pack(">II", 48000, 1)))) + _atom(b"udta", _atom(b"meta", bytes(4) + _atom(b"ilst", item(b"\xa9nam", "Song") + item(b"\xa9grp", files.MARKER)))))
+    got = files.decode_tags(_atom(b"ftyp", b"M4A ") + moov + _atom(b"mdat", bytes(2500)))
+    assert got == {"file_format": "m4a", "duration": 2.5, "sample_rate": 48000, "title": "Song", "grouping": files.MARKER, "bitrate": 8000}
+    head = b"\x01vorbis" + bytes(5) + struct.pack("<Iiii", 44100, 0, 96000, 0)
+    got = files.decode_tags(_page(head) + _page(b"\x03vorbis" + _comment(TITLE="Song", GROUPING="x" * 300, date="2001")) + _page(b"", 88200))
+    assert (got["title"], got["grouping"], got["year"], got["sample_rate"], got["bitrate"], got["duration"]) == ("Song", "x" * 300, "2001", 44100, 96000, 2.0)
+    info = bytes(10) + (44100 << 44 | 88200).to_bytes(8, "big")
+    comment = _comment(ARTIST="A")
+    flac = b"fLaC" + bytes([0]) + len(info).to_bytes(3, "big") + info + bytes([0x84]) + len(comment).to_bytes(3, "big") + comment
+    assert files.decode_tags(flac) == {"file_format": "flac", "artist": "A", "sample_rate": 44100, "duration": 2.0}
+    assert files.decode_tags(b"") == files.decode_tags(b"OggS") == files.decode_tags(b"junk") == {} or files.decode_tags(b"OggS") == {"file_format": "ogg"}
+
+
+def test_file_helpers(spark, tmp_path):
+    log = tmp_path / "app.log"
+    log.write_text("a\n")
+    files.clear_log(str(log))
+    assert log.read_text() == ""
+    settings = str(tmp_path / "s.json")
+    files.save_settings(settings, {"a": 1})
+    assert files.load_settings(settings, {"a": 0, "b": 2}) == {"a": 1, "b": 2} and files.load_settings("/none", {"c": 3}) == {"c": 3}
+    assert files.roots([str(tmp_path), "/none"], None, "/d") == [str(tmp_path)] and files.roots([], str(tmp_path), "/d") == [str(tmp_path)] and files.roots(["/none"], "/no", "/d") == ["/d"]
+    assert files.suffixes(" MP3, .ogg,") == ("mp3", "ogg") and "flac" in files.suffixes()
+    names = spark.createDataFrame([("/m/.git",), ("/m/b",), ("/m/A",)], "p string")
+    assert [r["name"] for r in files.visible_directories(names, F.col("p")).collect()] == ["A", "b"]
+    assert files.fingerprint_tool("no-such-tool") is None and files.fingerprint_tool("ls")
+
+
+def test_job_states(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k, rows in enumerate([[("a", "running", 1, 0)], [("a", "done", 2, 100), ("b", "running", 5, 100)], [("c", "running", 1, 1000)], [("c", "done", 1, 1001)]]):
+        df = spark.createDataFrame(rows, "job_id string, status string, done long, at long").select("job_id", "status", "done", F.timestamp_seconds(F.col("at") + 86400).alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(source)
+        incremental.run_available(incremental.job_states(incremental.stream_table(spark, source)), out, str(tmp_path / "c"))
+    got = [(r["job_id"], r["status"], r["done"]) for r in spark.read.parquet(out).collect()]
+    for row in (("a", "running", 1), ("a", "done", 3), ("b", "running", 5), ("c", "running", 1), ("c", "done", 2), ("a", "expired", 3), ("b", "expired", 5)):
+        assert got.count(row) == 1, got
+    assert len(got) == 7

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import EXTENSIONS, basename, dirname, extension
 
+# The text in a file's grouping tag that marks series, and the tables of MPEG audio frames.
 MARKER = "SetList Series"
+LAYER3_KBITS = {1: (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), 2: (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
+MPEG_RATES = (44100, 48000, 32000)
 TAG_SCHEMA = "filepath string, title string, artist string, album string, genre string, year string, grouping string, duration double, bitrate int, sample_rate int, file_format string"
 LOG_PATTERN = r"^(\S+ \S+) \| (\w+)\s*\| (.*?) - (.*)$"
 
@@ -62,6 +65,109 @@ def _wav(data: bytes) -> dict:
     return out
 
 
+def _frames(data: bytes, at: int) -> dict:
+    """Sample rate, bitrate and duration from the first layer-3 frame from at on, and from its header of a variable bitrate if it has one."""
+    while 0 <= (at := data.find(b"\xff", at)) < len(data) - 4:
+        head = int.from_bytes(data[at : at + 4], "big")
+        version, layer, kbits, rate = head >> 19 & 3, head >> 17 & 3, head >> 12 & 15, head >> 10 & 3
+        if head >> 21 == 0x7FF and version != 1 and layer == 1 and 0 < kbits < 15 and rate < 3:
+            first = version == 3
+            sample_rate, bitrate, samples = MPEG_RATES[rate] >> (0 if first else 1 if version == 2 else 2), LAYER3_KBITS[1 if first else 2][kbits - 1] * 1000, 1152 if first else 576
+            size = len(data) - at
+            mark = max(data.find(b"Xing", at, at + 48), data.find(b"Info", at, at + 48))
+            if mark > 0 and data[mark + 7] & 1 and (n := int.from_bytes(data[mark + 8 : mark + 12], "big")):
+                duration = n * samples / sample_rate
+                return {"sample_rate": sample_rate, "bitrate": int(size * 8 / duration), "duration": duration}
+            return {"sample_rate": sample_rate, "bitrate": bitrate, "duration": size * 8 / bitrate}
+        at += 1
+    return {}
+
+
+def _mp3(data: bytes) -> dict:
+    tags = _id3(data)
+    size = 10 + sum((b & 127) << 7 * k for k, b in enumerate(reversed(data[6:10]))) if tags else 0
+    if not tags and data[:1] != b"\xff":
+        return {}
+    return {"file_format": "mp3"} | tags | _frames(data, size)
+
+
+def _atoms(data: bytes, at: int, end: int):
+    while at + 8 <= end:
+        size, kind = struct.unpack_from(">I4s", data, at)
+        size = end - at if size == 0 else size
+        if size < 8:
+            return
+        yield kind, at + 8, min(at + size, end)
+        at += size
+
+
+def _mp4(data: bytes) -> dict:
+    if data[4:8] != b"ftyp":
+        return {}
+    names = {b"\xa9nam": "title", b"\xa9ART": "artist", b"\xa9alb": "album", b"\xa9gen": "genre", b"\xa9day": "year", b"\xa9grp": "grouping"}
+    out, sound = {"file_format": "m4a"}, 0
+    todo = list(_atoms(data, 0, len(data)))
+    while todo:
+        kind, a, b = todo.pop(0)
+        if kind in (b"moov", b"udta", b"ilst", b"trak", b"mdia"):
+            todo += _atoms(data, a, b)
+        elif kind == b"meta":
+            todo += _atoms(data, a + 4, b)
+        elif kind == b"mdat":
+            sound += b - a
+        elif kind in (b"mvhd", b"mdhd"):
+            wide = data[a] == 1
+            scale, length = struct.unpack_from(">IQ" if wide else ">II", data, a + (20 if wide else 12))
+            if kind == b"mvhd" and scale:
+                out["duration"] = length / scale
+            elif kind == b"mdhd":
+                out.setdefault("sample_rate", scale)
+        elif kind in names:
+            for inner, x, y in _atoms(data, a, b):
+                if inner == b"data":
+                    out.setdefault(names[kind], data[x + 8 : y].decode("utf-8", "replace"))
+    if sound and out.get("duration"):
+        out["bitrate"] = int(sound * 8 / out["duration"])
+    return out
+
+
+def _ogg(data: bytes) -> dict:
+    """Vorbis in Ogg: the first two packets, and the last page's position."""
+    if data[:4] != b"OggS":
+        return {}
+    out, packets, part, at = {"file_format": "ogg"}, [], b"", 0
+    while at + 27 <= len(data) and data[at : at + 4] == b"OggS" and len(packets) < 2:
+        table = data[at + 27 : at + 27 + data[at + 26]]
+        at += 27 + len(table)
+        for n in table:
+            part, at = part + data[at : at + n], at + n
+            if n < 255:
+                packets.append(part)
+                part = b""
+    if packets and packets[0][:7] == b"\x01vorbis":
+        out["sample_rate"], rate = struct.unpack_from("<I", packets[0], 12)[0], struct.unpack_from("<i", packets[0], 20)[0]
+        out |= {"bitrate": rate} if rate > 0 else {}
+        last = data.rfind(b"OggS")
+        out["duration"] = struct.unpack_from("<q", data, last + 6)[0] / out["sample_rate"]
+    if len(packets) > 1 and packets[1][:7] == b"\x03vorbis":
+        out = _comments(packets[1][7:]) | out
+    return out
+
+
+def _comments(body: bytes) -> dict:
+    """The fields of a Vorbis comment that tags have."""
+    out, p = {}, 4 + struct.unpack_from("<I", body, 0)[0]
+    count, p = struct.unpack_from("<I", body, p)[0], p + 4
+    for _ in range(count):
+        m = struct.unpack_from("<I", body, p)[0]
+        key, _, value = body[p + 4 : p + 4 + m].decode("utf-8", "replace").partition("=")
+        key = {"date": "year"}.get(key.lower(), key.lower())
+        if key in ("title", "artist", "album", "genre", "year", "grouping"):
+            out.setdefault(key, value)
+        p += 4 + m
+    return out
+
+
 def _id3(data: bytes) -> dict:
     if data[:3] != b"ID3":
         return {}
@@ -90,22 +196,14 @@ def _flac(data: bytes) -> dict:
             out["sample_rate"], samples = bits >> 44, bits & ((1 << 36) - 1)
             out["duration"] = samples / out["sample_rate"] if out["sample_rate"] else None
         elif kind == 4:
-            p = 4 + struct.unpack_from("<I", body, 0)[0]
-            count, p = struct.unpack_from("<I", body, p)[0], p + 4
-            for _ in range(count):
-                m = struct.unpack_from("<I", body, p)[0]
-                key, _, value = body[p + 4 : p + 4 + m].decode("utf-8", "replace").partition("=")
-                key = {"date": "year"}.get(key.lower(), key.lower())
-                if key in ("title", "artist", "album", "genre", "year", "grouping"):
-                    out.setdefault(key, value)
-                p += 4 + m
+            out = _comments(body) | out
         at += 4 + n
     return out
 
 
 def decode_tags(data: bytes) -> dict:
     """Tags of a file's bytes; nothing, never an error, where they can't be read."""
-    for reader in (_wav, _id3, _flac):
+    for reader in (_wav, _mp3, _flac, _mp4, _ogg):
         try:
             if found := reader(data):
                 return found
@@ -114,7 +212,7 @@ def decode_tags(data: bytes) -> dict:
     return {}
 
 
-def audio_tags(spark: SparkSession, folders: list[str]) -> DataFrame:
+def audio_tags(spark: SparkSession, folders: list[str], marker: str = MARKER) -> DataFrame:
     """Decoded tags of each audio file, and whether it has the series mark."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders).select(F.regexp_replace("path", "^file:/+", "/").alias("filepath"), "content")
     df = df.where(F.lower(extension(F.col("filepath"))).isin([f".{e}" for e in EXTENSIONS]))
@@ -126,7 +224,7 @@ def audio_tags(spark: SparkSession, folders: list[str]) -> DataFrame:
             rows = [{"filepath": p} | decode_tags(d) for p, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return df.mapInArrow(run, TAG_SCHEMA).withColumn("series_tagged", F.coalesce(F.contains("grouping", F.lit(MARKER)), F.lit(False)))
+    return df.mapInArrow(run, TAG_SCHEMA).withColumn("series_tagged", F.coalesce(F.contains("grouping", F.lit(marker)), F.lit(False)))
 
 
 def log_tail(lines: DataFrame, n: int = 200, level: str | None = None) -> DataFrame:
@@ -141,6 +239,11 @@ def parsed_log(lines: DataFrame) -> DataFrame:
     return lines.select("line_no", part(1).alias("at"), part(2).alias("level"), part(3).alias("place"), part(4).alias("message"))
 
 
+def clear_log(path: str) -> None:
+    """The log file without lines."""
+    open(path, "w", encoding="utf-8").close()
+
+
 def visible_directories(paths: DataFrame, path: Column) -> DataFrame:
     """Folder names that don't start with a dot, without regard to case in their order."""
     name = basename(path)
