@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonearm.operators import html_pages, jsonmeta, series, simjoin
-from tonearm.plans import queries
+from tonearm.plans import page_queries, queries  # noqa: F401
 from tonearm.sources import files
 from tonearm.streaming import incremental
 
