@@ -450,6 +450,7 @@ def test_license_places_are_linear():
 def test_stages(spark, docs, tmp_path):
     bench = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     rows = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "alpha beta gamma delta epsilon zeta eta theta"), (2, "alpha beta gamma delta epsilon zeta eta theta"), (3, bench), (None, "null id"), (4, None)] + [(10 + k, " ".join(f"w{n}" for n in range(200)) + end) for k, end in enumerate(("", " x", " y"))]
+    rows += [(7, "a copied text"), (7, "another text under its identifier"), (9, "a copied text")]
     spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
@@ -460,7 +461,7 @@ def test_stages(spark, docs, tmp_path):
         assert d.columns == columns
         kept.append(sorted((r["doc_id"] for r in d.collect()), key=repr))
     assert kept[0] == sorted((i for i, _ in rows), key=repr)
-    assert kept[1] == sorted([2, 3, 4, 10, 11, 12, None], key=repr)
-    assert kept[2] == sorted([2, 3, 4, 10, None], key=repr)
-    assert kept[3] == sorted([2, 4, 10, None], key=repr)
-    assert stages.run(spark, str(tmp_path)).count() == 4
+    assert kept[1] == sorted([2, 3, 4, 7, 9, 10, 11, 12, None], key=repr)
+    assert kept[2] == sorted([2, 3, 4, 7, 9, 10, None], key=repr)
+    assert kept[3] == sorted([2, 4, 7, 9, 10, None], key=repr)
+    assert stages.run(spark, str(tmp_path)).count() == 6

@@ -232,9 +232,11 @@ class Codec:
 
     @classmethod
     def of(cls, source: str) -> Codec:
+        common.holds("bpe", cls._built.clear)
         key = hashlib.sha256(source.encode()).hexdigest()
         if key not in cls._built:
-            cls._built = {key: cls(source)}
+            cls._built.clear()
+            cls._built[key] = cls(source)
         return cls._built[key]
 
     def encode(self, texts: pa.Array | list) -> list[list[int]]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +55,20 @@ def drop(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(name: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Called in a Python worker by an operator that begins a partition: what other operators remember in the worker is forgotten."""
+    others = [k for k in _held if k != name]
+    for k in others:
+        _held.pop(k)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    _held[name] = forget
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -96,6 +96,7 @@ def _pass(broadcast, out_schema: pa.Schema):
     """Appends this block's matches to those of the blocks before."""
 
     def run(batches):
+        common.holds("decontamination")
         block: TestBlock = broadcast.value
         get = _Known(block.vocabulary).__getitem__
         for batch in batches:

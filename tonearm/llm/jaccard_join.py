@@ -40,7 +40,7 @@ from .url_filter import Bloom
 
 SHINGLE = 5
 #: Linked when 5 * intersection >= 4 * union.
-WINDOW_TOKENS = 4_000_000
+WINDOW_TOKENS = 1_000_000
 MIN_FREQUENT = 48
 #: Bits of the filter of frequent shingles, and how many shingles it is made for.
 MAX_FILTER_BITS = 1 << 27
@@ -54,7 +54,7 @@ BEST_ROUNDS = 2
 #: Identifiers (8 bytes each) are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_IDS = 500_000
 #: Texts are hashed in pieces of so many bytes.
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 20
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _BANDS = 1.25 ** np.arange(0, 200)
@@ -191,6 +191,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
     """(doc, n, d1, d2, bits) of each document, and rows of the shingles that a window has more than once."""
 
     def run(batches):
+        common.holds("jaccard")
         held, size = [], 0
 
         def report():
@@ -249,6 +250,7 @@ def _index(docs: DataFrame, often: Bloom) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
+        common.holds("jaccard")
         often = sent.value
         for batch in batches:
             ds, sets = common.column(batch, "doc").to_pylist(), shingle_sets(common.texts(common.column(batch, "text")))
@@ -274,6 +276,7 @@ def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = docs.join(_bounded(ids), "doc", "left_semi")
 
     def sets(batches):
+        common.holds("jaccard")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), pa.array([s.tobytes() for s in shingle_sets(common.texts(common.column(batch, "text")))], pa.binary())], names=["doc", "s"])
 

@@ -285,6 +285,7 @@ def _starts(docs: DataFrame, grams: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast((again, np.array(hot, np.int64)))
 
     def send(batches):
+        common.holds("substrings")
         again, hot = sent.value
         for batch in batches:
             runs: dict[int, list[Anchored]] = {}

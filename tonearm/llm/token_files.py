@@ -141,8 +141,10 @@ class LibraryEncoder:
 
     @classmethod
     def of(cls, path: str) -> LibraryEncoder:
+        common.holds("library", cls._built.clear)
         if path not in cls._built:
-            cls._built = {path: cls(path)}
+            cls._built.clear()
+            cls._built[path] = cls(path)
         return cls._built[path]
 
     def _encode(self, texts: list[str]) -> list[list[int]]:

@@ -143,8 +143,13 @@ class Matcher:
     def __init__(self, terms: list[str]):
         self.automaton, self.clean, self.hits = Automaton(terms), set(), {}
 
+    @classmethod
+    def forget(cls) -> None:
+        cls._built = ()
+
     @classmethod
     def of(cls, terms: list[str]) -> Matcher:
+        common.holds("toxicity", cls.forget)
         if not cls._built or cls._built[0] != terms:
             cls._built = terms, cls(terms)
         return cls._built[1]
