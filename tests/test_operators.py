@@ -7,7 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.operators import html_pages, jsonmeta, series, simjoin
+from tonearm.functions import similarity
+from tonearm.operators import html_pages, jsonmeta, matching, series, simjoin
 from tonearm.plans import page_queries, queries  # noqa: F401
 from tonearm.sources import files
 from tonearm.streaming import incremental
@@ -78,6 +79,59 @@ def test_detect_series(spark):
     assert [sorted(t["track_id"] for t in r["tracks"]) for r in albums] == [[8, 9]]
 
 
+def test_fuzzy_join_blocking(spark):
+    """Blocking by words keeps at least nine of ten pairs that comparing all with all finds."""
+    rng = random.Random(3)
+    words = ["golden", "hour", "sunset", "tapes", "radio", "night", "deep", "waves", "echo", "club", "house", "live"]
+    names = spark.createDataFrame([(k, " ".join(rng.choices(words, k=rng.randint(1, 4)))) for k in range(60)], "k long, name string")
+    pairs = lambda blocking: {(r["left_key"], r["right_key"]): r["score"] for r in simjoin.fuzzy_join(names, names, "k", "name", "k", "name", 60.0, blocking).collect()}
+    every, blocked = pairs(None), pairs("token")
+    assert blocked.items() <= every.items() and len(blocked) >= 0.9 * len(every)
+    with pytest.raises(ValueError):
+        simjoin.fuzzy_join(names, spark.range(simjoin.SMALL_SIDE + 1).select("id", F.lit("x").alias("n")), "k", "name", "id", "n", 60.0, None)
+
+
+def test_token_join_against_all_pairs(spark):
+    rng = random.Random(4)
+    words = [f"word{k}" for k in range(9)] + ["the", "of", "it"]
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(0, 5)))) for k in range(80)]
+    names = spark.createDataFrame(rows, "k long, name string")
+    split = {k: {w for w in n.split() if len(w) > 2 and w != "the"} for k, n in rows}
+
+    def score(x, y):
+        if not x or not y:
+            return 0.0
+        jaccard, (small, large) = len(x & y) / len(x | y), sorted((x, y), key=len)
+        return max(jaccard, 0.5 + len(small) / len(large) * 0.5) if small <= large else jaccard
+
+    for threshold in (0.5, 0.7):
+        want = {(a, b): round(score(split[a], split[b]), 9) for a in split for b in split if score(split[a], split[b]) > threshold}
+        got = {(r["left_key"], r["right_key"]): round(r["score"], 9) for r in simjoin.token_similarity_join(names, names, "k", "name", "k", "name", threshold).collect()}
+        assert got == want
+        once = {(r["left_key"], r["right_key"]) for r in simjoin.similar_names(names, "k", "name", threshold).collect()}
+        assert once == {p for p in want if p[0] < p[1]}
+
+
+def test_scores(spark):
+    ratio = similarity.token_set_ratio
+    rows = [("Ann Bee", "Deep Waves", "x Deep Waves.mp3", "Deep Waves Club", "Ann", "Ann Bee", 3), (None, "", "Golden Hour.mp3", "Golden Hours", "", "Cid", None), ("A", None, "b.mp3", None, None, None, 40)]
+    df = spark.createDataFrame(rows, "a string, t string, f string, ct string, ca string, dj string, n int")
+    t = df.select(F.struct(F.col("a").alias("artist"), F.col("t").alias("title"), F.col("f").alias("filename")).alias("t"), F.struct(F.col("ct").alias("title"), F.col("ca").alias("artist"), "dj", F.col("ct").alias("full_title"), F.col("n").alias("num_tracks")).alias("c"))
+    got = t.select(matching.web_score().alias("web"), matching.direct_score().alias("direct")).collect()
+    clean = lambda x: (x or "").lower().removesuffix(".mp3")
+
+    def mean(parts):
+        there = [(s, w) for s, w in parts if s is not None]
+        return sum(s * w for s, w in there) / sum(w for _, w in there) if there else 0.0
+
+    both = lambda x, y: ratio(x, y) if x and y else None
+    for (a, title, f, ct, ca, dj, n), r in zip(rows, got):
+        own, full = clean(title or f), clean(f)
+        web = mean([(both(own, clean(ct)), 0.4), (both(clean(a), clean(ca)), 0.3), (both(full, clean(ct)), 0.2), (50 + min(n * 2, 20) if n else None, 0.1)])
+        direct = mean([(both(own, clean(ct)), 0.5), (both(clean(a), clean(ca or dj)), 0.3), (both(full, clean(ct)), 0.2)])
+        assert (round(r["web"], 6), round(r["direct"], 6)) == (round(web, 6), round(direct, 6))
+
+
 def test_pages(spark):
     rows = [
         (1, "http://any.org/x", "<h1>Set</h1><ol><li>1. A - B</li><li>C - D<li>E - F</ol>"),

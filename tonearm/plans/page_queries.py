@@ -303,3 +303,10 @@ def waveform_sums(spark, sf_dir):
 @query(f"{T} SELECT id, CAST(NULL AS INTEGER) AS sample_rate, CAST(NULL AS VARCHAR) AS error_message, status FROM tracks")
 def additive_migration(spark, sf_dir):
     return catalog.migrated(tracks(spark, sf_dir).drop("sample_rate", "error_message"), "sample_rate int, error_message string, status string").select("id", "sample_rate", "error_message", "status")
+
+
+@query(f"{T} SELECT id, f.* FROM tracks, LATERAL (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {f} AS old_value, nullif(matched_{f}, '') AS new_value WHERE nullif(matched_{f}, '') IS DISTINCT FROM {f} AND nullif(matched_{f}, '') IS NOT NULL" for f in ("title", "artist", "album", "genre", "year")) + " UNION ALL SELECT 'cover_art', 'None', 'Will be added' WHERE matched_cover_url <> '' AND id % 2 <> 0) f")
+def tag_changes(spark, sf_dir):
+    t = tracks(spark, sf_dir)
+    preview = dml.tag_preview(t, t.select("id", (F.col("id") % 2 == 0).alias("has_cover"), "title", "artist", "album", "genre", "year"))
+    return preview.select("id", F.explode("changes").alias("c")).select("id", "c.field", "c.old_value", "c.new_value")
