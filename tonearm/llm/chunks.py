@@ -70,9 +70,10 @@ def ragged(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, pick: np.nda
 class ChunkEncoder:
     """encode_many: an array of distinct pieces -> their ids one behind the other, and how many each has."""
 
-    def __init__(self, encode_many: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], dtype: np.dtype, special: tuple[str, ...] = (), cut: bool = True):
-        self.encode_many, self.dtype, self.cut = encode_many, dtype, cut
-        self.whole = "|".join([f"[{_WIDE_SPACE}]", *map(re.escape, special)])
+    def __init__(self, encode_many: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], dtype: np.dtype, special: tuple[str, ...] = (), cut: bool = True, begins: Callable[[bytes, np.ndarray, np.ndarray, np.ndarray], np.ndarray] = cuts, wide: bool = False):
+        """begins: where pieces begin; wide: whether texts with white space beyond ASCII may be cut."""
+        self.encode_many, self.dtype, self.cut, self.begins = encode_many, dtype, cut, begins
+        self.whole = "|".join([*([] if wide else [f"[{_WIDE_SPACE}]"]), *map(re.escape, special)])
         self.forget()
 
     def forget(self) -> None:
@@ -96,8 +97,8 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array):
         """Yields (ids of some texts one behind the other, where each text ends) until all texts are done."""
-        for group in _groups(pc.fill_null(texts.cast(pa.large_string()), "")):
-            yield self._encode_group(group)
+        for group in groups(pc.fill_null(texts.cast(pa.large_string()), "")):
+            yield self.encode_group(group)
 
     def packed(self, texts: pa.Array) -> list[bytes]:
         """Each text's ids as bytes."""
@@ -107,14 +108,16 @@ class ChunkEncoder:
             out += [data[a:b] for a, b in zip(at, at[1:])]
         return out
 
-    def _encode_group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode_group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = bytes(memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]])
         starts, ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
         if not data:
             return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
-        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False) if self.cut else np.ones(len(texts), bool)
-        at = cuts(data, starts, ends, whole)
+        whole = np.full(len(texts), not self.cut)
+        if self.cut and self.whole:
+            whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        at = self.begins(data, starts, ends, whole)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
         ids, piece_ends = ragged(*self._rows(pieces.dictionary), pieces.indices.to_numpy())
         return ids, np.append(0, piece_ends)[np.searchsorted(at[:-1], ends)]
@@ -141,7 +144,7 @@ def interleave(n: int, ok: np.ndarray, lines: tuple[np.ndarray, np.ndarray], oth
     return ids, sizes
 
 
-def _groups(texts: pa.Array) -> Iterator[pa.Array]:
+def groups(texts: pa.Array) -> Iterator[pa.Array]:
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     begin = total = 0
     for k, n in enumerate(sizes.tolist()):

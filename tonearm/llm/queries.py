@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, dedup_exact, html_text, jaccard_join, licenses, substrings, token_files, toxicity, url_filter
+from . import alignment, bpe, decontaminate, dedup_exact, html_text, jaccard_join, licenses, substrings, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_bpe": bpe.op10_bpe,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 SQL = {

@@ -125,7 +125,8 @@ class LibraryEncoder:
     LINES = 512
     _built: dict[str, LibraryEncoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """plain: special tokens' strings in texts are text like any other."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -134,7 +135,9 @@ class LibraryEncoder:
         self.library.no_padding()
         self.n_ids = self.library.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.n_ids <= 1 << 16 else "<u4")
-        self.special = tuple(a.content for a in self.library.get_added_tokens_decoder().values())
+        self.added = self.library.get_added_tokens_decoder()
+        self.special = () if plain else tuple(a.content for a in self.added.values())
+        self.library.encode_special_tokens = plain
         cut = cuttable(self.library.to_str())
         self.line = self._encode(["\n"])[0] if cut else []
         self.encoder = ChunkEncoder(self.encode_many, self.dtype, self.special, cut)
