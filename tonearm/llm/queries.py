@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, decontaminate, dedup_exact, html_text, jaccard_join, licenses, substrings, token_files, toxicity, url_filter
+from . import alignment, bpe, decontaminate, dedup_exact, html_text, jaccard_join, licenses, merkle, substrings, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_bpe": bpe.op10_bpe,
+    "op11_merkle": merkle.op11_merkle,
     "op13_alignment": alignment.op13_alignment,
 }
 
@@ -23,4 +24,5 @@ SQL = {
     "op4_decontamination": decontaminate.SQL,
     "op5_jaccard_join": jaccard_join.SQL,
     "op6_exact_dedup": dedup_exact.SQL,
+    "op11_merkle": merkle.SQL,
 }
