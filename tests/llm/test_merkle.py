@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.llm import merkle
+from tonearm.llm import merkle, order
 
 COLUMNS = "doc_id long, source string, lang string, n_chars long, text string"
 
@@ -93,7 +93,7 @@ def test_ragged_blocks(spark, monkeypatch):
     for block, fan, broadcast in ((3, 2, 1000), (10, 10, 0), (4, 3, 0)):
         monkeypatch.setattr(merkle, "BLOCK", block)
         monkeypatch.setattr(merkle, "FAN", fan)
-        monkeypatch.setattr(merkle, "BROADCAST_RUNS", broadcast)
+        monkeypatch.setattr(order, "BROADCAST_RUNS", broadcast)
         assert op(spark, rows, monkeypatch) == want
     assert 0 < sum(not r[6] for r in want) < len(want) / 4
 

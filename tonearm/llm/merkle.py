@@ -20,18 +20,15 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from . import common
+from . import common, order
 
 #: Levels of a block's tree, and levels that are joined at a time above it.
 BLOCK, FAN = 10, 10
-#: Runs of a group in a partition up to which their offsets are broadcast (some 60 bytes each); beyond, they are joined by a shuffle.
-BROADCAST_RUNS = 200_000
 
 
 def _hash(*digests: str) -> str:
@@ -116,21 +113,10 @@ def ascend(leaves: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame]:
     roots: grp, n, level, place, digest.
     """
     kind = leaves.schema["key"].dataType.simpleString()
-    leaves = common.stored(leaves.withColumn("tie", F.monotonically_increasing_id()), "leaves")
-    ranged = leaves.repartitionByRange("grp", "key", "digest", "tie").sortWithinPartitions("grp", "key", "digest", "tie")
-    ordered = common.stored(ranged.select("grp", "key", "digest", "changed").mapInArrow(_number, f"part int, grp string, seq long, key {kind}, digest string, changed string"), "leaves-in-order")
-    runs = ordered.groupBy("part", "grp").agg(F.count("*").alias("n_run"))
-    before = Window.partitionBy("grp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = leaves.groupBy("grp").agg(F.count("*").alias("n"))
-    runs = common.stored(runs.withColumn("at", F.coalesce(F.sum("n_run").over(before), F.lit(0))).join(sizes, "grp").select("part", "grp", "at", "n"), "runs")
-    few = runs.count() <= BROADCAST_RUNS
-    placed = ordered.join(F.broadcast(runs) if few else runs, ["part", "grp"]).select("grp", (F.col("at") + F.col("seq")).alias("place"), "n", "key", "digest", "changed")
-    if not few:
-        placed = placed.repartitionByRange("grp", "place").sortWithinPartitions("grp", "place")
+    placed = order.placed(leaves, "grp", ["key", "digest"], "leaves").select("grp", "place", "n", "key", "digest", "changed")
     ddl = _BLOCKS.format(kind=kind)
     schema, height = _arrow(ddl), BLOCK
     blocks = common.stored(placed.mapInArrow(lambda batches: _pack(batches, schema, height), ddl), "blocks")
-    common.drop(leaves, ordered, runs)
     nodes = blocks.select("grp", "n", F.inline("nodes"))
     steps, top = [], BLOCK
     while True:
@@ -150,18 +136,6 @@ def _size(level: str) -> Column:
     return F.expr(f"shiftright(n - 1, {level}) + 1")
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's place in its group's run in the partition."""
-    part, run, seq = TaskContext.get().partitionId(), None, 0
-    for batch in batches:
-        at = []
-        for grp in common.column(batch, "grp").to_pylist():
-            seq = seq + 1 if grp == run else 0
-            run = grp
-            at.append(seq)
-        yield pa.RecordBatch.from_arrays([pa.array([part] * len(at), pa.int32()), batch.column(0), pa.array(at, pa.int64()), *batch.columns[1:]], names=["part", "grp", "seq", *batch.schema.names[1:]])
-
-
 def _pack(batches: Iterator[pa.RecordBatch], schema: pa.Schema, height: int) -> Iterator[pa.RecordBatch]:
     """Leaves that follow one another in blocks, with the uppermost nodes that follow from each block's own leaves."""
     run, first, held = None, 0, []

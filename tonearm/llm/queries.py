@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, decontaminate, dedup_exact, html_text, jaccard_join, licenses, merkle, substrings, token_files, toxicity, url_filter
+from . import alignment, bpe, decontaminate, dedup_exact, html_text, jaccard_join, licenses, merkle, near_vectors, substrings, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
     "op10_bpe": bpe.op10_bpe,
     "op11_merkle": merkle.op11_merkle,
+    "op12_near_vectors": near_vectors.op12_near_vectors,
     "op13_alignment": alignment.op13_alignment,
 }
 
@@ -25,4 +26,5 @@ SQL = {
     "op5_jaccard_join": jaccard_join.SQL,
     "op6_exact_dedup": dedup_exact.SQL,
     "op11_merkle": merkle.SQL,
+    "op12_near_vectors": near_vectors.SQL,
 }
