@@ -4,10 +4,13 @@ import random
 import struct
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tonearm.functions import similarity
+from tonearm.functions.ratios import Names
 from tonearm.operators import html_pages, jsonmeta, matching, series, simjoin
 from tonearm.plans import page_queries, queries  # noqa: F401
 from tonearm.sources import files
@@ -272,3 +275,51 @@ def test_job_states(spark, tmp_path):
     for row in (("a", "running", 1), ("a", "done", 3), ("b", "running", 5), ("c", "running", 1), ("c", "done", 2), ("a", "expired", 3), ("b", "expired", 5)):
         assert got.count(row) == 1, got
     assert len(got) == 7
+
+
+def chain_jobs(spark, run):
+    """What run gives, and how many jobs it took."""
+    spark.sparkContext.setJobGroup(f"jobs-{id(run)}", "counted")
+    out = run()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"jobs-{id(run)}"))
+    spark.sparkContext.setJobGroup("other", "other")
+    return out, jobs
+
+
+def test_leader_clusters_of_a_chain(spark):
+    """10,000 nodes of which each is tied to the next: one task decides the component."""
+    n = 10_000
+    pairs = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    nodes = spark.range(n + 1).withColumnRenamed("id", "pos")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a job for each action, not for each exchange
+    got, jobs = chain_jobs(spark, lambda: simjoin.leader_clusters(nodes, pairs).collect())
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert {r["pos"]: r["leader"] for r in got} == {k: k - k % 2 for k in range(n + 1)}
+    assert jobs < 10
+
+
+@pytest.mark.parametrize("small", [0, 3, 12])
+def test_leader_clusters_of_large_components(spark, small):
+    rng = random.Random(small)
+    pairs = [(a, b) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.06] + [(50, 51), (51, 52)]
+    nodes = spark.range(54).withColumnRenamed("id", "pos")
+    got = {r["pos"]: r["leader"] for r in simjoin.leader_clusters(nodes, spark.createDataFrame(pairs, "a long, b long"), small).collect()}
+    assert got == greedy(54, pairs)
+
+
+def test_top_similar_against_all_pairs(spark):
+    """2,000 names with 2,000: the same ten as from all pairs, ties too."""
+    parts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.1/part.parquet").select("p_name").limit(4000).collect()]
+    left, right = list(enumerate([*parts[:1990], None, "", "x", *parts[:7]])), list(enumerate([*parts[2000:], *parts[2000:2040], None]))
+    a, b = (spark.createDataFrame(rows, "k long, name string").repartition(3) for rows in (left, right))
+    monkey, simjoin.NAMES_BLOCK = simjoin.NAMES_BLOCK, 700
+    got = {(r["left_key"], r["rank"]): (r["right_key"], r["score"]) for r in simjoin.top_similar(a, b, "k", "name", "k", "name", 50.0).collect()}
+    simjoin.NAMES_BLOCK = monkey
+    names = Names(pa.array([n or "" for _, n in [*left, *right]]))
+    at = np.arange(len(left), len(left) + len(right))
+    want = {}
+    for k in range(len(left)):
+        score = names.ratios(np.full(len(right), k), at)
+        order = np.lexsort((np.arange(len(right)), -score))[:10]
+        want |= {(k, place + 1): (int(c), score[c]) for place, c in enumerate(order) if score[c] >= 50}
+    assert got == want

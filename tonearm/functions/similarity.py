@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .ratios import pair_ratios
+
 
 def overlap_score(shared: Column, a: Column, b: Column) -> Column:
     """From the sizes of an intersection and of both sets: Jaccard, or for a contained set 0.5 and half its share if that is more."""
@@ -53,7 +56,7 @@ def token_set_ratio_udf(a: Column, b: Column) -> Column:
     """token_set_ratio by Arrow batches; null is empty."""
 
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([token_set_ratio(p or "", q or "") for p, q in zip(x, y)], dtype="float64")
+        return pd.Series(pair_ratios(pa.array(x, pa.large_string(), from_pandas=True), pa.array(y, pa.large_string(), from_pandas=True)))
 
     ratio.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
     return F.pandas_udf(ratio, "double")(a, b)

@@ -53,9 +53,11 @@ def tagged_albums(tracks: DataFrame, min_duration: float | None = None) -> DataF
     return first.select("album_key", "album_pos", F.col("v.series_album").alias("album"), "v.artist", "v.genre", "v.album_artist", "v.cover_url")
 
 
-def orphan_matches(free: DataFrame, albums: DataFrame) -> DataFrame:
-    """(id, rank, score, album, ...): up to five tagged series that a free track's name resembles, the best first."""
-    names = free.select("id", series_name(F.col("filename"))["normalized"].alias("name"))
+def orphan_matches(free: DataFrame, albums: DataFrame, name: str | None = None) -> DataFrame:
+    """(id, rank, score, album, ...): up to five tagged series that a free track's name resembles, the best first. name: a column to take the name from, else that of the file."""
+    ensure_checkpoint_dir(free.sparkSession)
+    names = (_named(free).select("id", F.col("normalized").alias("name")) if name is None else free.select("id", F.col(name).alias("name"))).checkpoint()
+    albums = albums.checkpoint()
     keys = names.select("name").distinct()
     scored = token_similarity_join(keys, albums, "name", "name", "album_key", "album_key", THRESHOLD)
     found = names.join(scored.withColumnRenamed("left_key", "name"), "name").join(albums.withColumnRenamed("album_key", "right_key"), "right_key")

@@ -218,13 +218,9 @@ sc AS (SELECT *, {_SCORE} AS score FROM p WHERE i > 0)
 SELECT id, album, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, album_pos) AS rank FROM sc WHERE score > 0.5 QUALIFY rank <= 5""")
 def orphan_series_match(spark, sf_dir):
     t = tracks(spark, sf_dir)
-    free = t.where(~catalog.is_tagged()).withColumn("filename", F.concat(text.series_name(F.col("filename"))["normalized"], F.lit(" "), F.replace("album", F.lit("#"), F.lit(""))))
-    names = free.select("id", F.col("filename").alias("name"))
-    albums = series.tagged_albums(t)
-    scored = simjoin.token_similarity_join(names.select("name").distinct(), albums, "name", "name", "album_key", "album_key").withColumnRenamed("left_key", "name")
-    found = names.join(scored, "name").join(albums.select(F.col("album_key").alias("right_key"), "album", "album_pos"), "right_key")
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "album_pos")
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("id", "album", "score", "rank")
+    named = t.where(~catalog.is_tagged()).select("id", "album", F.inline(F.array(text.series_name(F.col("filename")))))
+    free = named.select("id", F.concat("normalized", F.lit(" "), F.replace("album", F.lit("#"), F.lit(""))).alias("name"))
+    return series.orphan_matches(free, series.tagged_albums(t), "name").select("id", "album", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""{T}, r AS (SELECT id, coalesce({q('album')}, 'Unknown') AS album, coalesce({q('artist')}, 'Unknown') AS artist, coalesce({q('genre')}, '') AS genre, {q('album_artist')} AS aa, nullif(matched_cover_url, '') AS u FROM tracks WHERE series_tagged),
@@ -331,8 +327,8 @@ def fallback_matches(spark, sf_dir):
 def fuzzy_topk(spark, sf_dir):
     parts = read(spark, sf_dir, "part").select("p_partkey", text.clean_string(F.col("p_name")).alias("name"))
     types = read(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("other")).distinct().select("other", text.clean_string(F.col("other")).alias("clean"))
-    scored = simjoin.fuzzy_join(parts, types, "p_partkey", "name", "other", "clean", 50.0)
-    return matching.top_matches(scored.select(F.col("left_key").alias("track_id"), F.col("right_key").alias("pos"), "score"), 50, 10)
+    found = simjoin.top_similar(parts, types, "p_partkey", "name", "other", "clean", 50.0, matching.TOP)
+    return found.select(F.col("left_key").alias("track_id"), F.col("right_key").alias("pos"), "score", "rank")
 
 
 @query()
