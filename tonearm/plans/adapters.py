@@ -58,5 +58,12 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, TRACKS)
 
 
+def stream_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracks as the orders come in, the other tables as they are."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in TRACKS}
+    tables["orders"] = spark.readStream.schema(tables["orders"].schema).parquet(f"{sf_dir}/orders.parquet*")  # a pattern may fit a file too
+    return spark.sql(TRACKS.replace("{S}", "string"), **tables)
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, CANDIDATES)
