@@ -1,9 +1,12 @@
 """Page parsers and site search over small pages, one of each kind."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tonearm.operators import html_pages, site_search
+from tonearm.sources import markup
 from tonearm.sources.markup import read_nodes
 
 SITE = "https://www.1001tracklists.com"
@@ -117,3 +120,20 @@ def test_cover_options(spark):
     got = site_search.cover_options(hits, covers, limit=2).orderBy("option_no").collect()
     assert [(r["option_no"], r["url"], r["source"]) for r in got] == [(1, "u1", "a"), (2, "u2", "a")]
     assert spark.range(1).select(site_search.cover_queries(F.lit("x"))).first()[0] == ["x album cover", "x discogs", "x artwork soundcloud"]
+
+
+@pytest.mark.parametrize("unit, count", [("<a ", 350_000), ("<div>x", 170_000), ("<b><p>x", 150_000), ('<i t="', 170_000), ("</p>", 250_000), ("<p></b>", 150_000), ("<script>", 130_000), ("<!--", 250_000), ("<li><b>", 150_000), ("&lt;<", 200_000)])
+def test_reader_is_linear(unit, count):
+    """A megabyte of markup of one kind takes a few seconds at most."""
+    began = time.monotonic()
+    markup._read(unit * count)
+    assert time.monotonic() - began < 5
+
+
+def test_reader():
+    read = lambda h: [(n["tag"], n["pos"], n["last"], dict(n["attrs"])) for n in markup._read(h)[2]]
+    assert read('<P A=1 b="x>y" a=2>t<br/>u') == [("p", 0, 3, {"a": "1", "b": "x>y"}), ("#text", 1, 1, {}), ("br", 2, 2, {}), ("#text", 3, 3, {})]
+    assert markup._read("a < b &amp; c<!-- <p>no --><script>if (a<b) '</p>'</script>d</x>e<q")[1] == "a < b & cde"
+    assert [n[0] for n in read('<p title="x>leak</p>y')] == ["p", "#text", "#text"]
+    assert read("<ul><li>a<ul><li>b</ul><li>c</ul>")[1][:3] == ("li", 1, 5)
+    assert read("<div/>x")[0] == ("div", 0, 0, {}) and read("<?php a?>z<!DOCTYPE html></ >")[0][0] == "#text"

@@ -206,8 +206,8 @@ def decode_tags(data: bytes) -> dict:
     for reader in (_wav, _mp3, _flac, _mp4, _ogg):
         try:
             if found := reader(data):
-                return found
-        except (struct.error, IndexError, ValueError, UnicodeDecodeError):
+                return {k: v for k, v in found.items() if not isinstance(v, int) or abs(v) < 1 << 31}
+        except (struct.error, IndexError, ValueError, ArithmeticError, MemoryError):
             return {}
     return {}
 

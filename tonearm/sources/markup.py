@@ -7,7 +7,9 @@ from pos + 1 to last. Text nodes have the tag #text; scripts and styles have no
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from bisect import bisect_right
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,60 +25,98 @@ ENDS = {
 }
 
 
-class _Reader(HTMLParser):
+#: A tag with its attributes; a quotation mark that nothing closes is a character like any other, and a tag that nothing closes reaches to the end.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]|=\s*+(?:"[^"]*+"|'[^']*+'|)|["'])*+)(>?)""")
+_ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style")}
+
+
+class _Reader:
+    """Open elements are kept by tag too, so that no tag looks through all of them."""
+
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[dict] = []
+        self.places: dict[str, list[int]] = {}
         self.text: list[str] = []
         self.raw: list[str] = []
-        self.n = self.raw_n = 0
+        self.n = self.raw_n = self.silent = 0
 
     def _add(self, tag: str, attrs: dict) -> dict:
         node = {"pos": len(self.nodes), "last": len(self.nodes), "tag": tag, "attrs": list(attrs.items()), "begin": self.n, "end": self.n, "raw_begin": self.raw_n, "raw_end": self.raw_n}
         self.nodes.append(node)
         return node
 
-    def _end(self, k: int) -> None:
-        for node in self.open[k:]:
+    def end_from(self, k: int) -> None:
+        for node in reversed(self.open[k:]):
             node["last"], node["end"], node["raw_end"] = len(self.nodes) - 1, self.n, self.raw_n
+            self.places[node["tag"]].pop()
+            self.silent -= node["tag"] in SILENT
         del self.open[k:]
 
-    def handle_starttag(self, tag, attrs):
+    def start(self, tag: str, attrs: dict) -> None:
         these, within = ENDS.get(tag, ((), ()))
-        cut = None
-        for k in range(len(self.open) - 1, -1, -1) if these else ():
-            if self.open[k]["tag"] in within:
-                break
-            if self.open[k]["tag"] in these:
-                cut = k
-        if cut is not None:
-            self._end(cut)
-        node = self._add(tag, {k: v or "" for k, v in reversed(attrs)})
+        inside = max((self.places[t][-1] for t in within if self.places.get(t)), default=-1)
+        ended = [p[k] for t in these if (p := self.places.get(t)) and (k := bisect_right(p, inside)) < len(p)]
+        if ended:
+            self.end_from(min(ended))
+        node = self._add(tag, attrs)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
+            self.silent += tag in SILENT
 
-    def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k]["tag"] == tag:
-                self._end(k)
-                return
+    def end(self, tag: str) -> None:
+        if places := self.places.get(tag):
+            self.end_from(places[-1])
 
-    def handle_data(self, data):
-        if any(n["tag"] in SILENT for n in self.open):
+    def data(self, data: str) -> None:
+        if self.silent or not data:
             return
+        data = unescape(data)
         node = self._add("#text", {})
         self.text.append(data.strip())
         self.raw.append(data)
         self.n, self.raw_n = self.n + len(self.text[-1]), self.raw_n + len(data)
         node["end"], node["raw_end"] = self.n, self.raw_n
 
+    def feed(self, source: str) -> None:
+        at = begin = 0
+        while (at := source.find("<", at)) >= 0:
+            tag, after = _TAG.match(source, at), source[at + 1 : at + 3]
+            if not tag and not (after[:1] in ("!", "?") or (after[:1] == "/" and len(after) == 2)):
+                at += 1  # no markup
+                continue
+            self.data(source[begin:at])
+            if not tag:
+                comment = source.startswith("<!--", at)
+                end = source.find("-->", at + 4) if comment and not source.startswith(("<!-->", "<!--->"), at) else source.find(">", at)
+                begin = at = len(source) if end < 0 else end + (3 if source.startswith("-->", end) else 1)
+                continue
+            begin = at = tag.end()
+            if not tag[4]:
+                begin = len(source)
+                break
+            name = tag[2].lower()
+            if tag[1]:
+                self.end(name)
+                continue
+            attrs: dict[str, str] = {}
+            for m in _ATTRIBUTE.finditer(tag[3]):
+                attrs.setdefault(m[1].lower(), unescape(next((v for v in m.groups()[1:] if v is not None), "")))
+            self.start(name, attrs)
+            if tag[3].endswith("/") and name not in VOID:
+                self.end(name)
+            if name in _RAW_END and self.open and self.open[-1]["tag"] == name:
+                found = _RAW_END[name].search(source, at)
+                begin = at = found.start() if found else len(source)
+        self.data(source[begin:])
+        self.end_from(0)
+
 
 def _read(source: str | None) -> tuple[str, str, list[dict]]:
     r = _Reader()
     r.feed(source or "")
-    r.close()
-    r._end(0)
     return "".join(r.text), "".join(r.raw), r.nodes
 
 
