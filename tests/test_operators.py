@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tonearm.functions import similarity
 from tonearm.functions.ratios import Names
 from tonearm.operators import html_pages, jsonmeta, matching, series, simjoin
-from tonearm.plans import page_queries, queries, store_queries  # noqa: F401
+from tonearm.plans import match_queries, page_queries, queries, store_queries  # noqa: F401
 from tonearm.sources import files
 from tonearm.streaming import incremental
 

@@ -88,7 +88,31 @@ def containing_episode(results: DataFrame, queries: DataFrame) -> DataFrame:
     return results.join(queries.select("query", "episode"), "query").where(F.contains("title", F.col("episode")))
 
 
-def search_hits(hits: DataFrame, blocked: str, per_query: int = 5, queries: int = 5) -> DataFrame:
-    """hits(track_id, query_no, pos, url, domain): the first few of the first queries, each url once, then without blocked domains."""
-    rows = hits.where((F.col("query_no") <= queries) & (F.col("pos") <= per_query)).withColumn("source_prio", F.col("query_no"))
-    return once_by_url(rows).where(~F.col("domain").rlike(blocked)).drop("source_prio")
+#: Search terms whose results count where the first search found too little, and where it failed.
+DIRECT_TERMS, FAILED_TERMS = 2, 3
+
+
+def matched_paths(tracks: DataFrame, primary: DataFrame, direct: DataFrame, failed: DataFrame, threshold: float = MATCH_THRESHOLD, top: int = TOP) -> DataFrame:
+    """(track_id, url, score, path, rank): the matches of three ways to find them, the best top of each track.
+
+    primary(track_id, pos, url, score): results of the first search. direct(track_id, term_no, pos, url, score): results by search
+    term, from 0. Tracks with fewer than ENOUGH primary matches take the direct results of DIRECT_TERMS terms, and those of
+    failed(track_id), whose first search broke off, of FAILED_TERMS. A url counts once: not if a primary match
+    has it, else by its first direct result, whatever that scores. Ties keep primary matches first, in their order.
+    """
+    found = primary.where(F.col("score") >= threshold).select("track_id", F.lit("search").alias("path"), F.lit(-1).alias("term_no"), "pos", "url", "score")
+    counts = found.groupBy("track_id").agg(F.count("*").alias("n"))
+    broken = failed.select("track_id", F.lit(True).alias("broken")).distinct()
+    state = tracks.select(F.col("id").alias("track_id")).join(counts, "track_id", "left").join(broken, "track_id", "left")
+    terms = F.when(F.col("broken"), FAILED_TERMS).when(F.coalesce("n", F.lit(0)) < ENOUGH, DIRECT_TERMS).otherwise(0)
+    more = direct.join(state.select("track_id", terms.alias("terms"), F.when(F.col("broken"), "fallback").otherwise("direct").alias("path")), "track_id").where(F.col("term_no") < F.col("terms"))
+    more = once_by_url(more, priority="term_no").join(found.select("track_id", "url"), ["track_id", "url"], "left_anti").where(F.col("score") >= threshold)
+    every = found.unionByName(more.select(found.columns))
+    w = Window.partitionBy("track_id").orderBy(F.desc("score"), "term_no", "pos")
+    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("track_id", "url", "score", "path", "rank")
+
+
+def candidate_places(tracks: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates with their track's file name and their place among the track's, the most confident first."""
+    w = Window.partitionBy("track_id").orderBy(F.desc("confidence"), "id")
+    return candidates.join(tracks.select(F.col("id").alias("track_id"), "filename"), "track_id").withColumn("place", F.row_number().over(w))
