@@ -17,6 +17,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
@@ -199,10 +200,11 @@ def hits_in(matcher: Matcher, text: str) -> list[tuple[int, int, bool]]:
         return []
     spans = quotations(text)
     ends = [b for _, b in spans]
+    begins = [*accumulate((a for a, _ in reversed(spans)), min)][::-1]  # the first begin of the quotations that end there or later
 
     def quoted(a: int, b: int) -> bool:
-        k = bisect_left(ends, b)  # quotations end in order; one that began before the hit may end behind later ones
-        return any(s < a for s, _ in spans[k : k + 4]) or reported(text, a, b)
+        k = bisect_left(ends, b)  # quotations end in order
+        return (k < len(begins) and begins[k] < a) or reported(text, a, b)
 
     return [(*found[m[0]], quoted(*m.span())) for m in _WORD.finditer(text) if m[0] in found]
 
