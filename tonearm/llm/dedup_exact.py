@@ -1,12 +1,11 @@
 """Exact duplicates through a log-structured merge index of text digests, in DataFrame operations only.
 
-* A *memtable* is one input partition of a batch; it flushes its (digest, identifier) entries as a run sorted by
-  digest. A batch's runs are compacted to one run of level 0: one entry a digest, with the row that stays and how many
-  rows have it.
-* Each run has a *filter*, a bitmap over hashes of its digests. A new batch's digests are tested against the filters of
-  older runs, and only those that pass are merged with the run itself.
+* A batch of documents is read once and fills MEMTABLES *memtables* by input partition, of (digest, row) entries. Each
+  is flushed as a run of level 0, sorted by digest: one entry a digest, with the row that stays and how many rows have it.
+* Each run has a *filter*, a bitmap over hashes of its digests. Where a newer run meets it, only the digests that pass the
+  filter are merged with the run itself; the others stand beside it.
 * *Compaction*: FANOUT runs of a level are merged, two sorted runs at a time by a sort-merge full outer join, to one run
-  of the next level, that keeps the smallest (or largest) identifier and the counts' sum.
+  of the next level, that keeps the smallest (or largest) identifier and the counts' sum. A batch is judged by all levels merged.
 * A digest held by several rows is a *hit*. Hits get byte verification: the smallest and the largest text of
   the digest must be the same bytes. Should they ever differ, the rows of that digest are grouped by text.
 
@@ -24,8 +23,8 @@ from . import common
 
 #: Hits (32 bytes each) and filters (by bytes) are broadcast up to so many, and joined by a shuffle beyond.
 BROADCAST_HITS, BROADCAST_FILTER = 100_000, 16 << 20
-#: Runs of a level before they are merged, and bits of a filter for each digest.
-FANOUT, FILTER_BITS = 4, 10
+#: Memtables of a batch, runs of a level before they are merged, and bits of a filter for each digest.
+MEMTABLES, FANOUT, FILTER_BITS = 5, 4, 10
 _BUCKET = 1 << 15  # bits of one bitmap of Spark's bitmap functions
 
 
@@ -33,24 +32,26 @@ def _digest():
     return F.unhex(F.sha2("text", 256)).alias("digest")
 
 
-def flush_runs(docs: DataFrame, batch: int = 0) -> DataFrame:
-    """docs(doc_id, text) -> sorted runs (doc_id, row, digest), one a partition; row tells all rows of the index apart."""
+def fill_memtables(docs: DataFrame, batch: int = 0, tables: int = MEMTABLES) -> DataFrame:
+    """docs(doc_id, text) -> stored entries (memtable, doc_id, row, digest); row tells all rows of the index apart."""
     row = F.struct(F.lit(batch).alias("batch"), F.monotonically_increasing_id().alias("at"))
-    return common.stored(docs.select("doc_id", row.alias("row"), _digest()).sortWithinPartitions("digest"), "lsm-memtables")
+    return common.stored(docs.select((F.spark_partition_id() % tables).alias("memtable"), "doc_id", row.alias("row"), _digest()), "lsm-memtables")
 
 
-def compact(runs: DataFrame, keep: str = "min") -> DataFrame:
-    """Merged entries (digest, keeper struct(doc_id, row), group_size); counts and extremes combine inside each run first."""
+def flush(entries: DataFrame, keep: str = "min") -> DataFrame:
+    """A run (digest, keeper struct(doc_id, row), group_size) of a memtable's entries."""
     best = F.max if keep == "max" else F.min
-    return runs.groupBy("digest").agg(best(F.struct("doc_id", "row")).alias("keeper"), F.count("*").alias("group_size"))
+    return entries.groupBy("digest").agg(best(F.struct("doc_id", "row")).alias("keeper"), F.count("*").alias("group_size"))
 
 
-def merge_runs(older: DataFrame, newer: DataFrame, keep: str = "min") -> DataFrame:
-    """Two runs as one, by a sort-merge full outer join."""
-    new = newer.select("digest", F.col("keeper").alias("keeper2"), F.col("group_size").alias("size2"))
+def merge_runs(older: Run, newer: Run, keep: str = "min") -> DataFrame:
+    """Two runs as one: what passes the older run's filter by a sort-merge full outer join, the rest beside it."""
+    tested = older.tested(newer.entries)
+    new = tested.where("maybe").select("digest", F.col("keeper").alias("keeper2"), F.col("group_size").alias("size2"))
     best = F.greatest if keep == "max" else F.least
     sizes = F.coalesce("group_size", F.lit(0)) + F.coalesce("size2", F.lit(0))
-    return older.hint("merge").join(new, "digest", "full_outer").select("digest", best("keeper", "keeper2").alias("keeper"), sizes.cast("long").alias("group_size"))
+    met = older.entries.hint("merge").join(new, "digest", "full_outer").select("digest", best("keeper", "keeper2").alias("keeper"), sizes.cast("long").alias("group_size"))
+    return met.unionByName(tested.where("not maybe").select("digest", "keeper", "group_size"))
 
 
 class Run:
@@ -65,13 +66,17 @@ class Run:
     def _at(self):
         return F.pmod(F.xxhash64("digest"), F.lit(self.bits)) + 1
 
-    def passing(self, entries: DataFrame) -> DataFrame:
-        """Entries whose digest may be in this run."""
+    def tested(self, entries: DataFrame) -> DataFrame:
+        """The entries, with whether their digest may be in this run."""
         filters = F.broadcast(self.filter) if self.bits // 8 <= BROADCAST_FILTER else self.filter
         bit = F.bitmap_bit_position(self._at())
         byte = F.conv(F.hex(F.substring("bitmap", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-        tested = entries.withColumn("bucket", F.bitmap_bucket_number(self._at())).join(filters, "bucket")
-        return tested.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(entries.columns)
+        found = entries.withColumn("bucket", F.bitmap_bucket_number(self._at())).join(filters, "bucket", "left")
+        return found.select(*entries.columns, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)).alias("maybe"))
+
+    def passing(self, entries: DataFrame) -> DataFrame:
+        """Entries whose digest may be in this run."""
+        return self.tested(entries).where("maybe").select(entries.columns)
 
     def drop(self) -> None:
         common.drop(self.entries, self.filter)
@@ -86,29 +91,36 @@ class DigestIndex:
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, judged against all batches up to this one."""
         docs = common.clean_columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-        rows = flush_runs(docs, self.batches)
-        own = Run(compact(rows, self.keep))
-        entries = own.entries
-        for run in (r for level in self.levels for r in level):
-            met = run.entries.join(run.passing(own.entries).select("digest"), "digest", "left_semi")
-            entries = merge_runs(entries, met, self.keep)
-        hits = common.stored(entries.where("group_size > 1"), "lsm-hits")
+        rows = fill_memtables(docs, self.batches)
+        for k in range(MEMTABLES):
+            self.levels[0].append(Run(flush(rows.where(F.col("memtable") == k), self.keep)))
+            self._compact_levels()
         self.sources.append(docs)
         self.batches += 1
-        self.levels[0].append(own)
-        self._compact_levels()
+        hits = common.stored(self._merged([r for level in reversed(self.levels) for r in level]).where("group_size > 1"), "lsm-hits")
         return self._judged(docs, rows, hits)
 
+    def _merged(self, runs: list[Run]) -> DataFrame:
+        """Runs, the oldest first, as one; all but the last merge are stored with filters of their own."""
+        done, rest = runs[0], runs[1:]
+        for k, run in enumerate(rest):
+            entries = merge_runs(done, run, self.keep)
+            if k + 1 == len(rest):
+                return entries
+            made = Run(entries)
+            if done is not runs[0]:
+                done.drop()
+            done = made
+        return done.entries
+
     def _compact_levels(self) -> None:
         for k, level in enumerate(self.levels):
             if len(level) < FANOUT:
                 continue
-            merged = level[0].entries
-            for run in level[1:]:
-                merged = merge_runs(merged, run.entries, self.keep)
+            merged = Run(self._merged(level))
             if k + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[k + 1].append(Run(merged))
+            self.levels[k + 1].append(merged)
             for run in level:
                 run.drop()
             self.levels[k] = []
