@@ -1,8 +1,9 @@
 """Main text of web pages, with site templates removed.
 
-A page is read into element subtrees. Boilerplate elements (by tag, word of the class, whole id or role) are left out,
-but for articles, headings, and what is marked or a form and holds the article or main; a form also stays if it holds
-the page's h1 or all its text. The main region is the article, unless main holds more text beside it, else main, else the
+A page is read into element subtrees. Boilerplate elements are left out: by tag, by a word of the class, a whole id or role, or by a
+first or last part of such a word (`comment-list`, `siteFooter`), but for articles and headings. What is marked or a form stays if it
+holds more of article or main than stands outside of such elements; without either, what only a part marks stays if it holds two
+thirds of the page's text. A form also stays if it holds the page's h1 or all its text. The main region is the article, unless main holds more text beside it, else main, else the
 body. Every subtree of a block element of the region is hashed (words marked up inside a sentence stay), and Spark counts
 for each host in how many different main texts a subtree occurs: exact copies of an article count once, so that
 copying does not make a text a template. Subtrees that recur across many of a host's texts are deleted.
@@ -48,39 +49,59 @@ MARKS = frozenset(
     "login masthead menu modal nav navbar navigation navigation newsletter notice notices pagination pager popup promo promoted related replies reply respond "
     "search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+#: Parts of such words that mark as well; fewer, as a part may stand in the name of any section.
+PART_MARKS = frozenset(
+    "ad ads advert advertisement adsense breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead nav navbar navigation "
+    "newsletter pagination promo share sharing sidebar social sponsored subscribe topbar".split()
+)
 ARTICLE, MAIN, BODY = 2, 1, 0
+WORD_MARK, PART_MARK = 1, 2
+_PARTS = re.compile(r"[-_\s]+|(?<=[a-z0-9])(?=[A-Z])")
 #: Opening one of these closes an open element of the others named, up to the container.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template|svg|iframe)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^<>]*>", re.S | re.I)
+#: Inside a tag; a quotation mark that nothing closes is a character like any other.
+_INSIDE = r"""(?:[^<>"'=]|=\s*+(?:"[^"]*+"|'[^']*+'|)|["'])*+"""
+_TAG = re.compile(rf"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template|svg|iframe)\b{_INSIDE}>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_INSIDE})>|<[!?/][^<>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
-def _marked(attributes: str, region: int) -> bool:
-    marks = MARKS - {"header"} if region == ARTICLE else MARKS  # an article's own header holds its title
+def _marked(attributes: str, region: int) -> int:
+    """Whether a word of the class, or the id or role, marks boilerplate, or the first or last part of one does."""
+    marks, parts = (MARKS - {"header"} if region == ARTICLE else MARKS), False  # an article's own header holds its title
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "class" and not marks.isdisjoint(value.split()) or name in ("id", "role") and value.strip() in marks:
-            return True
-    return False
+        name, value = name.lower(), a or b or c
+        if name not in ("class", "id", "role"):
+            continue
+        words = value.split() if name == "class" else [value.strip()]
+        if any(w.lower() in marks for w in words):
+            return WORD_MARK
+        for w in words:
+            ends = [x.lower() for x in _PARTS.split(w) if x]
+            parts = parts or len(ends) > 1 and (ends[0] in PART_MARKS or ends[-1] in PART_MARKS)
+    return PART_MARK if parts else 0
 
 
 class Page:
     """pieces: (region, text) in page order, a blank between blocks; subtrees: (hash, first piece, end) of elements with text."""
 
     def __init__(self, source: str):
-        self.spared: set[int] = set()  # elements that hold the article, by their number
+        self.spared: set[int] = set()  # elements that stay, by their number
         while True:
-            self.holding: set[int] = set()
             self._read(source)
-            if not self.holding and not any(t.strip() for _, t in self.pieces):
-                self.holding = self.forms
-            if self.holding <= self.spared:
+            sizes = Counter()
+            for r, t in self.pieces:
+                sizes[r] += len(t.strip())
+            outside, kept = sizes[ARTICLE] + sizes[MAIN], sum(sizes.values())
+            stay = {k for k, n in self.held.items() if n > outside}
+            stay |= {k for k in self.forms if self.headed[k]}
+            if not outside:
+                stay |= {k for k in self.by_part if self.left[k] > 2 * kept}
+            if not stay and not kept:
+                stay = self.forms
+            if stay <= self.spared:
                 break
-            self.spared |= self.holding
-        sizes = Counter()
-        for r, t in self.pieces:
-            sizes[r] += len(t.strip())
+            self.spared |= stay
         self.region = ARTICLE if sizes[ARTICLE] and sizes[ARTICLE] >= sizes[MAIN] else MAIN if sizes[MAIN] else BODY
 
     def _read(self, source: str) -> None:
@@ -88,6 +109,10 @@ class Page:
         self.subtrees: list[tuple[int, int, int]] = []
         self.stack: list[list] = []  # tag, region, left out, first piece, parts to hash, number if left out by itself
         self.forms: set[int] = set()
+        self.by_part: set[int] = set()
+        self.held, self.left, self.headed = Counter(), Counter(), Counter()  # of left out elements: text of articles, all text, whether an h1
+        self.owners: list[int] = []  # the elements that are left out by themselves, from the outermost
+        self.articles = 0  # open articles and mains within them
         self.open_tags: Counter = Counter()
         self.opened = at = 0
         for m in _TAG.finditer(source):
@@ -104,6 +129,10 @@ class Page:
     def _text(self, raw: str) -> None:
         top = self.stack[-1] if self.stack else None
         if top and top[2]:
+            if top[2] == UNLESS_HOLDING and (n := len(raw.strip())):
+                for k in self.owners:
+                    self.left[k] += n
+                    self.held[k] += n if self.articles else 0
             return
         text = html.unescape(raw) if "&" in raw else raw
         self.pieces.append((top[1] if top else BODY, text))
@@ -132,11 +161,9 @@ class Page:
             self._break()
         region, dropped = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (BODY, KEPT)
         own, self.opened = None, self.opened + 1
-        if dropped == UNLESS_HOLDING:
-            if tag in ("article", "main") and region != ARTICLE:
-                self.holding.update(f[5] for f in self.stack if f[5] is not None)
-            elif tag == "h1":
-                self.holding.update(self.forms.intersection(f[5] for f in self.stack))
+        if dropped == UNLESS_HOLDING and tag == "h1":
+            for k in self.forms.intersection(self.owners):
+                self.headed[k] = 1
         if dropped == KEPT:
             if tag == "article":
                 region = ARTICLE
@@ -146,10 +173,16 @@ class Page:
             dropped = LEFT_OUT
         elif dropped != LEFT_OUT and self.opened not in self.spared:
             form = tag in FORMS
-            if form or (tag == "header" and region == BODY) or (tag not in UNMARKED and bool(attributes) and _marked(attributes, region)):
+            mark = _marked(attributes, region) if attributes and tag not in UNMARKED else 0
+            if form or mark or (tag == "header" and region == BODY):
                 dropped, own = UNLESS_HOLDING, self.opened
+                self.owners.append(own)
                 if form:
                     self.forms.add(own)
+                elif mark == PART_MARK:
+                    self.by_part.add(own)
+        if dropped == UNLESS_HOLDING and tag in ("article", "main"):
+            self.articles += 1
         self.stack.append([tag, region, dropped, len(self.pieces), [], own])
         self.open_tags[tag] += 1
 
@@ -163,8 +196,12 @@ class Page:
                 return
 
     def _pop(self) -> None:
-        tag, region, dropped, first, parts, _ = self.stack.pop()
+        tag, region, dropped, first, parts, own = self.stack.pop()
         self.open_tags[tag] -= 1
+        if own is not None:
+            self.owners.pop()
+        if dropped == UNLESS_HOLDING and tag in ("article", "main"):
+            self.articles -= 1
         if not dropped and parts:
             own = xxhash.xxh64_intdigest(tag + "\x00" + "\x00".join(parts)) - (1 << 63)
             if tag not in WHOLE and tag not in INLINE:
