@@ -35,7 +35,8 @@ from .url_filter import Bloom
 
 LENGTH, GRAM = 400, 32
 HOT_ANCHORS = 20_000
-SALTS = 64
+#: Anchors that a bucket of runs gets, and strings of hot grams that a salt gets, on average.
+BUCKET_ANCHORS, SALT_STRINGS = 250_000, 1_000_000
 MAX_FILTER_BITS = 1 << 27
 #: Ranges (16 bytes each) are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_RANGES = 500_000
@@ -280,8 +281,10 @@ def _starts(docs: DataFrame, grams: DataFrame) -> DataFrame:
     hashed = grams.select("gram").mapInArrow(second, "a long, b long")
     again = Bloom.of(hashed, min(n, MAX_FILTER_BITS // 12), 0.003, 0)
     hot = sorted(r["gram"] for r in grams.where(F.col("n") > HOT_ANCHORS).select("gram").collect())  # at most anchors / HOT_ANCHORS
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 2
-    parts = buckets // 2
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    known = grams.agg(F.coalesce(F.sum(F.when(F.col("n") <= HOT_ANCHORS, F.col("n"))), F.lit(0)).alias("runs"), F.coalesce(F.sum(F.when(F.col("n") > HOT_ANCHORS, F.col("n"))), F.lit(0)).alias("dealt")).first()
+    buckets = max(2 * parts, -(-known["runs"] // BUCKET_ANCHORS))
+    salts = max(64, -(-known["dealt"] * GRAM // SALT_STRINGS))  # an anchor stands for some GRAM starts
     sent = spark.sparkContext.broadcast((again, np.array(hot, np.int64)))
 
     def send(batches):
@@ -311,7 +314,7 @@ def _starts(docs: DataFrame, grams: DataFrame) -> DataFrame:
                 out.append((bucket, False, front_code(run)))
             if dealt[0]:
                 strings, doc, start = (np.concatenate(x) for x in dealt)
-                salt = (strings % np.uint64(SALTS)).astype(np.int64)
+                salt = (strings % np.uint64(salts)).astype(np.int64)
                 for k in np.unique(salt).tolist():
                     at = salt == k
                     out.append((buckets + k, True, b"".join(x[at].tobytes() for x in (strings.view(np.int64), doc, start))))
