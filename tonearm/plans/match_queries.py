@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import html_pages, jsonmeta, matching
+from ..functions import media, text
+from ..operators import dml, html_pages, jsonmeta, matching
 from ..sources.markup import read_nodes
 from .adapters import candidates, tracks
 from .queries import _CLEANED, C, T, query
@@ -121,3 +121,20 @@ def nodes_of_pages(spark, sf_dir):
     pages = tracks(spark, sf_dir).select("id", html.alias("html"))
     nodes = read_nodes(pages).select("id", F.inline(F.filter("nodes", lambda n: ~n["tag"].isin("p", "div"))))
     return nodes.groupBy("id", "tag").agg(F.count("*").alias("n")).select("id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("n"), "tag")
+
+
+_CHANGES = [(f, f"coalesce(nullif(matched_{f}, ''), {f})") for f in ("title", "artist", "album", "genre", "year")]
+
+
+@query(f"{T}, o AS (SELECT *, CASE WHEN id % 3 = 0 THEN title ELSE 'Old' END AS o_title, artist AS o_artist, NULL::VARCHAR AS o_album, genre AS o_genre, year AS o_year FROM tracks) " + " UNION ALL ".join(f"SELECT id, '{f}' AS field, o_{f} AS old_value, {new} AS new_value FROM o WHERE {new} <> '' AND o_{f} IS DISTINCT FROM {new}" for f, new in _CHANGES) + " UNION ALL SELECT id, 'cover_art', 'None', 'Will be added' FROM o WHERE matched_cover_url <> '' AND id % 2 <> 0")
+def tag_changes(spark, sf_dir):
+    t = tracks(spark, sf_dir)
+    current = t.select("id", (F.col("id") % 2 == 0).alias("has_cover"), F.when(F.col("id") % 3 == 0, F.col("title")).otherwise("Old").alias("title"), "artist", F.lit(None).cast("string").alias("album"), "genre", "year")
+    return dml.tag_preview(t, current).select("id", F.explode("changes").alias("c")).select("id", "c.field", "c.old_value", "c.new_value")
+
+
+@query("""WITH m AS (SELECT vec_id, [list_sum([abs(CAST(x AS DOUBLE)) for x in embedding[i * 4 + 1 : i * 4 + 4]]) / 4 for i in range(16)] AS means FROM embeddings WHERE len(embedding) = 64),
+u AS (SELECT vec_id, unnest(range(16)) AS place, unnest(means) AS mean, list_max(means) AS most FROM m) SELECT vec_id, place, round(CASE WHEN most > 0 THEN mean / most ELSE 0.5 END, 9) AS peak FROM u""")
+def waveform_shapes(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.size("embedding") == 64)
+    return e.select("vec_id", F.posexplode(media.waveform(F.col("embedding"), 16)).alias("place", "peak")).select("vec_id", F.col("place").cast("long").alias("place"), F.round("peak", 9).alias("peak"))

@@ -14,7 +14,7 @@ from ..schema import RESPONSE_COLUMNS
 from ..sources import files
 from ..streaming import incremental
 from . import adapters
-from .adapters import candidates, tracks
+from .adapters import candidates, dealt_tracks, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -143,7 +143,7 @@ N = _series_sql()
 
 @query(f"{N} SELECT id, display, key AS normalized, episode FROM named")
 def series_names(spark, sf_dir):
-    return tracks(spark, sf_dir).select("id", F.inline(F.array(text.series_name(F.col("filename"))))).select("id", "display", "normalized", "episode")
+    return dealt_tracks(spark, sf_dir).select("id", F.inline(F.array(text.series_name(F.col("filename"))))).select("id", "display", "normalized", "episode")
 
 
 _MODE = "arg_max({v}, n * 1000000000000 - p)"
@@ -152,7 +152,7 @@ _MODE = "arg_max({v}, n * 1000000000000 - p)"
 @query(f"""{N}, g AS (SELECT key, display, count(*) AS n, min(id) AS p FROM named WHERE length(key) > 3 GROUP BY 1, 2)
 SELECT key, CAST(sum(n) AS BIGINT) AS track_count, {_MODE.format(v='display')} AS display_name FROM g GROUP BY 1 HAVING sum(n) >= 2""")
 def series_counts(spark, sf_dir):
-    return series.series_counts(tracks(spark, sf_dir))
+    return series.series_counts(dealt_tracks(spark, sf_dir))
 
 
 @query(f"""{T}, g AS (SELECT directory, {q('genre')} AS v, count(*) AS n, min(id) AS p FROM tracks WHERE {q('genre')} IS NOT NULL GROUP BY 1, 2)
@@ -181,7 +181,7 @@ def series_directory(spark, sf_dir):
 
 
 def _keys(spark, sf_dir) -> DataFrame:
-    return series.name_groups(tracks(spark, sf_dir)).groupBy("key").agg(F.min("id").alias("pos"))
+    return series.name_groups(dealt_tracks(spark, sf_dir)).groupBy("key").agg(F.min("id").alias("pos"))
 
 
 _STOP = "', '".join(text.STOP_WORDS)
@@ -202,9 +202,15 @@ def token_similarity_join(spark, sf_dir):
     return simjoin.similar_names(_keys(spark, sf_dir).withColumn("name", F.col("key")), "key", "name")
 
 
-@query()
+@query(rf"""{N.replace('WITH', 'WITH RECURSIVE', 1)}, k AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY pos) AS r FROM (SELECT key, min(id) AS pos, first({_tokens('key')}) AS ts FROM named WHERE length(key) > 3 GROUP BY key)),
+p AS (SELECT x.r AS a, y.r AS b, CAST(len(list_intersect(x.ts, y.ts)) AS DOUBLE) AS i, CAST(len(x.ts) AS DOUBLE) AS a_, CAST(len(y.ts) AS DOUBLE) AS b_ FROM k x JOIN k y ON x.r < y.r),
+near AS MATERIALIZED (SELECT k.r, coalesce(e.earlier, []) AS earlier FROM k LEFT JOIN (SELECT b AS r, list(a ORDER BY a) AS earlier FROM p WHERE i > 0 AND {_SCORE.replace('(a + b - i)', '(a_ + b_ - i)').replace('least(a, b)', 'least(a_, b_)').replace('greatest(a, b)', 'greatest(a_, b_)')} > 0.5 GROUP BY b) e USING (r)),
+walk(r, leaders, leader) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT UNION ALL
+ SELECT n.r, CASE WHEN list_has_any(n.earlier, w.leaders) THEN w.leaders ELSE list_append(w.leaders, n.r) END, coalesce(list_min(list_intersect(n.earlier, w.leaders)), n.r) FROM walk w JOIN near n ON n.r = w.r + 1)
+SELECT k.key, k.pos, l.pos AS leader FROM walk w JOIN k ON k.r = w.r JOIN k l ON l.r = w.leader""")
 def leader_clusters(spark, sf_dir):
-    keys = _keys(spark, sf_dir)
+    simjoin.ensure_checkpoint_dir(spark)
+    keys = _keys(spark, sf_dir).checkpoint()
     pairs = simjoin.similar_names(keys.withColumn("name", F.col("key")), "key", "name")
     at = keys.select("key", "pos")
     placed = pairs.join(at.select(F.col("key").alias("left_key"), F.col("pos").alias("p")), "left_key").join(at.select(F.col("key").alias("right_key"), F.col("pos").alias("q")), "right_key")
@@ -217,7 +223,7 @@ p AS (SELECT id, album, album_pos, CAST(len(list_intersect(u.ts, w.ts)) AS DOUBL
 sc AS (SELECT *, {_SCORE} AS score FROM p WHERE i > 0)
 SELECT id, album, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, album_pos) AS rank FROM sc WHERE score > 0.5 QUALIFY rank <= 5""")
 def orphan_series_match(spark, sf_dir):
-    t = tracks(spark, sf_dir)
+    t = dealt_tracks(spark, sf_dir)
     named = t.where(~catalog.is_tagged()).select("id", "album", F.inline(F.array(text.series_name(F.col("filename")))))
     free = named.select("id", F.concat("normalized", F.lit(" "), F.replace("album", F.lit("#"), F.lit(""))).alias("name"))
     return series.orphan_matches(free, series.tagged_albums(t), "name").select("id", "album", "score", F.col("rank").cast("long").alias("rank"))
@@ -234,17 +240,17 @@ def series_tagged(spark, sf_dir):
 
 @query()
 def detect_series(spark, sf_dir):
-    return series.detect_series(tracks(spark, sf_dir))
+    return series.detect_series(dealt_tracks(spark, sf_dir))
 
 
 @query()
 def find_series(spark, sf_dir):
-    return series.find_series(series.detect_series(tracks(spark, sf_dir)), "episode 9").select("series_name", "track_count", "suggested_artist")
+    return series.find_series(series.detect_series(dealt_tracks(spark, sf_dir)), "episode 9").select("series_name", "track_count", "suggested_artist")
 
 
 @query()
 def series_needing_update(spark, sf_dir):
-    return series.needs_update(series.detect_series(tracks(spark, sf_dir)))
+    return series.needs_update(series.detect_series(dealt_tracks(spark, sf_dir)))
 
 
 _CLEANED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\\[.*?\\]', '', 'g'), '\\(.*?\\)', '', 'g'), '_', ' ', 'g'), '-{{2,}}', ' ', 'g'), '\\.(mp3|flac|wav|m4a|aac|ogg)$', '')"
