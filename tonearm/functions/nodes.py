@@ -45,16 +45,32 @@ def below(node: Column, n: Column) -> Column:
     return (n["pos"] > node["pos"]) & (n["pos"] <= node["last"])
 
 
-def under(outer: Test, inner: Test) -> Test:
-    """Nodes with an ancestor that passes outer."""
-    return lambda n: inner(n) & F.exists("nodes", lambda x: outer(x) & below(x, n))
+class under:  # noqa: N801  used like the other tests
+    """Nodes that pass inner and have an ancestor that passes outer."""
+
+    def __init__(self, outer: Test, inner: Test):
+        self.outers, self.inner = ([outer, *inner.outers], inner.inner) if isinstance(inner, under) else ([outer], inner)
+
+    def __call__(self, n: Column) -> Column:
+        return self.among([F.filter("nodes", o) for o in self.outers], n)
+
+    def among(self, outers: list[Column], n: Column) -> Column:
+        return reduce(lambda ok, os: ok & F.exists(os, lambda x: below(x, n)), outers, self.inner(n))
 
 
 def every(test: Test, within: Column | None = None) -> Column:
-    """Nodes in document order, inside a node if given (which is worked out once)."""
-    if within is None:
-        return F.filter("nodes", test)
-    return let(within, lambda w: F.filter("nodes", lambda n: below(w, n) & test(n)))
+    """Nodes in document order, inside a node if given (which is worked out once, as are the ancestors that a test asks for)."""
+    held = [F.filter("nodes", o) for o in test.outers] if isinstance(test, under) else []
+    held = F.struct(*([] if within is None else [within.alias("within")]), *(o.alias(f"outer{k}") for k, o in enumerate(held)))
+
+    def chosen(h: Column) -> Column:
+        def test_of(n: Column) -> Column:
+            ok = test.among([h[f"outer{k}"] for k in range(len(test.outers))], n) if isinstance(test, under) else test(n)
+            return ok if within is None else below(h["within"], n) & ok
+
+        return F.filter("nodes", test_of)
+
+    return let(held, chosen) if within is not None or isinstance(test, under) else F.filter("nodes", test)
 
 
 def first(test: Test, within: Column | None = None) -> Column:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import media, text
+from ..functions.similarity import token_similarity
 from ..operators import dml, html_pages, jsonmeta, matching
 from ..sources.markup import read_nodes
 from .adapters import candidates, tracks
-from .queries import _CLEANED, C, T, query
+from .queries import _CLEANED, C, T, _tokens, query
 
 _ROWS = f"{C}, p AS (SELECT track_id, id, tracklist_url AS url, confidence AS score FROM candidates WHERE id % 3 = 0 AND confidence >= 50), d AS (SELECT track_id, id, CAST(id % 4 AS INT) AS term_no, tracklist_url AS url, confidence AS score FROM candidates WHERE id % 3 <> 0)"
 
@@ -138,3 +139,22 @@ u AS (SELECT vec_id, unnest(range(16)) AS place, unnest(means) AS mean, list_max
 def waveform_shapes(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.size("embedding") == 64)
     return e.select("vec_id", F.posexplode(media.waveform(F.col("embedding"), 16)).alias("place", "peak")).select("vec_id", F.col("place").cast("long").alias("place"), F.round("peak", 9).alias("peak"))
+
+
+@query(f"{T} SELECT id, CASE WHEN id % 5 = 0 THEN 'blocked' ELSE 'read' END AS state FROM tracks")
+def blocked_made_pages(spark, sf_dir):
+    """Of pages that are made of the tracks, some stand behind a check."""
+    told = F.when(F.col("id") % 10 == 0, F.lit("<p>Access DENIED</p>")).when(F.col("id") % 5 == 0, F.lit('<div id="turnstile-container">')).otherwise(F.lit("<p>tracks</p>"))
+    pages = tracks(spark, sf_dir).select(F.col("id").alias("page_id"), "id", F.concat(F.lit("<h1>"), "filename", F.lit("</h1>"), told).alias("html"))
+    blocked = html_pages.blocked_pages(pages).select("id", F.lit("blocked").alias("state"))
+    return pages.select("id").join(blocked, "id", "left").select("id", F.coalesce("state", F.lit("read")).alias("state"))
+
+
+_PAIR = "CASE WHEN least(a, b) = 0 THEN 0.0 WHEN i = least(a, b) THEN greatest(i / (a + b - i), 0.5 + least(a, b) / greatest(a, b) * 0.5) ELSE i / (a + b - i) END"
+
+
+@query(f"{T}, w AS (SELECT id, {_tokens('filename')} AS x, {_tokens(chr(39) + 'the large widget 1997-01-15 ' + chr(39) + ' || coalesce(title, ' + chr(39) * 2 + ')')} AS y FROM tracks), s AS (SELECT id, CAST(len(list_intersect(x, y)) AS DOUBLE) AS i, CAST(len(x) AS DOUBLE) AS a, CAST(len(y) AS DOUBLE) AS b FROM w) SELECT id, {_PAIR} AS score FROM s")
+def name_similarity(spark, sf_dir):
+    """File names against another name and their own title."""
+    other = F.concat(F.lit("the large widget 1997-01-15 "), F.coalesce("title", F.lit("")))
+    return tracks(spark, sf_dir).select("id", token_similarity(text.name_tokens(F.col("filename")), text.name_tokens(other)).alias("score"))

@@ -19,18 +19,18 @@ def _texts(t: DataFrame, *fields: str) -> DataFrame:
     return t.select("id", F.explode(F.array(*fields)).alias("text"))
 
 
-@query(f"{T} SELECT {_FOUND} FROM tracks WHERE filename ILIKE '%BLUSH%isode 4%' OR title ILIKE '%BLUSH%isode 4%' OR artist ILIKE '%BLUSH%isode 4%'")
+@query(f"{T} SELECT {_FOUND} FROM tracks WHERE filename ILIKE '%WIDGET%isode 4%' OR title ILIKE '%WIDGET%isode 4%' OR artist ILIKE '%WIDGET%isode 4%'")
 def indexed_search(spark, sf_dir):
     t, path = tracks(spark, sf_dir), store.shared_path(spark, "index")
     text_index.write_index(_texts(t, *_SEARCHED), path)
-    return text_index.search_by_index(t, path, "BLUSH%isode 4", list(_SEARCHED)).select(*_FOUND.split(", "))
+    return text_index.search_by_index(t, path, "WIDGET%isode 4", list(_SEARCHED)).select(*_FOUND.split(", "))
 
 
-@query(f"{T} SELECT id, artist FROM tracks WHERE artist ILIKE '%AN%' OR album ILIKE '%AN%'")
+@query(f"{T} SELECT id, artist FROM tracks WHERE artist ILIKE '%D#%' OR album ILIKE '%D#%'")
 def indexed_short_search(spark, sf_dir):
     t, path = tracks(spark, sf_dir), store.shared_path(spark, "index")
     text_index.write_index(_texts(t, "artist", "album"), path)
-    return text_index.search_by_index(t, path, "an", ["artist", "album"]).select("id", "artist")
+    return text_index.search_by_index(t, path, "d#", ["artist", "album"]).select("id", "artist")
 
 
 _GROUPS = f"{N}, g AS (SELECT key AS series_name, count(*) AS track_count, list(filename) AS names, list(album) AS albums, list(matched_album) AS matched FROM named WHERE length(key) > 3 GROUP BY 1)"
@@ -43,9 +43,9 @@ def _named_series(spark, sf_dir) -> DataFrame:
     return rows.groupBy(F.col("key").alias("series_name")).agg(F.count("*").alias("track_count"), F.collect_list(track).alias("tracks")).select("*", F.col("series_name").alias("suggested_album"), F.lit("Various").alias("suggested_artist"))
 
 
-@query(f"{_GROUPS} SELECT series_name, track_count FROM g WHERE contains(series_name, 'almond') OR len(list_filter(names, lambda x: contains(lower(x), 'almond'))) > 0")
+@query(f"{_GROUPS} SELECT series_name, track_count FROM g WHERE contains(series_name, 'widget') OR len(list_filter(names, lambda x: contains(lower(x), 'widget'))) > 0")
 def series_search(spark, sf_dir):
-    return series.find_series(_named_series(spark, sf_dir), "ALMOND").select("series_name", "track_count")
+    return series.find_series(_named_series(spark, sf_dir), "WIDGET").select("series_name", "track_count")
 
 
 @query(f"{_GROUPS} SELECT series_name, track_count, len(list_filter(list_zip(albums, matched), lambda x: x[1] IS DISTINCT FROM list_max(albums) AND x[2] IS DISTINCT FROM list_max(albums))) AS to_update FROM g")
@@ -69,9 +69,9 @@ def ordered_page(spark, sf_dir):
     return paging.page_at(spark, _ordered(spark, sf_dir), 730, 40)
 
 
-@query(f"{T} SELECT {_PAGE} FROM tracks WHERE (artist, filename, id) > ('EGYPT', 'f', 5) ORDER BY artist, filename, id LIMIT 60")
+@query(f"{T} SELECT {_PAGE} FROM tracks WHERE (artist, filename, id) > ('NATION_17', 'large', 5) ORDER BY artist, filename, id LIMIT 60")
 def page_after_key(spark, sf_dir):
-    return paging.page_after(spark, _ordered(spark, sf_dir), {"artist": "EGYPT", "filename": "f", "id": 5}, 60)
+    return paging.page_after(spark, _ordered(spark, sf_dir), {"artist": "NATION_17", "filename": "large", "id": 5}, 60)
 
 
 _EDITED = ["id", "artist", "album", "genre", "matched_artist", "matched_album", "matched_genre", "status", "series_tagged"]
