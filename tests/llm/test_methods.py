@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from tonearm.llm import dedup_exact, html_text, substrings, toxicity
+from tonearm.llm import common, dedup_exact, html_text, licenses, substrings, toxicity
 
 from . import brute
 
@@ -142,3 +142,51 @@ def test_substrings_in_many_buckets(spark, docs, monkeypatch):
     rows = [(k, "".join(rng.choices("klmnop qr", k=300)) + (passage[rng.randint(0, 200) :] if k % 2 else "") + str(k)) for k in range(24)] + [(30, None), (31, "short")]
     got = sorted(tuple(r)[:5] for r in substrings.removed(substrings.repeated_spans(docs(rows))).collect())
     assert got == sorted(brute.removed(rows))
+
+
+#: Whole license texts as they stand in files, and the labels that they must get.
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."""
+BSD = """ * Redistribution and use in source and binary forms, with or
+ * without modification, are permitted provided that the
+ * following conditions are met:
+ * 1. Redistributions of source code must retain the above copyright notice."""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with
+# the License. You may obtain a copy of the License at"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or"""
+
+
+def all_windows(text):
+    """Labels and score by every window of words and every line."""
+    ws = common.words(text)
+    found = {}
+    for label, template, key in [*((label, t, "") for label, t in licenses.TEMPLATES), *licenses.GRANTS]:
+        words = common.words(template)
+        tokens, width, keys = set(words), math.ceil(len(words) / licenses.THRESHOLD), set(common.words(key))
+        need = max(1, math.ceil(licenses.THRESHOLD * len(tokens)))
+        blocks = [set(ws[k : k + width]) for k in range(max(1, len(ws) - width + 1))] + ([] if key else [set(common.words(line)) for line in text.split("\n")])
+        best = max((len(b & tokens) for b in blocks if keys <= b), default=0)
+        if best >= need:
+            found[label] = max(found.get(label, 0), best / len(tokens))
+    base = {label for phrase, label in licenses.PHRASES.items() if f" {phrase} ".encode() in b" " + b" ".join(ws) + b" "}
+    return ",".join(sorted(base | found.keys())), 1.0 if base else max(found.values(), default=0.0)
+
+
+def test_license_scores_against_all_windows(docs):
+    rng = random.Random(9)
+    parts = [t.split() for _, t in licenses.TEMPLATES] + [t.split() for _, t, _ in licenses.GRANTS]
+    texts = [MIT, BSD, APACHE, GPL, "x " * 50 + MIT.replace(" ", "\n") + " y" * 50, "", "no licence"]
+    for _ in range(120):
+        words = [w for p in rng.sample(parts, 2) for w in p if rng.random() < 0.9]
+        for _ in range(rng.randint(0, 6)):
+            words.insert(rng.randint(0, len(words)), rng.choice(["foo", "bar", "\n"]))
+        texts.append(" ".join(words))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(docs(list(enumerate(texts)))).collect()}
+    assert [label for k in range(5) for label in got[k][0].split(",")] == ["mit", "bsd", "apache", "gpl", "mit"]
+    for k, text in enumerate(texts):
+        assert got[k] == (all_windows(text)[0], pytest.approx(all_windows(text)[1])), text
+    assert any(0 < s < 1 for _, s in got.values())
