@@ -5,8 +5,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from tonearm.llm import common, dedup_exact, html_text, licenses, substrings, toxicity
+from tonearm.llm import common, decontaminate, dedup_exact, html_text, licenses, substrings, toxicity
 
 from . import brute
 
@@ -190,3 +191,29 @@ def test_license_scores_against_all_windows(docs):
     for k, text in enumerate(texts):
         assert got[k] == (all_windows(text)[0], pytest.approx(all_windows(text)[1])), text
     assert any(0 < s < 1 for _, s in got.values())
+
+
+def test_decontamination_in_salts_and_filters(spark, docs, monkeypatch):
+    """Many salts, hits of many tasks and a filter in place of the list find the same, with the longest matches' places."""
+    rng = random.Random(12)
+    words = ["alpha", "beta", "gamma", "delta", "Omega", "x"]
+    items = [(k, " ".join(rng.choices(words, k=rng.randint(1, 25)))) for k in range(9)] + [(20, None), (21, "..."), (22, "beta"), (22, "beta")]
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(0, 40))) + (" " + items[k % 9][1] if k % 2 else "")) for k in range(30)] + [(40, None), (41, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("code", F.lit(1))
+    want = sorted(brute.contaminated(rows, [*items[:-1]]), key=repr)
+    for salt, hits, most in ((200_000, 500_000, 1_000_000), (7, 11, 1_000_000), (50, 90, 0)):
+        monkeypatch.setattr(decontaminate, "SALT_SUFFIXES", salt)
+        monkeypatch.setattr(decontaminate, "TASK_HITS", hits)
+        found = decontaminate.find_matches(docs(rows).repartition(4).withColumns({"doc": F.lit(3), "bucket": F.lit(1), "key": F.lit(b"")}), bench, block_words=most)
+        judged = decontaminate.contamination(found)
+        got = judged.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long"), F.sha2(F.array_join("item_ids", ","), 256), "contaminated")
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == want
+        texts = dict(rows)
+        for r in found.collect():
+            ws = common.words(texts[r["doc_id"]] or "")
+            for m in r["matches"] or ():
+                item = common.words(dict(items)[m["item_id"]])
+                assert ws[m["word"] : m["word"] + m["n_words"]] == item[m["item_word"] : m["item_word"] + m["n_words"]]
+                if len(item) >= 13:  # as long as it can be
+                    a, b = m["word"] + m["n_words"], m["item_word"] + m["n_words"]
+                    assert a == len(ws) or b == len(item) or ws[a] != item[b]

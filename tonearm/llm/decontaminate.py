@@ -1,160 +1,228 @@
 """Benchmark decontamination with suffix arrays over the training words.
 
-Every Arrow batch of documents is a shard. A shard keeps the suffixes that start with the first words of
-some test suffix (no other suffix can match), sorts them into a suffix array, and each test suffix is
-binary-searched in it. Neighbouring hits on one diagonal join into the longest verbatim matches.
+The documents are split into words once. Every Arrow batch of them is a shard: it keeps the suffixes that begin like some
+test suffix (no other can match), cut to a window, and stores them sorted, dealt to buckets by their first words. Test
+suffixes are dealt the same way, and each is binary-searched in the suffixes that its bucket has of all shards. Neighbouring hits
+on one diagonal join into the longest verbatim matches.
 
-The test set is read in blocks of BLOCK_WORDS words, each a broadcast of bounded size; a larger test set
-takes more passes over the documents, never a larger broadcast.
+What tells a suffix's beginning is a hash of its first HEAD words. Up to `block_words` of those are sent to the tasks as a
+sorted list, more as a filter of bounded size that lets some others pass; the test set itself is only ever dealt out by
+Spark. A bucket with many suffixes, as of a passage that a third of the documents have, is salted.
 
 Defined results: null or empty texts have no words and are clean; a test item without words matches nothing;
 an item shorter than a window is one window; items that repeat are all reported; an empty test set leaves
-every document clean; extra columns are ignored.
+every document clean; extra columns are ignored; rows that repeat are judged each.
 """
 
 from __future__ import annotations
 
+import hashlib
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from . import common
+from .url_filter import Bloom
+
+WINDOW, HEAD = 13, 3
+#: Beginnings that are sent as a list at most; bits of the filter beyond; suffixes that a salt of a bucket gets, and hits of a task.
+BLOCK_WORDS, FILTER_KEYS, SALT_SUFFIXES, TASK_HITS = 1_000_000, 10_000_000, 200_000, 500_000
+MEMO_WORDS = 1_000_000
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Hashes(dict):
+    """Words' hashes, remembered."""
 
-WINDOW = 13
-BLOCK_WORDS = 1_000_000
-
-
-class TestBlock:
-    """The windows of some test items as sorted fixed-width keys."""
-
-    def __init__(self, items: list[tuple], window: int):
-        self.vocabulary: dict[bytes, int] = {}
-        number = self.vocabulary.setdefault
-        self.ids = [i for i, _ in items]
-        self.window = window
-        rows, where = [], []
-        for k, (_, item) in enumerate(items):
-            coded = [number(w, len(self.vocabulary) + 1) for w in item]
-            n = min(window, len(coded))
-            for s in range(len(coded) - n + 1 if n else 0):
-                rows.append(coded[s : s + n])
-                where.append((k, s, n))
-        self.size = np.array([n for *_, n in where], dtype=np.int64)
-        self.where = where
-        #: Suffixes are told apart by their first words before they are sorted.
-        self.head = min([3, *self.size.tolist()])
-        keys = np.zeros((len(rows), window), dtype=">u4")
-        for r, row in enumerate(rows):
-            keys[r, : len(row)] = row
-        self.low = self._bytes(keys).copy()
-        for r, row in enumerate(rows):
-            keys[r, len(row) :] = 0xFFFFFFFF
-        self.high = self._bytes(keys)
-        self.heads = np.unique(self._head(keys.astype(np.int64), len(self.vocabulary) + 1)) if rows else np.zeros(0, np.int64)
-
-    def _bytes(self, keys: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(keys).view(f"S{4 * self.window}").ravel()
-
-    def _head(self, columns: np.ndarray, base: int) -> np.ndarray:
-        code = np.zeros(len(columns), dtype=np.int64)
-        for c in range(self.head):
-            code = code * base + columns[:, c]
-        return code
-
-    def search(self, shard: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(position in the shard, item, its word, words) of every window's every occurrence. 0 is no word of the test set."""
-        if not len(self.low) or not len(shard):
-            return []
-        base, n = len(self.vocabulary) + 1, len(shard)
-        padded = np.concatenate([shard, np.zeros(self.window, shard.dtype)])
-        code, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for c in range(self.head):
-            part = padded[c : c + n]
-            code, known = code * base + part, known & (part > 0)
-        at = np.flatnonzero(known)
-        at = at[np.isin(code[at], self.heads)]
-        if not len(at):
-            return []
-        suffixes = self._bytes(padded[at[:, None] + np.arange(self.window)].astype(">u4"))
-        order = np.argsort(suffixes, kind="stable")
-        array, at = suffixes[order], at[order]
-        first, last = np.searchsorted(array, self.low, "left"), np.searchsorted(array, self.high, "right")
-        found = []
-        for r in np.flatnonzero(last > first):
-            k, s, length = self.where[r]
-            found += [(p, k, s, length) for p in at[first[r] : last[r]].tolist()]
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
 
 
-class _Known(dict):
-    def __missing__(self, key):
-        return 0
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def beginnings(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each place on; places from which fewer follow have none of their own."""
+    code = np.full(max(0, len(hashes) - n + 1), n, np.uint64)
+    for k in range(n):
+        code = _mixed(code * _FACTOR + hashes[k : k + len(code)])
+    return code
+
+
+def _key(words: list[bytes]) -> bytes:
+    """Words that end with a space each, so that a window's key is the beginning of a suffix's only if its words are."""
+    return b" ".join(words) + b" "
+
+
+def _windows(window: int, buckets: int, schema: pa.Schema):
+    """Each test suffix: its item, place, words, key, beginning and bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        memo = _Hashes()
+        for batch in batches:
+            rows = []
+            for item, text in zip(common.column(batch, "item_id").to_pylist(), common.texts(common.column(batch, "text"))):
+                ws = common.words(text)
+                n = min(window, len(ws))
+                if n:
+                    head = min(HEAD, n)
+                    codes = beginnings(np.array([memo[w] for w in ws], np.uint64), head).tolist()
+                    rows += [(item, s, n, _key(ws[s : s + n]), codes[s] - (1 << 63), head, codes[s] % buckets) for s in range(len(ws) - n + 1)]
+            if rows:
+                yield common.batch_of(schema, *map(list, zip(*rows)))
+
+    return run
+
+
+class _Beginnings:
+    """The hashes of test suffixes' first words, by how many words they are of."""
+
+    def __init__(self, lists: dict[int, np.ndarray], filters: dict[int, Bloom]):
+        self.lists, self.filters = lists, filters
 
+    def lengths(self) -> list[int]:
+        return sorted({*self.lists, *self.filters})
 
-def _pass(broadcast, out_schema: pa.Schema):
-    """Appends this block's matches to those of the blocks before."""
+    def among(self, codes: np.ndarray, n: int) -> np.ndarray:
+        if n in self.filters:
+            return self.filters[n].passes(codes.view(np.int64), _mixed(codes + np.uint64(1)).view(np.int64))
+        known = self.lists[n]
+        return known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes
 
-    def run(batches):
+
+def _beginnings_of(windows: DataFrame, most: int) -> _Beginnings:
+    codes = windows.select("head", "code").distinct()
+    counts = {r["head"]: r["n"] for r in codes.groupBy("head").agg(F.count("*").alias("n")).collect()}
+    if sum(counts.values()) <= most:
+        found: dict[int, list[int]] = {}
+        for r in codes.collect():
+            found.setdefault(r["head"], []).append(r["code"] + (1 << 63))
+        return _Beginnings({n: np.sort(np.array(x, np.uint64)) for n, x in found.items()}, {})
+
+    def pairs(batches):
+        for batch in batches:
+            code = (batch.column(0).to_numpy() ^ np.int64(-(1 << 63))).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(_mixed(code + np.uint64(1)).view(np.int64))], names=["a", "b"])
+
+    return _Beginnings({}, {n: Bloom.of(codes.where(F.col("head") == n).select("code").mapInArrow(pairs, "a long, b long"), min(count, FILTER_KEYS), 0.01, 0) for n, count in counts.items()})
+
+
+_SHARD = "doc long, doc_id {kind}, text_sha256 string, n_words long, bucket int, key binary, word long"
+
+
+def _shards(sent, window: int, buckets: int, schema: pa.Schema):
+    """A row for each document, and the shard's suffixes in order of bucket and words."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
         common.holds("decontamination")
-        block: TestBlock = broadcast.value
-        get = _Known(block.vocabulary).__getitem__
+        known: _Beginnings = sent.value
+        memo, doc = _Hashes(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            docs, starts, parts, at = [common.words(t) for t in common.texts(common.column(batch, "text"))], [], [], 0
-            for ws in docs:
-                starts.append(at)
-                parts.append(np.fromiter(map(get, ws), np.int64, len(ws)))
-                parts.append(np.zeros(1, np.int64))
-                at += len(ws) + 1
-            shard = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            starts = np.array(starts, dtype=np.int64)
-            matches = [list(x or ()) for x in common.column(batch, "matches").to_pylist()]
-            by_diagonal: dict[tuple, list] = {}
-            for p, k, s, n in block.search(shard):
-                d = int(np.searchsorted(starts, p, "right")) - 1
-                w = p - int(starts[d])
-                by_diagonal.setdefault((d, k, w - s), []).append((w, s, n))
-            for (d, k, _), hits in by_diagonal.items():
-                hits.sort()
-                w, s, n = hits[0]
-                for w2, s2, n2 in hits[1:]:
-                    if w2 <= w + n - (min(n, n2) - 1):  # the next window of the same match
-                        n = w2 + n2 - w
-                    else:
-                        matches[d].append({"item_id": block.ids[k], "word": w, "item_word": s, "n_words": n})
-                        w, s, n = w2, s2, n2
-                matches[d].append({"item_id": block.ids[k], "word": w, "item_word": s, "n_words": n})
-            counted = pa.array([len(ws) for ws in docs], pa.int64())
-            yield common.batch_of(out_schema, *(counted if f.name == "n_words" else pa.array(matches, f.type) if f.name == "matches" else common.column(batch, f.name) for f in out_schema))
+            texts = common.texts(common.column(batch, "text"))
+            docs = [common.words(t) for t in texts]
+            size = np.array([len(ws) for ws in docs], np.int64)
+            ends = np.cumsum(size)
+            hashes = np.fromiter((h for ws in docs for h in map(memo.__getitem__, ws)), np.uint64, int(size.sum()))
+            digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
+            keys = np.arange(doc, doc + len(docs))
+            doc += len(docs)
+            none = len(docs)
+            yield common.batch_of(schema, keys, common.column(batch, "doc_id"), digests, size, pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.int64()))
+            found = []
+            for n in known.lengths():
+                codes = beginnings(hashes, n)
+                at = np.flatnonzero(known.among(codes, n)) if len(codes) else np.zeros(0, np.int64)
+                of = np.searchsorted(ends, at, "right")
+                inside = at + n <= ends[of]
+                for p, d, bucket in zip(at[inside].tolist(), of[inside].tolist(), (codes[at[inside]] % np.uint64(buckets)).tolist()):
+                    w = p - int(ends[d] - size[d])
+                    found.append((bucket, _key(docs[d][w : w + window]), int(keys[d]), w))
+            found.sort()
+            for k in range(0, len(found), 10_000):
+                bucket, key, own, word = zip(*found[k : k + 10_000])
+                none = len(bucket)
+                yield common.batch_of(schema, list(own), pa.nulls(none, schema.field("doc_id").type), pa.nulls(none, pa.string()), pa.nulls(none, pa.int64()), list(bucket), list(key), list(word))
 
     return run
 
 
-def _blocks(benchmark: DataFrame, window: int, block_words: int):
-    items, size = [], 0
-    for row in benchmark.toLocalIterator():
-        ws = common.words(row["text"] or "")
-        items.append((row["item_id"], ws))
-        size += len(ws)
-        if size >= block_words:
-            yield TestBlock(items, window)
-            items, size = [], 0
-    if items:
-        yield TestBlock(items, window)
+def _search(schema: pa.Schema):
+    """Every test suffix of a bucket in the suffixes of all shards."""
+
+    def run(suffixes: pa.Table, tests: pa.Table) -> pa.Table:
+        out = []
+        if suffixes.num_rows and tests.num_rows:
+            suffixes = suffixes.take(pc.sort_indices(suffixes, sort_keys=[("key", "ascending")]))
+            array = suffixes.column("key").to_pylist()
+            doc, word = (suffixes.column(c).to_numpy() for c in ("doc", "word"))
+            for item, s, n, key in zip(*(tests.column(c).to_pylist() for c in ("item_id", "item_word", "n_words", "key"))):
+                first, last = bisect_left(array, key), bisect_left(array, key[:-1] + b"!")  # the byte behind a space
+                if last > first:
+                    k = last - first
+                    out.append(pa.table([pa.array(doc[first:last]), pa.array([item] * k, schema.field("item_id").type), pa.array(word[first:last]), pa.array(np.full(k, s)), pa.array(np.full(k, n))], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    return run
+
+
+def _longest(schema: pa.Schema):
+    """Hits of some documents as their longest matches: those of neighbouring windows on one diagonal are one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        items = table.column("item_id").combine_chunks().dictionary_encode()
+        item = items.indices.fill_null(len(items.dictionary)).to_numpy(zero_copy_only=False)
+        doc, word, at, n = (table.column(c).to_numpy() for c in ("doc", "word", "item_word", "n_words"))
+        order = np.lexsort((word, word - at, item, doc))
+        doc, item, word, at, n = doc[order], item[order], word[order], at[order], n[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] - at[1:] != word[:-1] - at[:-1]) | (word[1:] > word[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(doc)) - 1
+        matches = pa.StructArray.from_arrays([table.column("item_id").combine_chunks().take(pa.array(order[first])), pa.array(word[first]), pa.array(at[first]), pa.array(word[last] + n[last] - word[first])], names=["item_id", "word", "item_word", "n_words"])
+        docs, begin = np.unique(doc[first], return_index=True)
+        return pa.table([pa.array(docs), pa.ListArray.from_arrays(pa.array(np.append(begin, len(first)), pa.int32()), matches)], schema=schema)
+
+    return run
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Every row's doc_id, text, n_words and matches: the longest verbatim matches of at least a window, with places in words."""
+    """Every row's doc_id, text_sha256, n_words and matches: the longest verbatim matches of at least a window, with places in words."""
     spark = docs.sparkSession
-    benchmark = common.clean_columns(benchmark, item_id="item_id", text="text")
-    item = benchmark.schema["item_id"].dataType.simpleString()
-    df = common.clean_columns(docs, doc_id=id_col, text=text_col).select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(f"array<struct<item_id:{item},word:bigint,item_word:bigint,n_words:bigint>>").alias("matches"))
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema, arrow, block = df.schema, to_arrow_schema(df.schema), None
-    for block in _blocks(benchmark, window, block_words):
-        df = df.mapInArrow(_pass(spark.sparkContext.broadcast(block), arrow), schema)
-    return df if block else df.mapInArrow(_pass(spark.sparkContext.broadcast(TestBlock([], window)), arrow), schema)
+    docs, benchmark = common.clean_columns(docs, doc_id=id_col, text=text_col), common.clean_columns(benchmark, item_id="item_id", text="text")
+    kind, item = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (benchmark, "item_id")))
+    arrow = lambda ddl: to_arrow_schema(_parse_datatype_string(ddl))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ddl = f"item_id {item}, item_word long, n_words long, key binary, code long, head int, bucket int"
+    windows = common.stored(benchmark.mapInArrow(_windows(window, buckets, arrow(ddl)), ddl), "test-suffixes")
+    sent = spark.sparkContext.broadcast(_beginnings_of(windows, block_words))
+    ddl = _SHARD.format(kind=kind)
+    shards = common.stored(docs.mapInArrow(_shards(sent, window, buckets, arrow(ddl)), ddl), "shards")
+    suffixes = shards.where("bucket is not null").select("bucket", "key", "doc", "word")
+    salts = max(1, -(-suffixes.count() // SALT_SUFFIXES))
+    left = suffixes.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)))
+    right = windows.select("item_id", "item_word", "n_words", "key", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    ddl = f"doc long, item_id {item}, word long, item_word long, n_words long"
+    hits = common.stored(left.groupBy("bucket", "salt").cogroup(right.groupBy("bucket", "salt")).applyInArrow(_search(arrow(ddl)), ddl), "test-hits")
+    ddl = f"doc long, matches array<struct<item_id:{item},word:bigint,item_word:bigint,n_words:bigint>>"
+    tasks = max(buckets, -(-hits.count() // TASK_HITS))
+    matches = hits.groupBy(F.pmod(F.xxhash64("doc"), F.lit(tasks)).alias("task")).applyInArrow(_longest(arrow(ddl)), ddl)
+    return shards.where("bucket is null").select("doc", "doc_id", "text_sha256", "n_words").join(matches, "doc", "left").drop("doc")
 
 
 def contamination(matched: DataFrame, share: int = 20) -> DataFrame:

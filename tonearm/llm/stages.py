@@ -60,7 +60,7 @@ def drop_contaminated(spark, docs, sf_dir):
     """Documents that hold a noticeable part of a benchmark text go."""
     common.tune(spark)
     found = decontaminate.contamination(decontaminate.find_matches(docs, common.read(spark, sf_dir, "benchmark")))
-    return without(docs, found.where("contaminated").select("doc_id", _digest().alias("text_sha256")))
+    return without(docs, found.where("contaminated").select("doc_id", "text_sha256"))
 
 
 def encode(spark, docs, sf_dir):
