@@ -158,3 +158,26 @@ def name_similarity(spark, sf_dir):
     """File names against another name and their own title."""
     other = F.concat(F.lit("the large widget 1997-01-15 "), F.coalesce("title", F.lit("")))
     return tracks(spark, sf_dir).select("id", token_similarity(text.name_tokens(F.col("filename")), text.name_tokens(other)).alias("score"))
+
+
+_RATIOS = "CASE WHEN id % 3 = 0 THEN 100.0 ELSE 0.0 END AS title_, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 100.0 WHEN 2 THEN 100.0 ELSE 0.0 END AS artist_, CASE WHEN id % 2 = 0 OR id % 3 = 0 THEN 100.0 ELSE 0.0 END AS full_, CASE WHEN id % 7 > 0 THEN 50.0 + least((id % 7) * 4, 20) END AS bonus"
+
+
+@query(f"""{T}, r AS (SELECT id, {_RATIOS} FROM tracks) SELECT id, round((0.5 * title_ + coalesce(0.3 * artist_, 0) + 0.2 * full_) / (0.7 + CASE WHEN artist_ IS NULL THEN 0 ELSE 0.3 END), 6) AS direct,
+ round((0.4 * title_ + coalesce(0.3 * artist_, 0) + 0.2 * title_ + coalesce(0.1 * bonus, 0)) / (0.6 + CASE WHEN artist_ IS NULL THEN 0 ELSE 0.3 END + CASE WHEN bonus IS NULL THEN 0 ELSE 0.1 END), 6) AS web FROM r""")
+def score_weights(spark, sf_dir):
+    """Candidates whose names are those of the track, or have no character in common with them."""
+    i, t = F.col("id"), tracks(spark, sf_dir)
+    c = t.select(
+        F.col("id").alias("track_id"), F.when(i % 3 == 0, F.coalesce("title", "filename")).otherwise(F.lit("жжщ")).alias("title"), F.when(i % 5 == 0, F.lit("")).when((i % 5).isin(1, 2), F.col("artist")).otherwise(F.lit("жжщ")).alias("artist"),
+        F.lit("").alias("dj"), F.when(i % 2 == 0, F.col("filename")).alias("full_title"), F.when(i % 7 > 0, (i % 7) * 2).alias("num_tracks"),
+    )
+    joined = t.alias("t").join(c.alias("c"), F.col("t.id") == F.col("c.track_id"))
+    return joined.select(F.col("t.id").alias("id"), F.round(matching.direct_score(), 6).alias("direct"), F.round(matching.web_score(), 6).alias("web"))
+
+
+@query(f"{T} SELECT id, CASE WHEN id % 5 = 1 THEN TIMESTAMP '2024-01-01 00:00:00' END AS tagged_at, CASE id % 5 WHEN 1 THEN 'tagged' WHEN 2 THEN 'error' ELSE status END AS status FROM tracks")
+def tagging_times(spark, sf_dir):
+    t = tracks(spark, sf_dir).withColumn("tagged_at", F.lit(None).cast("timestamp_ntz"))
+    written = t.where("id % 5 in (1, 2)").select("id", (F.col("id") % 5 == 1).alias("ok"))
+    return dml.mark_tagged(t, written, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).select("id", "tagged_at", "status")
