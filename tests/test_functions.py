@@ -1,13 +1,18 @@
 import math
+import random
+import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tonearm.functions import media, text
+from tonearm.functions import media, ratios, text
 from tonearm.functions.similarity import lcs, token_set_ratio, token_similarity
 from tonearm.operators.aggregates import common_prefix
+from tonearm.sources import files
 
 
 def values(spark, expression, rows):
@@ -104,3 +109,37 @@ def test_ratio_properties(a, b):
 def test_common_prefix(spark):
     df = spark.createDataFrame([("abc", "abd"), ("", "x"), ("same", "same"), ("a", "b")], "x string, y string")
     assert [r[0] for r in df.select(common_prefix(F.col("x"), F.col("y"))).collect()] == ["ab", "", "same", ""]
+
+
+def test_odd_headers_have_no_tags():
+    """Headers that promise nothing sensible end no job: rates of 0 and beyond 32 bits, lengths beyond the file."""
+    wav = b"RIFF" + struct.pack("<I", 100) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 2, 44100, 0xFFFFFFFF, 4, 16) + b"data" + struct.pack("<I", 0xFFFFFFFF)
+    found = files.decode_tags(wav)
+    assert all(abs(v) < 1 << 31 for v in found.values() if isinstance(v, int))
+    page = b"OggS" + bytes(22) + bytes([1, 30]) + b"\x01vorbis" + struct.pack("<IBIiiiBB", 0, 2, 0, 0, 0, 0, 0xB8, 1)
+    assert files.decode_tags(page) == files.decode_tags(page) and isinstance(files.decode_tags(page), dict)
+    for k in range(0, 200, 7):
+        assert isinstance(files.decode_tags(page[:k] + bytes([255 - k]) * 40), dict)
+        assert isinstance(files.decode_tags(wav[:k] + bytes([255 - k]) * 40), dict)
+
+
+def test_pair_ratios():
+    """Batches give what pairs give: repeated words, words of several lanes, characters beyond the first plane, empty sides."""
+    rng = random.Random(7)
+    words = ["golden", "hour", "the", "x" * 70, "日本", "😀a", "é", "a", "b", "waves" * 30]
+    names = [rng.choice([" ", "  ", "\t", "\x1c"]).join(rng.choices(words, k=rng.randint(0, 8))) for _ in range(400)]
+    a, b = names[:200], names[200:]
+    got = ratios.pair_ratios(pa.array([*a, None, ""]), pa.array([*b, "x", None]))
+    assert got.tolist() == [*(token_set_ratio(x, y) for x, y in zip(a, b)), 0.0, 0.0]
+    table = ratios.Names(pa.array(names))
+    bounds = table.bounds(np.arange(60), np.arange(60, 160), table.histograms())
+    assert all(bounds[i, j] + 1e-9 >= token_set_ratio(names[i], names[60 + j]) for i in range(60) for j in range(100))
+    assert ratios.pair_ratios(pa.array([], pa.string()), pa.array([], pa.string())).tolist() == []
+    assert list(ratios.best_pairs(pa.array(["a"]), pa.array([], pa.string()), np.arange(0), 50, 3)) == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("ab c", max_size=90), st.text("abd ", max_size=90)), min_size=1, max_size=12))
+def test_pair_ratios_of_any_text(pairs):
+    got = ratios.pair_ratios(*(pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)))
+    assert got.tolist() == [token_set_ratio(*p) for p in pairs]

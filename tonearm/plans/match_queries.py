@@ -181,3 +181,13 @@ def tagging_times(spark, sf_dir):
     t = tracks(spark, sf_dir).withColumn("tagged_at", F.lit(None).cast("timestamp_ntz"))
     written = t.where("id % 5 in (1, 2)").select("id", (F.col("id") % 5 == 1).alias("ok"))
     return dml.mark_tagged(t, written, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).select("id", "tagged_at", "status")
+
+
+@query(f"{C} SELECT genre AS id, 'Album of ' || genre AS title, 'Artist of ' || genre || ', Guest' AS artist, 12 AS track_count, count(*) AS match_count FROM candidates WHERE track_id % 7 < 5 GROUP BY genre")
+def recording_votes(spark, sf_dir):
+    """Votes of the recordings of five of seven names for nine releases."""
+    named = lambda *values: F.array(*(F.struct(F.struct(v.alias("name")).alias("artist")) for v in values))
+    release = F.struct(F.col("genre").alias("id"), F.concat(F.lit("Album of "), "genre").alias("title"), F.lit(12).alias("track-count"))
+    recording = F.struct(F.col("id").cast("string").alias("id"), "title", named(F.concat(F.lit("Artist of "), "genre"), F.lit("Guest")).alias("artist-credit"), F.array(release).alias("releases"))
+    docs = candidates(spark, sf_dir).select(F.pmod("track_id", F.lit(7)).cast("int").alias("name_no"), F.from_json(F.to_json(F.array(recording)), jsonmeta.RECORDINGS).alias("recordings"))
+    return jsonmeta.release_votes(docs)
