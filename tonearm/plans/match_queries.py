@@ -12,7 +12,9 @@ from ..sources.markup import read_nodes
 from .adapters import candidates, tracks
 from .queries import _CLEANED, C, T, _tokens, query
 
-_ROWS = f"{C}, p AS (SELECT track_id, id, tracklist_url AS url, confidence AS score FROM candidates WHERE id % 3 = 0 AND confidence >= 50), d AS (SELECT track_id, id, CAST(id % 4 AS INT) AS term_no, tracklist_url AS url, confidence AS score FROM candidates WHERE id % 3 <> 0)"
+#: Candidates' identifiers may repeat; with their confidence they tell different ones apart.
+_AT = "id * 128 + CAST(confidence AS BIGINT)"
+_ROWS = f"{C}, p AS (SELECT track_id, {_AT} AS id, tracklist_url AS url, confidence AS score FROM candidates WHERE id % 3 = 0 AND confidence >= 50), d AS (SELECT track_id, {_AT} AS id, CAST(id % 4 AS INT) AS term_no, tracklist_url AS url, confidence AS score FROM candidates WHERE id % 3 <> 0)"
 
 
 @query(f"""{_ROWS}, s AS (SELECT t.id AS track_id, CASE WHEN t.id % 5 = 0 THEN 3 WHEN (SELECT count(*) FROM p WHERE p.track_id = t.id) < 2 THEN 2 ELSE 0 END AS terms FROM tracks t),
@@ -21,9 +23,9 @@ e AS (SELECT track_id, url, score, 'search' AS path, -1 AS term_no, id FROM p UN
  SELECT track_id, url, score, CASE terms WHEN 3 THEN 'fallback' ELSE 'direct' END, term_no, id FROM m WHERE score >= 50 AND NOT EXISTS (SELECT 1 FROM p WHERE p.track_id = m.track_id AND p.url = m.url))
 SELECT track_id, url, score, path, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, term_no, id) AS rank FROM e QUALIFY rank <= 10""")
 def match_paths(spark, sf_dir):
-    c = candidates(spark, sf_dir).select("track_id", F.col("id").alias("pos"), F.col("tracklist_url").alias("url"), F.col("confidence").alias("score"))
-    t, is_primary = tracks(spark, sf_dir), F.col("pos") % 3 == 0
-    direct = c.where(~is_primary).withColumn("term_no", (F.col("pos") % 4).cast("int"))
+    c = candidates(spark, sf_dir).select("track_id", "id", F.expr(_AT).alias("pos"), F.col("tracklist_url").alias("url"), F.col("confidence").alias("score"))
+    t, is_primary = tracks(spark, sf_dir), F.col("id") % 3 == 0
+    direct = c.where(~is_primary).withColumn("term_no", (F.col("id") % 4).cast("int"))
     found = matching.matched_paths(t, c.where(is_primary), direct, t.where("id % 5 = 0").select(F.col("id").alias("track_id")))
     return found.withColumn("rank", F.col("rank").cast("long"))
 
