@@ -84,14 +84,14 @@ class ChunkEncoder:
         """Of distinct pieces the ids of all that are remembered, and each one's begin and size in them."""
         if len(self.pieces) > MEMO_PIECES or self.pieces.nbytes > MEMO_BYTES:
             self.forget()
-        at = pc.index_in(pieces, self.pieces)
-        new = pieces.filter(at.is_null())
-        if len(new):
+        at = pc.index_in(pieces, self.pieces).fill_null(-1).to_numpy().copy()
+        unknown = at < 0
+        if unknown.any():
+            new = pieces.filter(pa.array(unknown))
+            at[unknown] = len(self.pieces) + np.arange(len(new))  # the pieces are distinct
             ids, sizes = self.encode_many(new)
             self.pieces = pa.concat_arrays([self.pieces, new])
             self.ids, self.sizes = np.concatenate([self.ids, ids.astype(self.dtype)]), np.concatenate([self.sizes, sizes])
-            at = pc.index_in(pieces, self.pieces)
-        at = at.to_numpy()
         ends = np.cumsum(self.sizes)
         return self.ids, (ends - self.sizes)[at], self.sizes[at]
 
