@@ -89,10 +89,10 @@ def apply_series(tracks: DataFrame, ids: DataFrame, album: str, artist: str | No
     return _updated(out, hit, values).select(tracks.columns)
 
 
-def resync(tracks: DataFrame, file_tags: DataFrame) -> DataFrame:
-    """file_tags(filepath, album, artist, title): what files say replaces both values; adds changed. Files that are missing change nothing."""
-    t = file_tags.select("filepath", *(truthy(F.col(c)).alias(f"f_{c}") for c in ("album", "artist", "title")), F.lit(True).alias("__there"))
-    out = tracks.join(t, "filepath", "left")
+def resync(tracks: DataFrame, file_tags: DataFrame, key: str = "filepath") -> DataFrame:
+    """file_tags(key, album, artist, title), one row for each key: what files say replaces both values; adds changed. Files that are missing change nothing."""
+    t = file_tags.select(key, *(truthy(F.col(c)).alias(f"f_{c}") for c in ("album", "artist", "title")), F.lit(True).alias("__there"))
+    out = tracks.join(t, key, "left")
     there, differs = F.coalesce("__there", F.lit(False)), {}
     for c in ("album", "artist", "title"):
         differs[c] = there & F.col(f"f_{c}").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"f_{c}"))
