@@ -216,6 +216,17 @@ def test_tracks_that_share_a_path(spark, tmp_path, name):
     assert _held_by_sql(spark, name, _same_paths(tmp_path / "shared"))
 
 
+def test_first_row_of_equal_identifiers(spark, tmp_path):
+    """Candidates 100,000 parts apart have one identifier; the table's first is the recording, whatever its name."""
+    rows = [(k, 1, 7 + 100_000 * n, s, 40.0) for k in range(40) for n, s in ((0, 9), (1, 10), (2, 8))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lines")
+    os.rename(glob.glob(f"{tmp_path}/lines/*.parquet")[0], tmp_path / "lineitem.parquet")
+    for table in ("customer", "nation", "part", "orders"):
+        os.symlink(f"{SF}/{table}.parquet", tmp_path / f"{table}.parquet")
+    (tmp_path / "lines").rename(tmp_path.parent / f"{tmp_path.name}-lines")
+    assert {r[3] for r in _held_by_sql(spark, "acoustid_alternatives", tmp_path)} == {"DJ 9, Guest"}
+
+
 def test_audio_source(spark, tmp_path):
     fmt = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 1, 8000, 16000, 2, 16)
     info = b"INFO" + b"INAM" + struct.pack("<I", 4) + b"Song"

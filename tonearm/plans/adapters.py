@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Runs in Spark and DuckDB; {S} is the engine's string type, the other braces are the tables.
 TRACKS = """
@@ -76,3 +77,10 @@ def stream_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, CANDIDATES)
+
+
+def placed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates with the place of their row in the table, which tells those with one identifier apart."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = lines.withColumn("place", F.struct("_metadata.file_path", "_metadata.row_index"))
+    return spark.sql(CANDIDATES.replace("{S}", "string").replace("\nfrom", ", place\nfrom"), lineitem=lines)

@@ -9,7 +9,7 @@ from ..functions import media, text
 from ..functions.similarity import token_similarity
 from ..operators import dml, html_pages, jsonmeta, matching
 from ..sources.markup import read_nodes
-from .adapters import candidates, tracks
+from .adapters import candidates, placed_candidates, tracks
 from .queries import _CLEANED, C, T, _tokens, query
 
 #: Candidates' identifiers may repeat; with their confidence they tell different ones apart.
@@ -36,9 +36,9 @@ def candidate_places(spark, sf_dir):
 
 
 def _acoustic(spark, sf_dir) -> DataFrame:
-    """Two results for each track, of its candidates that are sure and of the others."""
+    """Two results for each track, of its candidates that are sure and of the others; of equal identifiers the first row of the table comes first."""
     recording = F.struct(F.col("id").cast("string").alias("id"), "title", F.array(F.struct(F.col("artist").alias("name")), F.struct(F.lit("Guest").alias("name"))).alias("artists"), F.array(F.struct(F.col("genre").alias("title"))).alias("releases"))
-    c = candidates(spark, sf_dir).groupBy("track_id", (F.col("confidence") >= 60).alias("sure")).agg(F.array_sort(F.collect_list(F.struct("id", recording.alias("r")))).alias("rs"))
+    c = placed_candidates(spark, sf_dir).groupBy("track_id", (F.col("confidence") >= 60).alias("sure")).agg(F.array_sort(F.collect_list(F.struct("id", "place", recording.alias("r")))).alias("rs"))
     score = F.when(F.col("sure"), 0.9).otherwise(0.5)
     return c.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct(F.lit(1) - score.alias("score"), F.struct(score.alias("score"), F.transform("rs", lambda x: x["r"]).alias("recordings")).alias("r")))).alias("x")).select("track_id", F.transform("x", lambda x: x["r"]).alias("results"))
 
