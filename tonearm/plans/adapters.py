@@ -59,11 +59,14 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, TRACKS)
 
 
+def pieces(spark: SparkSession) -> int:
+    """Into how many pieces rows are dealt for work that costs much for each: more than there are cores, so that none waits for long."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def dealt_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tracks for work that costs much for each row: where the orders lie in fewer pieces than there are cores, they are dealt out first."""
-    orders, cores = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.sparkContext.defaultParallelism
-    if orders.rdd.getNumPartitions() < cores:
-        orders = orders.repartition(cores)
+    """The tracks for work that costs much for each row: the orders are dealt out first, as a file may be one piece however many of its parts are planned."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").repartition(pieces(spark))
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in TRACKS} | {"orders": orders}
     return spark.sql(TRACKS.replace("{S}", "string"), **tables)
 

@@ -9,7 +9,7 @@ from ..functions import media, text
 from ..functions.similarity import token_similarity
 from ..operators import dml, html_pages, jsonmeta, matching
 from ..sources.markup import read_nodes
-from .adapters import candidates, placed_candidates, tracks
+from .adapters import candidates, dealt_tracks, placed_candidates, tracks
 from .queries import _CLEANED, C, T, _tokens, query
 
 #: Candidates' identifiers may repeat; with their confidence they tell different ones apart.
@@ -103,7 +103,7 @@ def page_covers_by_text(spark, sf_dir):
     """Pictures that only their alternative text tells apart, and one of a light box."""
     i = F.col("id").cast("string")
     html = F.concat(F.lit('<img alt="Logo" src="/no.jpg"><img alt="The Cover" src="/'), i, F.lit('.jpg"><img data-lightbox="x" src="//y.example.com/'), i, F.lit('.jpg">'), F.when(F.col("id") % 2 == 0, F.concat(F.lit('<p><img alt="artwork '), i, F.lit('" data-src="/art/'), i, F.lit('.jpg"></p>'))).otherwise(F.lit("")))
-    pages = tracks(spark, sf_dir).select(F.col("id").alias("page_id"), F.lit("http://h.example.com/p/q").alias("url"), html.alias("html"))
+    pages = dealt_tracks(spark, sf_dir).select(F.col("id").alias("page_id"), F.lit("http://h.example.com/p/q").alias("url"), html.alias("html"))
     covers = html_pages.page_covers(pages).select(F.col("page_id").alias("id"), F.explode("covers").alias("c"))
     kind = F.when(F.startswith(F.col("c.url"), F.lit("https")), 2).when(F.contains(F.col("c.url"), F.lit("/art/")), 3).otherwise(1)
     return covers.select("id", kind.alias("n"), "c.url", "c.title")
@@ -169,7 +169,7 @@ _RATIOS = "CASE WHEN id % 3 = 0 THEN 100.0 ELSE 0.0 END AS title_, CASE id % 5 W
  round((0.4 * title_ + coalesce(0.3 * artist_, 0) + 0.2 * title_ + coalesce(0.1 * bonus, 0)) / (0.6 + CASE WHEN artist_ IS NULL THEN 0 ELSE 0.3 END + CASE WHEN bonus IS NULL THEN 0 ELSE 0.1 END), 6) AS web FROM r""")
 def score_weights(spark, sf_dir):
     """Candidates whose names are those of the track, or have no character in common with them."""
-    i, t = F.col("id"), tracks(spark, sf_dir)
+    i, t = F.col("id"), dealt_tracks(spark, sf_dir)
     c = t.select(
         F.col("id").alias("track_id"), F.when(i % 3 == 0, F.coalesce("title", "filename")).otherwise(F.lit("жжщ")).alias("title"), F.when(i % 5 == 0, F.lit("")).when((i % 5).isin(1, 2), F.col("artist")).otherwise(F.lit("жжщ")).alias("artist"),
         F.lit("").alias("dj"), F.when(i % 2 == 0, F.col("filename")).alias("full_title"), F.when(i % 7 > 0, (i % 7) * 2).alias("num_tracks"),

@@ -9,7 +9,7 @@ from ..functions import media, text
 from ..operators import catalog, dml, duplicates, html_pages, jsonmeta, matching, site_search
 from ..schema import DUPLICATE_COLUMNS
 from ..sources.markup import read_nodes
-from .adapters import candidates, tracks
+from .adapters import candidates, dealt_tracks, pieces, tracks
 from .queries import _CLEANED, C, T, query, read
 
 #: Candidates numbered within their track.
@@ -17,8 +17,8 @@ R = f"{C}, r AS (SELECT track_id AS page_id, id, artist, title, CAST(row_number(
 
 
 def _numbered(spark, sf_dir) -> DataFrame:
-    """(page_id, cs): each track's few candidates in order."""
-    c = candidates(spark, sf_dir).groupBy(F.col("track_id").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("id", "artist", "title"))).alias("cs"))
+    """(page_id, cs): each track's few candidates in order, dealt out for work that costs much for each page."""
+    c = candidates(spark, sf_dir).withColumnRenamed("track_id", "page_id").repartition(pieces(spark), "page_id").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("id", "artist", "title"))).alias("cs"))
     return c
 
 
@@ -83,7 +83,7 @@ def page_cover_choice(spark, sf_dir):
     i = F.col("id").cast("string")
     kinds = [_say('<meta property="og:image" content="http://x.example.com/a', i, '.jpg"><img class="cover" src="/no.jpg">'), _say('<img src="/first.jpg"><img class="cover" src="/c', i, '.png">'), _say('<main><img src="/logo.png"><img width="20" src="/small.png"><img src="/m', i, '.webp"></main>'), F.lit('<img src="/x.jpg">')]
     html = F.when(F.col("id") % 4 == 0, kinds[0]).when(F.col("id") % 4 == 1, kinds[1]).when(F.col("id") % 4 == 2, kinds[2]).otherwise(kinds[3])
-    pages = tracks(spark, sf_dir).select("id", F.lit("http://h.example.com/p/q").alias("url"), html.alias("html"))
+    pages = dealt_tracks(spark, sf_dir).select("id", F.lit("http://h.example.com/p/q").alias("url"), html.alias("html"))
     return read_nodes(pages).select("id", html_pages.cover(F.col("url")).alias("cover_url"))
 
 
@@ -91,7 +91,7 @@ def page_cover_choice(spark, sf_dir):
 def page_cover_options(spark, sf_dir):
     i = F.col("id").cast("string")
     html = _say('<title>T</title><meta property="og:image" content="http://x.example.com/a', i, '.jpg"><img class="cover" src="//y.example.com/', i, '.jpg" alt="Alt"><img class="cover" src="/icon.png"><img src="/other.jpg">')
-    pages = tracks(spark, sf_dir).select("id", F.lit("http://www.h.example.com/p").alias("url"), html.alias("html"))
+    pages = dealt_tracks(spark, sf_dir).select("id", F.lit("http://www.h.example.com/p").alias("url"), html.alias("html"))
     return html_pages.page_covers(pages, "id").select("id", F.posexplode("covers").alias("n", "c")).select("id", (F.col("n") + 1).alias("n"), "c.url", "c.source", "c.title")
 
 
@@ -139,7 +139,7 @@ _SHOW = r"'Waves ' || CAST(id AS VARCHAR)"
 @query(rf"{T} SELECT {_SHOW} AS query, CASE WHEN id % 2 = 1 THEN 'Own' ELSE {_SHOW} || ' live' END AS title, 'https://www.1001tracklists.com/tracklist/' || CASE WHEN id % 2 = 1 THEN 'o' ELSE 's' END || CAST(id AS VARCHAR) AS url FROM tracks WHERE id % 2 = 1 OR id >= 10")
 def combined_search(spark, sf_dir):
     i = F.col("id").cast("string")
-    t = tracks(spark, sf_dir).select("id", _say("Waves ", i).alias("query"))
+    t = dealt_tracks(spark, sf_dir).select("id", _say("Waves ", i).alias("query"))
     searched = t.select("query", F.when(F.col("id") % 2 == 1, _say('<div class="tlLink"><a href="/tracklist/o', i, '">Own</a></div>')).otherwise("").alias("html"))
     shows = t.select("query", _say('<a href="/tracklist/x">other</a><a href="/tracklist/s', i, '">', F.col("query"), " live</a>").alias("html"))
     return site_search.combined_search(searched, shows).select("query", "title", "url")
