@@ -361,3 +361,10 @@ def test_top_similar_against_all_pairs(spark):
         order = np.lexsort((np.arange(len(right)), -score))[:10]
         want |= {(k, place + 1): (int(c), score[c]) for place, c in enumerate(order) if score[c] >= 50}
     assert got == want
+
+
+def test_costly_rows_are_dealt_out(spark):
+    """One small file still becomes more pieces than there are cores, for tracks and for pages of candidates."""
+    cores = spark.sparkContext.defaultParallelism
+    for rows in (queries.dealt_tracks(spark, SF), page_queries._numbered(spark, SF)):
+        assert rows.rdd.getNumPartitions() >= 4 * cores
