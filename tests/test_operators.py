@@ -368,3 +368,17 @@ def test_costly_rows_are_dealt_out(spark):
     cores = spark.sparkContext.defaultParallelism
     for rows in (queries.dealt_tracks(spark, SF), page_queries._numbered(spark, SF)):
         assert rows.rdd.getNumPartitions() >= 4 * cores
+
+
+def test_scored_names_are_cleaned_once(spark):
+    """The names of either side are cleaned before the join, and a ratio that both scores ask for is worked out once."""
+    t = spark.createDataFrame([(1, "Ann Bee", "Deep Waves", "x Deep Waves.mp3"), (2, None, "", "Golden  Hour .mp3"), (3, "A", None, "b.mp3")], "id long, artist string, title string, filename string")
+    rows = [(10, 1, "Deep Waves Club", "Ann", "Ann Bee", "Ann - Deep Waves", 3), (11, 2, "Golden Hours", "", "Cid", None, None), (12, 3, None, None, None, None, 40), (13, 1, "Live Set", None, "Ann Bee", "", 0), (14, 1, "Été live", "Ann Bee", None, None, 7)]
+    c = spark.createDataFrame(rows, "id long, track_id long, title string, artist string, dj string, full_title string, num_tracks int")
+    got = matching.scored(t, c, 3)
+    joined = t.alias("t").join(c.alias("c"), F.col("t.id") == F.col("c.track_id"))
+    want = joined.select(F.col("c.id").alias("id"), "track_id", matching.direct_score().alias("direct"), matching.web_score().alias("web"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("Join")]
+    assert "regexp_replace" not in top and top.count("pythonUDF") and "pythonUDF5" not in top

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import lru_cache
+
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,14 +55,29 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
+def _ratios(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(pair_ratios(a, b))
+
+
+def _ratios_of_some(a: pa.Array, b: pa.Array) -> pa.Array:
+    empty = [pc.equal(pc.binary_length(x).fill_null(0), 0) for x in (a, b)]
+    return pa.array(pair_ratios(a, b), mask=pc.or_(*empty).to_numpy(zero_copy_only=False))
+
+
+@lru_cache(4)
+def _function(f, context):
+    """One function for all calls in a Spark context, so that Spark knows equal calls."""
+    return F.arrow_udf(f, "double")
+
+
 def token_set_ratio_udf(a: Column, b: Column) -> Column:
-    """token_set_ratio by Arrow batches; null is empty."""
+    """token_set_ratio by Arrow batches; null is empty. Equal calls in one select are one."""
+    return _function(_ratios, SparkContext._active_spark_context)(a, b)
 
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(pair_ratios(pa.array(x, pa.large_string(), from_pandas=True), pa.array(y, pa.large_string(), from_pandas=True)))
 
-    ratio.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
-    return F.pandas_udf(ratio, "double")(a, b)
+def token_set_ratio_of_some(a: Column, b: Column) -> Column:
+    """The same, but null where a side is empty: said in the function, as a condition around it would work out both sides once more."""
+    return _function(_ratios_of_some, SparkContext._active_spark_context)(a, b)
 
 
 def weighted_mean(parts: list[tuple[Column, float]]) -> Column:

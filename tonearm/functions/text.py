@@ -16,9 +16,10 @@ CLEAN_RULES = [
     (EXTENSION, ""),
     (r"(?U)\d{4}[-./]\d{2}[-./]\d{2}", ""),
     (r"(?U)\d{2}[-./]\d{2}[-./]\d{4}", ""),
-    (r"(?iuU)\b(live|set|mix|dj|@|podcast|episode|ep\.?|vol\.?)\b", ""),
-    (r"(?iuU)\b(320|128|flac|wav|mp3)\b", ""),
-    (r"(?iuU)\b(part|pt\.?)\s*\d+\b", ""),
+    # what a word may begin with is looked at first, as a word's edge is dear
+    (r"(?=[lLsSſmMdDpPeEvV@])(?iuU)\b(live|set|mix|dj|@|podcast|episode|ep\.?|vol\.?)\b", ""),
+    (r"(?=[13fFwWmM])(?iuU)\b(320|128|flac|wav|mp3)\b", ""),
+    (r"(?=[pP])(?iuU)\b(part|pt\.?)\s*\d+\b", ""),
 ]
 SERIES_RULES = [
     (r"(?iuU)\s*\([^)]*(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[^)]*\d{4}[^)]*\)", ""),
@@ -47,7 +48,7 @@ def strip(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def replace_all(c: Column, rules: list[tuple[str, str]]) -> Column:

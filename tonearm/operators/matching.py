@@ -5,37 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import token_set_ratio_udf, weighted_mean
+from ..functions.similarity import token_set_ratio_of_some, weighted_mean
 from ..functions.text import clean_string, truthy
 from ..schema import MATCH_THRESHOLD
 
 TOP, ENRICHED, ENOUGH = 10, 3, 2
 
 
-def _ratio(a: Column, b: Column) -> Column:
-    """Null where a side is empty."""
-    return F.when((a != "") & (b != ""), token_set_ratio_udf(a, b))
-
-
 def _cleaned(track: str) -> tuple[Column, Column, Column]:
     col = lambda f: F.col(f"{track}.{f}")
     return clean_string(col("artist")), clean_string(F.coalesce(truthy(col("title")), col("filename"))), clean_string(col("filename"))
 
 
+def _direct(title, artist, full, own, own_artist, own_full) -> Column:
+    ratio = token_set_ratio_of_some
+    return weighted_mean([(ratio(title, own), 0.5), (ratio(artist, own_artist), 0.3), (ratio(full, own_full), 0.2)])
+
+
+def _web(title, artist, full, own, own_artist, n) -> Column:
+    ratio = token_set_ratio_of_some
+    return weighted_mean([(ratio(title, own), 0.4), (ratio(artist, own_artist), 0.3), (ratio(full, own), 0.2), (F.when(n > 0, 50.0 + F.least(n * 2, F.lit(20))), 0.1)])
+
+
 def direct_score(track: str = "t", candidate: str = "c") -> Column:
     """Title 0.5, artist (or DJ) 0.3, file name against the full title 0.2."""
     artist, title, full = _cleaned(track)
     c = lambda f: F.col(f"{candidate}.{f}")
-    own = clean_string(c("title"))
-    return weighted_mean([(_ratio(title, own), 0.5), (_ratio(artist, clean_string(F.coalesce(truthy(c("artist")), c("dj")))), 0.3), (_ratio(full, clean_string(F.coalesce(c("full_title"), c("title")))), 0.2)])
+    return _direct(title, artist, full, clean_string(c("title")), clean_string(F.coalesce(truthy(c("artist")), c("dj"))), clean_string(F.coalesce(c("full_title"), c("title"))))
 
 
 def web_score(track: str = "t", candidate: str = "c") -> Column:
     """Title 0.4, artist 0.3, file name against the title 0.2, and a bonus for listed tracks 0.1."""
     artist, title, full = _cleaned(track)
     c = lambda f: F.col(f"{candidate}.{f}")
-    own, n = clean_string(c("title")), F.coalesce(c("num_tracks"), F.lit(0))
-    return weighted_mean([(_ratio(title, own), 0.4), (_ratio(artist, clean_string(c("artist"))), 0.3), (_ratio(full, own), 0.2), (F.when(n > 0, 50.0 + F.least(n * 2, F.lit(20))), 0.1)])
+    return _web(title, artist, full, clean_string(c("title")), clean_string(c("artist")), F.coalesce(c("num_tracks"), F.lit(0)))
+
+
+def scored(tracks: DataFrame, candidates: DataFrame, pieces: int) -> DataFrame:
+    """(id, track_id, direct, web) of candidates with their tracks; names of either side are cleaned before they meet, each once.
+
+    Both sides are dealt into so many pieces by the track: cleaning and scoring cost more than their few bytes tell Spark, which would merge its own pieces.
+    """
+    tracks, candidates = tracks.repartition(pieces, "id"), candidates.repartition(pieces, "track_id")
+    artist, title, full = _cleaned("t")
+    t = tracks.alias("t").select(F.col("id").alias("track_id"), artist.alias("t_artist"), title.alias("t_title"), full.alias("t_full"))
+    own, by = clean_string(F.col("title")), clean_string(F.col("artist"))
+    by_any = F.when(F.col("artist") != "", by).otherwise(clean_string(F.col("dj")))
+    own_full = F.when(F.col("full_title").isNotNull(), clean_string(F.col("full_title"))).otherwise(own)
+    c = candidates.select("id", "track_id", own.alias("own"), by.alias("by"), by_any.alias("by_any"), own_full.alias("own_full"), F.coalesce("num_tracks", F.lit(0)).alias("n"))
+    sides = [F.col(x) for x in ("t_title", "t_artist", "t_full", "own")]
+    return t.join(c, "track_id").select("id", "track_id", _direct(*sides, F.col("by_any"), F.col("own_full")).alias("direct"), _web(*sides, F.col("by"), F.col("n")).alias("web"))
 
 
 def top_matches(scored: DataFrame, threshold: float = MATCH_THRESHOLD, top: int = TOP) -> DataFrame:

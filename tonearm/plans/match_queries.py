@@ -9,7 +9,7 @@ from ..functions import media, text
 from ..functions.similarity import token_similarity
 from ..operators import dml, html_pages, jsonmeta, matching
 from ..sources.markup import read_nodes
-from .adapters import candidates, dealt_tracks, placed_candidates, tracks
+from .adapters import candidates, dealt_tracks, pieces, placed_candidates, tracks
 from .queries import _CLEANED, C, T, _tokens, query
 
 #: Candidates' identifiers may repeat; with their confidence they tell different ones apart.
@@ -171,11 +171,10 @@ def score_weights(spark, sf_dir):
     """Candidates whose names are those of the track, or have no character in common with them."""
     i, t = F.col("id"), tracks(spark, sf_dir)
     c = t.select(
-        F.col("id").alias("track_id"), F.when(i % 3 == 0, F.coalesce("title", "filename")).otherwise(F.lit("жжщ")).alias("title"), F.when(i % 5 == 0, F.lit("")).when((i % 5).isin(1, 2), F.col("artist")).otherwise(F.lit("жжщ")).alias("artist"),
+        "id", F.col("id").alias("track_id"), F.when(i % 3 == 0, F.coalesce("title", "filename")).otherwise(F.lit("жжщ")).alias("title"), F.when(i % 5 == 0, F.lit("")).when((i % 5).isin(1, 2), F.col("artist")).otherwise(F.lit("жжщ")).alias("artist"),
         F.lit("").alias("dj"), F.when(i % 2 == 0, F.col("filename")).alias("full_title"), F.when(i % 7 > 0, (i % 7) * 2).alias("num_tracks"),
     )
-    joined = t.alias("t").join(c.alias("c"), F.col("t.id") == F.col("c.track_id"))
-    return joined.select(F.col("t.id").alias("id"), F.round(matching.direct_score(), 6).alias("direct"), F.round(matching.web_score(), 6).alias("web"))
+    return matching.scored(t, c, pieces(spark)).select("id", F.round("direct", 6).alias("direct"), F.round("web", 6).alias("web"))
 
 
 @query(f"{T} SELECT id, CASE WHEN id % 5 = 1 THEN TIMESTAMP '2024-01-01 00:00:00' END AS tagged_at, CASE id % 5 WHEN 1 THEN 'tagged' WHEN 2 THEN 'error' ELSE status END AS status FROM tracks")
