@@ -78,6 +78,16 @@ def test_hits(spark):
     ]
 
 
+def test_hits_read_rich_pages_only_where_needed(spark):
+    """The plain source is read once, and of the other only the pages of queries without hits, a query without a name and repeated ones too."""
+    lite, rich = '<a class="result-link" href="http://a.org/1">First</a>', '<div class="g"><a href="http://z.org/1"><h3>Zed</h3></a></div>'
+    frame = lambda *rows: spark.createDataFrame(rows, "query string, html string")
+    got = site_search.web_hits(frame(("p", lite), ("p", ""), ("r", None), (None, "")), frame(("p", rich), ("r", rich), ("r", rich), (None, rich), ("s", rich)))
+    assert sorted((str(r["query"]), r["url"]) for r in got.collect()) == [("None", "http://z.org/1"), ("p", "http://a.org/1"), ("r", "http://z.org/1"), ("r", "http://z.org/1"), ("s", "http://z.org/1")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.index("MapInArrow") < plan.index("LeftAnti")
+
+
 def test_site_search(spark):
     rows = '<div class="tlLink"><a href="/tracklist/1/a.html"> Ann @ X </a><span class="artistName">Ann</span></div><div class="tlLink">no link</div><div class="tlpItem"><span class="trackValue">A - B</span></div>'
     links = '<a href="/tracklist/5/x.html"></a><a href="/tracklist/5/x.html">Later title</a><a href="http://q.org/tracklist/6">Other 12</a><a href="/tracklist/7">ab</a>'

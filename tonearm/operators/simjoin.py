@@ -30,7 +30,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 SMALL_SIDE = 10_000
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -41,10 +41,10 @@ def _ranked(sides: list[tuple[DataFrame, str, str]]) -> DataFrame:
     for side, (df, key, name) in enumerate(sides):
         own = df.select(F.lit(side).alias("side"), F.col(key).alias("key"), name_tokens(F.col(name)).alias("tokens"))
         rows = own if rows is None else rows.unionByName(own)
-    tokens = _checkpointed(rows.select("side", "key", F.explode("tokens").alias("token")))
+    tokens = checkpointed(rows.select("side", "key", F.explode("tokens").alias("token")))
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"])
-    return _checkpointed(tokens.join(counts, "token").groupBy("side", "key").agg(ordered.alias("tokens")))
+    return checkpointed(tokens.join(counts, "token").groupBy("side", "key").agg(ordered.alias("tokens")))
 
 
 def _similar(left: DataFrame, right: DataFrame, threshold: float, once: bool) -> DataFrame:
@@ -107,10 +107,10 @@ def top_similar(left: DataFrame, right: DataFrame, left_key: str, left_name: str
     takes a block of each side, bounds all its pairs by their shared words and counts of characters, and compares by falling
     bounds until none reaches the last of a name's best. A name of the right side counts with its first keys. Null names are empty and score 0.
     """
-    a = _checkpointed(left.select(F.col(left_key).alias("left_key"), F.coalesce(left_name, F.lit("")).alias("left_name")))
-    b = _checkpointed(right.select(F.col(right_key).alias("right_key"), F.coalesce(right_name, F.lit("")).alias("right_name")))
-    names_a = _checkpointed(a.where("left_name <> ''").select(F.col("left_name").alias("name")).distinct())
-    names_b = _checkpointed(b.where("right_name <> ''").groupBy(F.col("right_name").alias("name")).agg(F.min("right_key").alias("first")))
+    a = checkpointed(left.select(F.col(left_key).alias("left_key"), F.coalesce(left_name, F.lit("")).alias("left_name")))
+    b = checkpointed(right.select(F.col(right_key).alias("right_key"), F.coalesce(right_name, F.lit("")).alias("right_name")))
+    names_a = checkpointed(a.where("left_name <> ''").select(F.col("left_name").alias("name")).distinct())
+    names_b = checkpointed(b.where("right_name <> ''").groupBy(F.col("right_name").alias("name")).agg(F.min("right_key").alias("first")))
     blocks_a, blocks_b = (max(1, -(-n.count() // NAMES_BLOCK)) for n in (names_a, names_b))
     own = lambda n: F.pmod(F.xxhash64("name"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -167,9 +167,9 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, small: int = TASK_EDGES) -> DataFrame:
     """edges(a, b) of long nodes -> (pos, root) of every node that has one, root being the smallest node of its component."""
-    forest = _checkpointed(edges.mapInArrow(_spanning, "a long, b long").where("a < b").distinct())
+    forest = checkpointed(edges.mapInArrow(_spanning, "a long, b long").where("a < b").distinct())
     while (n := forest.count()) > small:
-        stars = _checkpointed(_stars(forest))
+        stars = checkpointed(_stars(forest))
         if stars.count() == n and stars.exceptAll(forest).limit(1).count() == 0:
             break
         forest = stars
@@ -207,7 +207,7 @@ def leader_clusters(nodes: DataFrame, pairs: DataFrame, small: int = TASK_EDGES)
     order of pos. Of larger ones the nodes without an earlier neighbour lead, their neighbours follow,
     and edges from followers go, some rounds over, until what is left falls apart into small ones.
     """
-    edges = _checkpointed(pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct())
+    edges = checkpointed(pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct())
     held = edges.select(F.col("b").alias("pos"), F.col("a").alias("held")).limit(0)
     decided, first = None, True
     while True:
@@ -215,17 +215,17 @@ def leader_clusters(nodes: DataFrame, pairs: DataFrame, small: int = TASK_EDGES)
         rows = edges.join(roots.withColumnRenamed("pos", "b"), "b").select("root", "a", "b", F.lit(None).cast("long").alias("held"))
         if not first:
             rows = rows.unionByName(held.join(roots, "pos").select("root", F.lit(None).cast("long").alias("a"), F.col("pos").alias("b"), "held"))
-        rows = _checkpointed(rows)
+        rows = checkpointed(rows)
         sizes = rows.groupBy("root").agg(F.count("*").alias("n"))
         total = rows.count()
-        large = _checkpointed(sizes.where(F.col("n") > small)) if total > small else None
+        large = checkpointed(sizes.where(F.col("n") > small)) if total > small else None
         whole = rows if large is None else rows.join(large, "root", "left_anti")
         bucket = F.pmod(F.xxhash64("root"), F.lit(max(8, -(-total // BUCKET_EDGES)))).alias("bucket")
         found = whole.groupBy(bucket).applyInArrow(_greedy, _DECIDED)
         decided = found if decided is None else decided.unionByName(found)
         if large is None or large.limit(1).count() == 0:
             break
-        decided, first = _checkpointed(decided), False
+        decided, first = checkpointed(decided), False
         rest = rows.join(large, "root", "left_semi")
         edges, held, more = _large_rounds(rest.where("a is not null").select("a", "b"), rest.where("a is null").select(F.col("b").alias("pos"), "held"))
         decided = decided.unionByName(more)
@@ -239,10 +239,10 @@ def _large_rounds(edges: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFra
     for _ in range(ROUNDS):
         lead = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")), "a", "left_anti").join(held.select(F.col("pos").alias("a")), "a", "left_anti")
         taken = edges.join(lead, "a", "left_semi").select(F.col("b").alias("pos"), F.col("a").alias("held"))
-        held = _checkpointed(held.unionByName(taken).groupBy("pos").agg(F.min("held").alias("held")))
+        held = checkpointed(held.unionByName(taken).groupBy("pos").agg(F.min("held").alias("held")))
         # followers lead nothing, and what is behind a node's leader is no matter to it
         edges = edges.join(lead, "a", "left_anti").join(held.select(F.col("pos").alias("a")), "a", "left_anti")
-        edges = _checkpointed(edges.join(held.withColumnRenamed("pos", "b"), "b", "left").where(F.col("held").isNull() | (F.col("a") < F.col("held"))).select("a", "b"))
+        edges = checkpointed(edges.join(held.withColumnRenamed("pos", "b"), "b", "left").where(F.col("held").isNull() | (F.col("a") < F.col("held"))).select("a", "b"))
     open_ = edges.select(F.col("a").alias("pos")).union(edges.select("b")).distinct()
     done = everything.join(open_, "pos", "left_anti").join(held, "pos", "left").select("pos", F.coalesce("held", "pos").alias("leader"))
-    return edges, _checkpointed(held.join(open_, "pos", "left_semi")), _checkpointed(done)
+    return edges, checkpointed(held.join(open_, "pos", "left_semi")), checkpointed(done)
