@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonearm.operators import html_pages, site_search
+from tonearm.plans import adapters
 from tonearm.sources import markup
 from tonearm.sources.markup import read_nodes
 
@@ -129,6 +130,9 @@ def test_cover_options(spark):
     hits = spark.createDataFrame([("q", 1, 1, "http://a.org"), ("q", 2, 1, "http://b.org"), ("q", 2, 11, "http://c.org")], "query string, query_no int, pos int, url string")
     got = site_search.cover_options(hits, covers, limit=2).orderBy("option_no").collect()
     assert [(r["option_no"], r["url"], r["source"]) for r in got] == [(1, "u1", "a"), (2, "u2", "a")]
+    dealt = site_search.cover_options(hits, covers, limit=2, pieces=7)
+    assert dealt.orderBy("option_no").collect() == got and dealt.rdd.getNumPartitions() == 7
+    assert adapters.pieces(spark, 3 * adapters.PIECE_ROWS * adapters.pieces(spark)) == 3 * adapters.pieces(spark)
     assert spark.range(1).select(site_search.cover_queries(F.lit("x"))).first()[0] == ["x album cover", "x discogs", "x artwork soundcloud"]
 
 
