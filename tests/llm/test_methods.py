@@ -217,3 +217,25 @@ def test_decontamination_in_salts_and_filters(spark, docs, monkeypatch):
                 if len(item) >= 13:  # as long as it can be
                     a, b = m["word"] + m["n_words"], m["item_word"] + m["n_words"]
                     assert a == len(ws) or b == len(item) or ws[a] != item[b]
+
+
+def test_filters_take_one_python_step(spark, docs, monkeypatch):
+    """A step before the filter's own in the same task is a second Python worker, and each keeps its memory."""
+    from tonearm.llm import jaccard_join
+
+    kind = type(spark.range(1))
+    real, seen = kind.mapInArrow, []
+
+    def alone(self, *args, **kwargs):
+        assert "MapInArrow" not in self._jdf.queryExecution().analyzed().toString()
+        seen.append(1)
+        return real(self, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "mapInArrow", alone)
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = [(k, f"{text} {k}") for k in range(4)]
+    bench = spark.createDataFrame([("x", text)], "item_id string, text string")
+    assert {r["component_id"] for r in jaccard_join.near_duplicates(docs(rows)).collect()} == {0}
+    assert all(r["matches"] for r in decontaminate.find_matches(docs(rows), bench, block_words=0).collect())
+    assert substrings.removed(substrings.repeated_spans(docs([(k, "long text " * 99) for k in range(2)]))).where("n_removed > 0").count() == 2
+    assert len(seen) > 8

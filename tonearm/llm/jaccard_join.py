@@ -230,17 +230,12 @@ def _frequent_filter(signatures: DataFrame) -> Bloom:
             for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["token", "n"])
 
-    def second(batches):
-        for batch in batches:
-            a = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(_signed(_second_hash(a.view(np.uint64))))], names=["a", "b"])
-
     least = MIN_FREQUENT
     counted = reports.mapInArrow(spread, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counted = common.stored(counted.where(F.col("n") >= least), "frequent-shingles")
     while (n := counted.where(F.col("n") >= least).count()) > MAX_FREQUENT:
         least *= 2
-    out = Bloom.of(counted.where(F.col("n") >= least).select("token").mapInArrow(second, "a long, b long"), n, 0.003, 0)
+    out = Bloom.of(counted.where(F.col("n") >= least).select("token"), n, 0.003, 0, lambda a: (a, _signed(_second_hash(a.view(np.uint64)))))
     common.drop(counted)
     return out
 
