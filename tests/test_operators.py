@@ -370,6 +370,16 @@ def test_costly_rows_are_dealt_out(spark):
         assert rows.rdd.getNumPartitions() >= 4 * cores
 
 
+def test_tracks_are_dealt_out_behind_joins(spark):
+    """Joins by few keys, whose few bytes Spark merges, leave costly work to many tasks all the same."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = [r["count"] for r in queries.dealt_tracks(spark, SF).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(sizes) >= 3 * spark.sparkContext.defaultParallelism and max(sizes) < sum(sizes) / 4
+
+
 def test_scored_names_are_cleaned_once(spark):
     """The names of either side are cleaned before the join, and a ratio that both scores ask for is worked out once."""
     t = spark.createDataFrame([(1, "Ann Bee", "Deep Waves", "x Deep Waves.mp3"), (2, None, "", "Golden  Hour .mp3"), (3, "A", None, "b.mp3")], "id long, artist string, title string, filename string")

@@ -74,10 +74,8 @@ def candidate_pieces(spark: SparkSession, sf_dir: str) -> int:
 
 
 def dealt_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tracks for work that costs much for each row: the orders are dealt out first, as a file may be one piece however many of its parts are planned."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").repartition(pieces(spark))
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in TRACKS} | {"orders": orders}
-    return spark.sql(TRACKS.replace("{S}", "string"), **tables)
+    """The tracks for work that costs much for each row, dealt out behind their joins: a join leaves pieces by its keys (200 parts) and bytes, whatever is done to their rows next."""
+    return tracks(spark, sf_dir).repartition(pieces(spark, spark.read.parquet(f"{sf_dir}/orders.parquet").count()), "id")
 
 
 def stream_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
