@@ -380,6 +380,12 @@ def test_tracks_are_dealt_out_behind_joins(spark):
     assert len(sizes) >= 3 * spark.sparkContext.defaultParallelism and max(sizes) < sum(sizes) / 4
 
 
+def test_releases_are_dealt_out(spark):
+    """Documents are written and read by many tasks, though their few bytes would be merged."""
+    found = match_queries.releases(spark, SF).select(F.spark_partition_id().alias("p")).groupBy("p").count()
+    assert found.count() >= 3 * spark.sparkContext.defaultParallelism
+
+
 def test_scored_names_are_cleaned_once(spark):
     """The names of either side are cleaned before the join, and a ratio that both scores ask for is worked out once."""
     t = spark.createDataFrame([(1, "Ann Bee", "Deep Waves", "x Deep Waves.mp3"), (2, None, "", "Golden  Hour .mp3"), (3, "A", None, "b.mp3")], "id long, artist string, title string, filename string")

@@ -9,7 +9,7 @@ from ..functions import media, text
 from ..functions.similarity import token_similarity
 from ..operators import dml, html_pages, jsonmeta, matching
 from ..sources.markup import read_nodes
-from .adapters import candidates, dealt_tracks, pieces, placed_candidates, tracks
+from .adapters import candidate_pieces, candidates, dealt_tracks, pieces, placed_candidates, tracks
 from .queries import _CLEANED, C, T, _tokens, query
 
 #: Candidates' identifiers may repeat; with their confidence they tell different ones apart.
@@ -56,7 +56,7 @@ def releases(spark, sf_dir):
     c, i = candidates(spark, sf_dir), F.col("id")
     named = lambda kind, *values: F.array(*(F.struct(F.struct(v.alias("name")).alias(kind)) for v in values))
     release = F.struct(i.cast("string").alias("id"), "title", named("artist", F.col("artist"), F.lit("B")).alias("artist-credit"), F.when(i % 2 != 0, "2020-01-01").alias("date"), F.when(i % 3 != 0, i % 20).alias("track-count"), F.when(i % 5 != 0, named("label", F.col("genre"), F.lit("Other"))).alias("label-info"), F.col("confidence").cast("int").alias("score"))
-    docs = c.groupBy("track_id").agg(F.to_json(F.struct(F.collect_list(release).alias("releases"))).alias("body"))
+    docs = c.repartition(candidate_pieces(spark, sf_dir), "track_id").groupBy("track_id").agg(F.to_json(F.struct(F.collect_list(release).alias("releases"))).alias("body"))
     return jsonmeta.releases(docs)
 
 
