@@ -271,6 +271,47 @@ def test_jaccard_odd_rows(docs):
     assert jaccard_join.near_duplicates(docs([])).count() == 0
 
 
+def test_jaccard_keys_reach_every_link():
+    """Sets that link share a key by which either expects a set of the other's size."""
+    rng = np.random.default_rng(3)
+    linked = 0
+    for _ in range(2000):
+        n = int(rng.integers(4, 60))
+        pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        x, y = (np.unique(np.concatenate([pool[:n], pool[n : n + k]])[lo:]) for k, lo in zip(rng.integers(0, n // 4 + 1, 2), rng.integers(0, n // 6 + 1, 2)))
+        if len(x) < 4 or len(y) < 4 or len(np.intersect1d(x, y)) < jaccard_join.needed(len(x), len(y)) or np.array_equal(x, y):
+            continue
+        linked += 1
+        often = rng.integers(0, 4) * (1 << 61)
+        (kx, mx), (ky, my) = (jaccard_join.index_keys(z, z < often) for z in (x, y))
+        _, i, j = np.intersect1d(kx, ky, return_indices=True)
+        assert ((mx[i] >= len(y)) & (my[j] >= len(x))).any()
+    assert linked > 300
+
+
+def test_jaccard_rows_between_texts_that_cannot_link(docs, monkeypatch):
+    """Texts of too different lengths share no bucket, and texts that bitmaps tell apart are looked at in one round alone."""
+    real, rows = common.stored, []
+
+    def stored(df, name, **options):
+        out = real(df, name, **options)
+        rows.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(common, "stored", stored)
+    own = lambda k, n: " ".join(f"v{k}x{i}" for i in range(n))
+    lengths = [(k, f"these five words stand here {own(k, 4 * 2**k)}") for k in range(6)]
+    assert jaccard_join.near_duplicates(docs(lengths)).where("component_id <> doc_id").count() == 0
+    assert dict(rows)["shingle-index"] == 0
+    rows.clear()
+    far = [(k, " ".join(f"p{i}" for i in range(60)) + " " + own(k, 25)) for k in range(20)]  # half of the shingles are common
+    near = [(100 + k, own(99, 40) + f" {k} {k}") for k in range(3)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs(far + near)).collect()}
+    assert got == {k: min(k, 100) for k, _ in far + near}
+    looked = [n for name, n in rows if name == "jaccard-rooted"]
+    assert looked[0] > 0 and sum(looked[1:]) < looked[0], looked
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(40)]

@@ -17,6 +17,8 @@ Candidates are verified in two rounds. First, each document's neighbours in the
 by their bitmaps; links found are contracted to components. Then every pair of an index bucket that is not yet in
 one component is tried: bitmaps bound the intersection from above, and what they don't rule out is counted exactly;
 of two components the likeliest pairs come first, and none is left out.
+Documents whose bitmaps rule out all pairs are looked at in one round alone.
+Buckets are cut by sizes: a shingle's place in a set bounds the sizes of sets that it may be the first to share with.
 Buckets are split into blocks of BLOCK_DOCS documents, so no task gets an unbounded group. Sets that are equal are
 represented by the smallest identifier from the start.
 
@@ -154,15 +156,19 @@ def least_difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Keys that a set is indexed by; frequent: which of its sorted hashes are."""
+def index_keys(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that a set is indexed by, and the size that a set has at most which has the key as its first shingle in common and links; frequent: which of its sorted hashes are.
+
+    A set of n whose first i shingles are not in the other has n - i in common with it at most, which is enough for (5 n - 9 i) / 4 at most.
+    """
     n = len(tokens)
     if n < 4:  # linked with equal sets at most, and these are one already
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     rare, often = tokens[~frequent], tokens[frequent]
     p = n - (4 * n + 4) // 5 + 1
+    most = (5 * n - 9 * np.arange(min(p, len(rare)))) // 4
     if p <= len(rare):
-        return rare[:p]
+        return rare[:p], most
     out = [rare]
     band = int(np.searchsorted(_BANDS, n, "right")) - 1
     for b in (band, band + 1):
@@ -177,7 +183,8 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
                 break
             low, high = np.minimum(part[:-gap], part[gap:])[same], np.maximum(part[:-gap], part[gap:])[same]
             out.append(_mix(low * _FACTORS[0] + high * _FACTORS[1] + np.uint64(b)))
-    return np.unique(np.concatenate(out))
+    keys, at = np.unique(np.concatenate(out), return_index=True)
+    return keys, np.where(at < len(most), most[np.minimum(at, len(most) - 1)] if len(most) else 0, 5 * n // 4)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -241,7 +248,7 @@ def _frequent_filter(signatures: DataFrame) -> Bloom:
 
 
 def _index(docs: DataFrame, often: Bloom) -> DataFrame:
-    """(key, doc) of the documents."""
+    """(key, n, most, doc) of the documents; n: the size of the document's set, most: the size of another that may link by the key."""
     sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
@@ -253,10 +260,29 @@ def _index(docs: DataFrame, often: Bloom) -> DataFrame:
                 continue
             flat = np.concatenate(sets)
             frequent = np.split(often.passes(_signed(flat), _signed(_second_hash(flat))), np.cumsum([len(s) for s in sets[:-1]]))
-            keys = [index_keys(s, f) for s, f in zip(sets, frequent)]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.repeat(np.array(ds, np.int64), [len(k) for k in keys]))], names=["key", "doc"])
+            keys, most = zip(*(index_keys(s, f) for s, f in zip(sets, frequent)))
+            times = [len(k) for k in keys]
+            sizes = np.array([len(s) for s in sets], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.repeat(sizes, times)), pa.array(np.concatenate(most).astype(np.int32)), pa.array(np.repeat(np.array(ds, np.int64), times))], names=["key", "n", "most", "doc"])
+
+    return docs.mapInArrow(run, "key long, n int, most int, doc long")
 
-    return docs.mapInArrow(run, "key long, doc long")
+
+def _buckets(index: DataFrame) -> DataFrame:
+    """(key, doc, prev) of documents that share a key and may link by their sizes and its places; prev is the one before by size.
+
+    Of two sets that link, the first shingle they have in common stands in both so early that either's `most` reaches the
+    other's size. A bucket is cut where no `most` so far reaches the next size, and a document whose own `most` is below
+    its size stays only if a size so small is there. So what unrelated documents happen to share is mostly left out.
+    """
+    w = Window.partitionBy("key").orderBy("n", "doc")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.coalesce(F.max("most").over(w.rowsBetween(Window.unboundedPreceding, -1)) < F.col("n"), F.lit(True))
+    rows = index.withColumns({"begins": begins, "after": F.lead("n").over(w)}).withColumn("start", F.max(F.when(F.col("begins"), F.col("n"))).over(so_far))
+    rows = rows.where(F.when(F.col("begins"), F.col("after") <= F.col("most")).otherwise(F.col("start") <= F.col("most")))
+    run = Window.partitionBy("key", "start").orderBy("n", "doc")
+    rows = rows.withColumns({"prev": F.lag("doc").over(run), "next": F.lead("doc").over(run)}).where("prev is not null or next is not null")
+    return rows.select(F.xxhash64("key", "start").alias("key"), "doc", "prev")
 
 
 def _bounded(ids: DataFrame) -> DataFrame:
@@ -292,7 +318,7 @@ def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _closest(buckets: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Of each document's neighbours before it in the index, the NEIGHBOURS that are so under the most keys; of these, the two with the most similar bitmaps."""
+    """Of each document's neighbours before it in the index (by size), the NEIGHBOURS that are so under the most keys; of these, the two with the most similar bitmaps."""
     pairs = buckets.where("prev is not null").groupBy(F.col("prev").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("n"))
     pairs = pairs.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))).where(F.col("k") <= NEIGHBOURS).select("a", "b")
     left, right = (signatures.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
@@ -354,9 +380,11 @@ def possible_pairs(group, own, i, j, doc, root, n, bits: list[bytes]):
                 yield doc[p], doc[q], root[p], root[q], d[ok] / both[ok]
 
 
-def _across(buckets: DataFrame, signatures: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
+def _across(buckets: DataFrame, signatures: DataFrame, roots: DataFrame, best: bool) -> tuple[DataFrame, DataFrame]:
     """(a, b, ra, rb, far): the pairs of buckets that are in different components ra, rb and that bitmaps don't rule out; or of any two components the best that each task has.
 
+    And the buckets' rows of documents that are in such a pair at all. As components only grow, later rounds find no pair of others.
+
     Buckets with the same smallest component have much the same documents: up to TASK_ROWS rows they go to one task
     together, where each document's bitmap is needed once; larger sets of buckets are dealt out by block.
     """
@@ -392,12 +420,17 @@ def _across(buckets: DataFrame, signatures: DataFrame, roots: DataFrame, best: b
         once = np.ones(len(order), bool)  # the same pair stands under many keys
         once[1:] = np.any([np.diff(z[order]) != 0 for z in by[1:]], axis=0)
         at = order[once]
-        return pa.table({c: pa.array(z[at], pa.float64() if c == "far" else pa.int64()) for c, z in zip(names, (a, b, ra, rb, far))})
+        pairs = pa.table({c: pa.array(z[at], pa.float64() if c == "far" else pa.int64()) for c, z in zip(names, (a, b, ra, rb, far))})
+        docs = pa.array(np.unique(np.concatenate([a, b])), pa.int64())
+        return pa.concat_tables([pairs, pa.table({"a": docs} | {c: pa.nulls(len(docs), pairs.schema.field(c).type) for c in names[1:]})]) if best else pairs
 
-    pairs = rows.groupBy("part").applyInArrow(run, "a long, b long, ra long, rb long, far double")
-    out = common.stored(pairs.groupBy("a", "b").agg(F.min("ra").alias("ra"), F.min("rb").alias("rb"), F.min("far").alias("far")), "jaccard-across")
-    common.drop(rooted, keys)
-    return out
+    found = common.stored(rows.groupBy("part").applyInArrow(run, "a long, b long, ra long, rb long, far double"), "jaccard-found")
+    pairs = found.where("b is not null").groupBy("a", "b").agg(F.min("ra").alias("ra"), F.min("rb").alias("rb"), F.min("far").alias("far"))
+    out = common.stored(pairs, "jaccard-across")
+    if best:
+        buckets = common.stored(buckets.join(_bounded(found.where("b is null").select(F.col("a").alias("doc")).distinct()), "doc", "left_semi").select("key", "doc"), "jaccard-buckets")
+    common.drop(rooted, keys, found)
+    return out, buckets
 
 
 def _verified_across(pairs: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
@@ -433,9 +466,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = members.where("doc is not null").groupBy("doc").agg(F.min("first").alias("low"), F.max("first").alias("high"))
     nodes = common.stored(nodes.where("low < doc"), "shingle-copies")
     copies = nodes.where("high < doc").select("doc")
-    w = Window.partitionBy("key").orderBy("doc")
-    buckets = _index(named.join(_bounded(copies), "doc", "left_anti"), often).withColumns({"prev": F.lag("doc").over(w), "next": F.lead("doc").over(w)})
-    buckets = common.stored(buckets.where("prev is not null or next is not null").select("key", "doc", "prev"), "shingle-index")
+    buckets = common.stored(_buckets(_index(named.join(_bounded(copies), "doc", "left_anti"), often)), "shingle-index")
     first = common.stored(rows.where("doc is not null").join(_bounded(copies), "doc", "left_anti").select("doc", "n", "bits").dropDuplicates(["doc"]), "shingle-bitmaps")
     several = members.join(nodes.where("low < high").select("doc"), "doc", "left_semi").select(F.col("first").alias("a"), F.col("doc").alias("b"))
     several = common.stored(several, "jaccard-links")  # one identifier on rows of different texts
@@ -443,15 +474,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     closest = _closest(buckets, first)
     links = _exact(closest, named).union(several)
     for _ in range(BEST_ROUNDS):
-        roots = components(links)
-        pairs = _across(buckets, first, roots, best=True)
+        roots, old = components(links), buckets
+        pairs, buckets = _across(buckets, first, roots, best=True)
         found = _exact(pairs.select("a", "b"), named)
-        common.drop(roots, pairs)
+        common.drop(roots, pairs, old)
         if common.is_empty(found):
             break
         links = common.stored(links.union(found), "jaccard-links")
     roots = components(links)
-    links = _verified_across(_across(buckets, first, roots, best=False), links, named)
+    links = _verified_across(_across(buckets, first, roots, best=False)[0], links, named)
     common.drop(closest, roots, buckets, first)
     out = members.join(components(links).select(F.col("node").alias("first"), "root"), "first", "left")
     return out.select(F.col("doc").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "first").cast(kind).alias("component_id"))
