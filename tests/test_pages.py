@@ -1,5 +1,6 @@
 """Page parsers and site search over small pages, one of each kind."""
 
+import random
 import time
 
 import pytest
@@ -170,3 +171,16 @@ def test_pages_are_read_in_pieces(spark, monkeypatch):
     assert list(markup._pieces(html)) == [(0, 2), (2, 3), (5, 2)]
     rows = read_nodes(spark.createDataFrame([(k, "<p>" + "x" * n) for k, n in enumerate(sizes)], "k int, html string")).select("k", F.length("text").alias("n"), F.size("nodes").alias("m")).collect()
     assert sorted((r["k"], r["n"], r["m"]) for r in rows) == [(k, n, 1 + (n > 0)) for k, n in enumerate(sizes)]
+
+
+def test_tags_that_repeat(monkeypatch):
+    """A tag that ends with its first > whatever follows is looked up; no other is, and a page reads the same without it."""
+    assert markup._closed_tag('<A Class="x y" b=c/>') == (False, "a", (("class", "b"), ("x y", "c/")), True)
+    assert markup._closed_tag("</td>") == (True, "td", ((), ()), False)
+    assert not any(map(markup._closed_tag, ('<a b="c>', '<a "b="c>', "<a b='\">", "<!-->", "< a>", "<1>")))
+    rng = random.Random(3)
+    parts = ['<div class="a">', "</div>", "<td>", "<tr>", "<table>", "</table>", '<a b="c', "'", '"', ">", '<a "b="c>', "<br/>", "<script>", "</script>", "<!--", "-->", "x", "&amp;", "<", "<li>", "</ul>", "<p>"]
+    pages = ["".join(rng.choices(parts, k=rng.randint(1, 20))) for _ in range(2000)]
+    got = [markup._read(p) for p in pages]
+    monkeypatch.setattr(markup, "_closed_tag", lambda said: None)
+    assert got == [markup._read(p) for p in pages]
